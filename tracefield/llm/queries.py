@@ -4,13 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, mixing
+from . import bitplanes, common, media, merkle, mixing, packing, warc
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file the packing and token-id queries name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.fresh_dir(spark, "media")
+    media.write_archives(_read(spark, sf_dir, "documents"), folder)
+    return media.features(media.read_archives(spark, folder))
+
+
+def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.fresh_dir(spark, "planes")
+    bitplanes.write_ids(_read(spark, sf_dir, "documents"), folder, tokenizer_path())
+    return bitplanes.read_ids(spark, folder)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -20,6 +43,27 @@ def op9_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_edits(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_source_mix, op9_merkle_fingerprint)}
+def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.fresh_dir(spark, "warc")
+    warc.write_warc(_read(spark, sf_dir, "pages"), folder)
+    found = warc.records(warc.read_chunks(spark, folder))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op4_ordered_packing,
+        op5_media_columns,
+        op7_token_planes,
+        op8_source_mix,
+        op9_merkle_fingerprint,
+        op10_warc_chunks,
+    )
+}
 
-ORACLES = {"op8_source_mix": mixing.ORACLE, "op9_merkle_fingerprint": merkle.ORACLE}
+ORACLES = {
+    "op8_source_mix": mixing.ORACLE,
+    "op9_merkle_fingerprint": merkle.ORACLE,
+    "op10_warc_chunks": warc.ORACLE,
+}
