@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, common, media, merkle, mixing, packing, warc
+from . import bitplanes, common, media, merkle, mixing, neardup, packing, repeats, warc
 
 
 def tokenizer_path() -> str:
@@ -18,6 +18,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op4_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -28,6 +32,11 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.read_archives(spark, folder))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.fresh_dir(spark, "planes")
     bitplanes.write_ids(_read(spark, sf_dir, "documents"), folder, tokenizer_path())
@@ -53,8 +62,10 @@ def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_near_duplicates,
         op4_ordered_packing,
         op5_media_columns,
+        op6_repeated_passages,
         op7_token_planes,
         op8_source_mix,
         op9_merkle_fingerprint,
