@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bitplanes, common, media, merkle, mixing, neardup, packing, repeats, warc
+from . import bitplanes, common, langid, media, merkle, mixing, neardup, packing, repeats, sitetree, warc
 
 
 def tokenizer_path() -> str:
@@ -22,6 +23,16 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(_read(spark, sf_dir, "pages"))
+
+
+def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    model = langid.train(docs.filter(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op4_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -63,6 +74,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_near_duplicates,
+        op2_site_style_tree,
+        op3_ppm_language,
         op4_ordered_packing,
         op5_media_columns,
         op6_repeated_passages,
