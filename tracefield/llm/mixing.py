@@ -70,6 +70,7 @@ def mix(
     cap: float = 2.0,
     seed: str = "mix",
     range_rows: int = 2000,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """How many words the mix takes of every document.
 
@@ -80,7 +81,8 @@ def mix(
     is a source of its own, ordered last.  Rows with the same ``doc_id`` are
     separate documents; rows alike in id and size are interchangeable, so
     reruns agree.  An empty table gives an empty result.  ``range_rows`` sets
-    how finely keys are cut, never which rows count.
+    how finely keys are cut, never which rows count; columns named in
+    ``carry`` come along behind the others.
     """
     spark = common.session(docs)
     sized = common.stage_table(
@@ -90,6 +92,7 @@ def mix(
             F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src"),
             word_count(F.col("text")).alias("size"),
             F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary")).alias("key"),
+            *carry,
         ),
         "mix-sizes",
     )
@@ -122,10 +125,20 @@ def mix(
             source_size.alias("source_size"),
             F.col("target"),
             (epochs * size + F.greatest(F.lit(0), F.least(size, rest - before))).cast("long").alias("taken"),
+            *carry,
         )
     )
 
 
+def first_words(text: Column, words: Column, size: Column) -> Column:
+    """The text up to the end of its first ``words`` words; all of it if those
+    are all ``size``."""
+    parts = F.slice(F.regexp_extract_all(text, F.lit(WORD + r"|[\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words * 2)
+    # the parts alternate; a leading gap shifts the last word by one
+    lead = F.when(F.regexp_like(text, F.lit(r"^[\x20\x09-\x0D]")), words * 2).otherwise(words * 2 - 1)
+    return F.when(words >= size, text).otherwise(F.array_join(F.slice(parts, F.lit(1), lead), ""))
+
+
 ORACLE = r"""
 WITH s AS (
   SELECT doc_id, source,

@@ -162,6 +162,6 @@ def pack(
 def padding(pieces: DataFrame, window: int = 4096) -> DataFrame:
     """Tokens, sequences and padded tokens of a packing."""
     length = F.first("sequence_tokens")
-    power = F.shiftleft(F.lit(1), F.floor(F.log2(length.cast("double")) + 1e-9).cast("int")) == length
+    power = F.bit_count(length) == 1
     each = pieces.groupBy("sequence_id").agg(length.alias("n"), F.when(power, 0).otherwise(window - length).alias("pad"))
     return each.agg(F.sum("n").alias("tokens"), F.count("*").alias("sequences"), F.sum("pad").alias("padded"))

@@ -310,3 +310,20 @@ def remove_repeats(docs: DataFrame, length: int = 400, group_limit: int = 20_000
 
     return with_spans(rows, repeated_spans(rows, length, group_limit)).mapInArrow(task, out)
 
+
+
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text`` cut by ``spans`` (from ``with_spans``).  Bytes of
+    a character that a cut split go with it; a null text stays null."""
+    schema = docs.drop("spans").schema
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch["text"], batch["spans"]):
+                text, found = text.as_py(), merged(spans.as_py())
+                texts.append(cut(text.encode(), found).decode("utf-8", "ignore") if found else text)
+            columns = [pa.array(texts, pa.string()) if f.name == "text" else batch[f.name] for f in schema]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.select(*schema.names, "spans").mapInArrow(task, schema)
