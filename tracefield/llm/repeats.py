@@ -130,8 +130,6 @@ def cover(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The covered bytes of ``wanted`` anchors, cut from the texts."""
     per_doc = wanted.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "alone", "large", "low", "end")).alias("anchors"))
     per_doc = common.stage_table(per_doc, "repeats-wanted")
-    small = per_doc.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    side = F.broadcast(per_doc) if small <= 1_000_000 else per_doc
     out = "doc long, mark long, first long, alone boolean, large boolean, low int, cover binary"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +149,7 @@ def cover(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows.values(), kinds)], names=list(rows))
 
     # rows alike in id and text have equal spans: one of them is enough
-    return docs.join(side, ["doc", "mark"]).mapInArrow(task, out)
+    return docs.join(per_doc, ["doc", "mark"]).mapInArrow(task, out)
 
 
 def single_windows(covers: DataFrame, length: int) -> DataFrame:
@@ -249,9 +247,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, group_limit: int = 20_000
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    side = F.broadcast(spans) if total <= 2_000_000 else spans
-    return docs.join(side, ["doc", "mark"], "left")
+    return docs.join(spans, ["doc", "mark"], "left")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
