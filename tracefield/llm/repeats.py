@@ -223,6 +223,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, group_limit: int = 20_000
         .filter("n > 1")
         .select("first", (F.col("least") != F.col("most")).alias("split"))
     )
+    # staged, so that the join reads two shuffles and a hot digit can be split
+    shared = common.stage_table(shared, "repeats-shared")
     left = common.stage_table(found.join(shared, "first"), "repeats-left")
     common.drop_staged(found)
     mixed = left.filter("split")
