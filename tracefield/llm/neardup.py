@@ -164,7 +164,7 @@ def likely_links(nodes: DataFrame, limit: int, block_rows: int) -> DataFrame:
     """Edges whose components are those of all pairs that share a band key and
     are within ``limit`` bits."""
     keyed = nodes.select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = common.stage_table(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "neardup-shared")
     rows = keyed.join(shared, "key").join(nodes.select("id", "s0", "s1", "s2", "s3"), "id")
     dealt = block_pairs(rows, "key", F.ceil(F.col("n") / block_rows))
 
@@ -267,6 +267,8 @@ def near_duplicates(
     docs = docs.select("doc_id", "text")
     sketches = common.stage_table(sketch(docs, words), "neardup-sketches")
     copies = sketches.filter("n_shingles > 0").groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("rep"))
+    # staged, so that the join reads two shuffles and hot copies can be split
+    copies = common.stage_table(copies, "neardup-copies")
     tagged = sketches.join(copies, ["fp_hi", "fp_lo"], "left")
     nodes = common.stage_table(
         tagged.filter("doc_id = rep").select(F.col("rep").alias("id"), "n_shingles", "bands", "s0", "s1", "s2", "s3"), "neardup-nodes"
