@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .vec import dot, sub
@@ -45,32 +45,40 @@ def distance_to_polygon(y: Column, z: Column, polygon: Polygon) -> Column:
     return F.least(*[distance_to_segment(y, z, *e) for e in _edges(polygon)])
 
 
-def clip_convex(y0: Column, z0: Column, y1: Column, z1: Column, polygon: Polygon) -> Column:
-    """Cyrus-Beck clip of segments to a convex polygon: ``struct<t0, t1,
-    length, cls>``.  Class is the number of ends cut off, -1 if nothing is
-    left; edges are literals, so the clip is one expression per row."""
-    dy, dz = y1 - y0, z1 - z0
-    enter, leave, out = [F.lit(0.0)], [F.lit(1.0)], []
-    for a, b, c, d in _edges(counter_clockwise(polygon)):
-        # inward normal of a counter-clockwise edge
-        ny, nz = -(d - b), c - a
-        into = dy * ny + dz * nz
-        rest = (y0 - a) * ny + (z0 - b) * nz
-        t = F.try_divide(-rest, into)
-        enter.append(F.when(into > 0, t))
-        leave.append(F.when(into < 0, t))
-        out.append((into == 0) & (rest < 0))
-    t0, t1 = F.greatest(*enter), F.least(*leave)
-    gone = reduce(lambda p, q: p | q, out) | (t0 >= t1)
+def with_clip(df: DataFrame, ends: list[Column], polygon: Polygon, name: str = "clip") -> DataFrame:
+    """Cyrus-Beck clip of segments ``ends = [y0, z0, y1, z1]`` to a convex
+    polygon, as columns ``clip_t0, clip_t1, clip_length, clip_class``.
+
+    Class is the number of ends cut off, -1 if nothing is left.  Edges are
+    literals, so the clip needs no join; the two parameters are columns of
+    their own first, so that each is computed once.
+    """
+    y0, z0, y1, z1 = ends
+    # plain columns: fields of a struct would be computed anew at each use
+    df = df.withColumns({"_y0": y0, "_z0": z0, "_dy": y1 - y0, "_dz": z1 - z0})
+    dy, dz = F.col("_dy"), F.col("_dz")
+    edges = _edges(counter_clockwise(polygon))
+    # (ny, nz): inward normal of a counter-clockwise edge
+    normals = [(-(d - b), c - a) for a, b, c, d in edges]
+    steps = {f"_into{k}": dy * ny + dz * nz for k, (ny, nz) in enumerate(normals)}
+    steps |= {f"_rest{k}": (F.col("_y0") - e[0]) * ny + (F.col("_z0") - e[1]) * nz for k, (e, (ny, nz)) in enumerate(zip(edges, normals))}
+    df = df.withColumns(steps)
+    into, rest = ([F.col(f"_{c}{k}") for k in range(len(edges))] for c in ("into", "rest"))
+    cut = [F.try_divide(-r, i) for i, r in zip(into, rest)]
+    enter = [F.lit(0.0), *[F.when(i > 0, t) for i, t in zip(into, cut)]]
+    leave = [F.lit(1.0), *[F.when(i < 0, t) for i, t in zip(into, cut)]]
+    away = reduce(lambda p, q: p | q, [(i == 0) & (r < 0) for i, r in zip(into, rest)])
+    df = df.withColumns({"_t0": F.greatest(*enter), "_t1": F.least(*leave), "_away": away})
+    df = df.withColumn("_gone", F.col("_away") | (F.col("_t0") >= F.col("_t1")))
+    t0, t1, gone = F.col("_t0"), F.col("_t1"), F.col("_gone")
     cls = F.when(gone, -1).otherwise((t0 > 0).cast("int") + (t1 < 1).cast("int"))
     length = F.when(gone, F.lit(0.0)).otherwise((t1 - t0) * F.hypot(dy, dz))
-    return F.struct(t0.alias("t0"), t1.alias("t1"), length.alias("length"), cls.alias("cls"))
+    names = ["_y0", "_z0", "_dy", "_dz", *steps, "_t0", "_t1", "_away", "_gone"]
+    return df.withColumns({f"{name}_t0": t0, f"{name}_t1": t1, f"{name}_length": length, f"{name}_class": cls}).drop(*names)
 
 
-def clip_box(y0: Column, z0: Column, y1: Column, z1: Column, box: tuple[float, float, float, float]) -> Column:
-    """Clip to ``(ymin, zmin, ymax, zmax)``."""
-    a, b, c, d = box
-    return clip_convex(y0, z0, y1, z1, [(a, b), (c, b), (c, d), (a, d)])
+def box(ymin: float, zmin: float, ymax: float, zmax: float) -> Polygon:
+    return [(ymin, zmin), (ymax, zmin), (ymax, zmax), (ymin, zmax)]
 
 
 def crossing(a: tuple[Column, Column, Column, Column], b: tuple[float, float, float, float]) -> Column:
@@ -84,22 +92,24 @@ def crossing(a: tuple[Column, Column, Column, Column], b: tuple[float, float, fl
     return F.when(F.abs(det) > 1e-12, F.when((t >= 0) & (t <= 1) & (u >= 0) & (u <= 1), t))
 
 
-def chord(center: Column, normal: Column, radius: Column, face_x: Column) -> Column:
-    """Chord of a disc on the plane ``x = face_x``: ``struct<half, my, mz, dy,
-    dz>``; null where the plane misses the disc or is parallel to it.
+def with_chord(df: DataFrame, center: Column, normal: Column, radius: Column, face_x: Column) -> DataFrame:
+    """Chords of discs on planes ``x = face_x``, as columns ``half, my, mz, dy,
+    dz``; rows whose plane misses the disc or is parallel to it are dropped.
 
     The chord's middle is the centre moved in the disc's plane along the
     steepest line towards the face; its direction is normal to both planes.
     """
-    flat = F.hypot(normal["y"], normal["z"])
-    gap = face_x - center["x"]
-    reach = gap / flat
-    half = F.sqrt(radius * radius - reach * reach)
-    # in-plane direction towards x: e = (flat, -nx ny / flat, -nx nz / flat)
-    my = center["y"] - gap * normal["x"] * normal["y"] / (flat * flat)
-    mz = center["z"] - gap * normal["x"] * normal["z"] / (flat * flat)
-    found = F.struct(half.alias("half"), my.alias("my"), mz.alias("mz"), (-normal["z"] / flat).alias("dy"), (normal["y"] / flat).alias("dz"))
-    return F.when((flat > 1e-9) & (F.abs(reach) < radius), found)
+    df = df.withColumns({"_flat": F.hypot(normal["y"], normal["z"]), "_gap": face_x - center["x"]})
+    flat, gap = F.col("_flat"), F.col("_gap")
+    df = df.filter((flat > 1e-9) & (F.abs(F.try_divide(gap, flat)) < radius)).withColumn("_reach", gap / flat)
+    # in-plane direction towards x: (flat, -nx ny / flat, -nx nz / flat)
+    return df.withColumns({
+        "half": F.sqrt(radius * radius - F.col("_reach") * F.col("_reach")),
+        "my": center["y"] - gap * normal["x"] * normal["y"] / (flat * flat),
+        "mz": center["z"] - gap * normal["x"] * normal["z"] / (flat * flat),
+        "dy": -normal["z"] / flat,
+        "dz": normal["y"] / flat,
+    }).drop("_flat", "_gap", "_reach")
 
 
 def segment_distance(p0: Column, p1: Column, q0: Column, q1: Column) -> Column:

@@ -24,12 +24,26 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql.replace("{t}", TRACES).replace("{n}", NORMALS).replace("{d}", DISCS)
+            ORACLES[f.__name__] = plain_hypot(sql.replace("{t}", TRACES).replace("{n}", NORMALS).replace("{d}", DISCS))
         return f
 
     return register
 
 
+def plain_hypot(sql: str) -> str:
+    """``hypot(a, b)`` as a square root, for SQL without the function."""
+    while (at := sql.rfind("hypot(")) >= 0:
+        depth, k, comma = 1, at + 6, 0
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if sql[k] == "," and depth == 1:
+                comma = k
+            k += 1
+        a, b = sql[at + 6 : comma], sql[comma + 1 : k - 1]
+        sql = f"{sql[:at]}sqrt(({a})*({a})+({b})*({b})){sql[k:]}"
+    return sql
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
