@@ -324,13 +324,18 @@ def powerlaw_moments(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT set_id, avg(len) AS m, sum(len) / 1250 AS p21, 2.4::DOUBLE + count(DISTINCT face_id) * 0.05::DOUBLE AS kr FROM {t} t GROUP BY set_id)
-SELECT set_id, round(p21 * (100.0::DOUBLE ** (3 - kr) - 2.0::DOUBLE ** (3 - kr)) / (100.0::DOUBLE ** (3 - kr) - 0.5::DOUBLE ** (3 - kr)), 6) AS p32_scaled FROM s
+SELECT set_id, round(p21 * CASE WHEN abs(3 - kr) < 1e-9 THEN ln(100.0::DOUBLE / 2) / ln(100.0::DOUBLE / 0.5)
+  ELSE (100.0::DOUBLE ** (3 - kr) - 2.0::DOUBLE ** (3 - kr)) / (100.0::DOUBLE ** (3 - kr) - 0.5::DOUBLE ** (3 - kr)) END, 6) AS p32_scaled FROM s
 """)
 def support_scaled(spark: SparkSession, d: str) -> DataFrame:
     """Intensity carried from one radius support to a narrower one."""
     s = traces(spark, d).groupBy("set_id").agg((F.sum("len") / 1250).alias("p21"), (2.4 + F.countDistinct("face_id") * 0.05).alias("kr"))
     power = lambda base: F.pow(F.lit(base), 3 - F.col("kr"))
-    return s.select("set_id", r6(F.col("p21") * (power(100.0) - power(2.0)) / (power(100.0) - power(0.5)), "p32_scaled"))
+    # the second moment of a density with exponent 3 is logarithmic
+    share = F.when(F.abs(3 - F.col("kr")) < 1e-9, F.lit(math.log(100 / 2) / math.log(100 / 0.5))).otherwise(
+        F.try_divide(power(100.0) - power(2.0), power(100.0) - power(0.5))
+    )
+    return s.select("set_id", r6(F.col("p21") * share, "p32_scaled"))
 
 
 @query("""
@@ -385,7 +390,7 @@ def segment_distances(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH b AS (SELECT disc_id, least(abs(-20 - cx), 1) AS k, nx * (s.sx * 4) + ny * (s.sy * 6) + nz * (s.sz * 5) - (nx * cx + ny * cy + nz * cz) + nx * 20 AS v FROM {d} d,
   (SELECT x.v AS sx, y.v AS sy, z.v AS sz FROM (VALUES (-1), (1)) x(v), (VALUES (-1), (1)) y(v), (VALUES (-1), (1)) z(v)) s)
-SELECT d.disc_id, abs(cx - 20) <= 4 + radius AND abs(cy) <= 6 + radius AND abs(cz) <= 5 + radius AS box_meets, min(v) <= 0 AND max(v) >= 0 AS straddles
+SELECT d.disc_id, abs(cx - 20) <= 4 + radius AND abs(cy) <= 6 + radius AND abs(cz) <= 5 + radius AS box_meets, min(v) <= 1e-9 AND max(v) >= -1e-9 AS straddles
 FROM {d} d JOIN b USING (disc_id) GROUP BY d.disc_id, cx, cy, cz, radius
 """)
 def box_prefilter(spark: SparkSession, d: str) -> DataFrame:
@@ -394,4 +399,4 @@ def box_prefilter(spark: SparkSession, d: str) -> DataFrame:
     c, n, r = F.col("c"), F.col("n"), F.col("radius")
     meets = (F.abs(c["x"] - 20) <= 4 + r) & (F.abs(c["y"]) <= 6 + r) & (F.abs(c["z"]) <= 5 + r)
     corners = [vec.dot(n, vec.sub(vec.vec(20 + 4 * i, 6 * j, 5 * k), c)) for i in (-1, 1) for j in (-1, 1) for k in (-1, 1)]
-    return discs(spark, d).select("disc_id", meets.alias("box_meets"), ((F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)).alias("straddles"))
+    return discs(spark, d).select("disc_id", meets.alias("box_meets"), ((F.least(*corners) <= 1e-9) & (F.greatest(*corners) >= -1e-9)).alias("straddles"))

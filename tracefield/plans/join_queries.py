@@ -200,8 +200,11 @@ def disc_face_traces(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT disc_id FROM {{d}} d WHERE disc_id NOT IN (SELECT disc_id FROM {VISIBLE} v WHERE vcls >= 0 AND vis >= 1.03)")
 def detected_anti_join(spark: SparkSession, d: str) -> DataFrame:
     """Discs that no face would have shown; a chord shorter than the detection
-    length can't survive the clip, so it is dropped first."""
-    seen = visible(spark, d).filter("half * 2 >= 1.03 AND clip_length >= 1.03").select("disc_id")
+    length can't survive the clip, so it is dropped first.  The longest visible
+    chord per disc is settled before the join: a filter on the clip itself
+    would be pushed down with all of the clip's expressions inlined."""
+    longest = visible(spark, d).filter("half * 2 >= 1.03").groupBy("disc_id").agg(F.max("clip_length").alias("longest"))
+    seen = longest.filter("longest >= 1.03").select("disc_id")
     return discs(spark, d).select("disc_id").join(seen, "disc_id", "left_anti")
 
 
