@@ -1,6 +1,6 @@
 """Queries over the driver tables, with SQL twins."""
 
-from . import aggregate_queries, geometry_queries, graph_queries, join_queries, window_queries
+from . import aggregate_queries, geometry_queries, graph_queries, join_queries, stream_queries, window_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregate_queries", "geometry_queries", "graph_queries", "join_queries", "window_queries"]
+__all__ = ["ORACLES", "QUERIES", "aggregate_queries", "geometry_queries", "graph_queries", "join_queries", "stream_queries", "window_queries"]

@@ -173,10 +173,14 @@ def chords(spark: SparkSession, d: str) -> DataFrame:
     return geom.with_chord(pairs, F.col("c"), F.col("n"), F.col("radius"), F.col("face_x")).drop("face_x")
 
 
-def visible(spark: SparkSession, d: str) -> DataFrame:
-    """Chords clipped to the window, with their visible length and class."""
+def clipped(spark: SparkSession, d: str) -> DataFrame:
+    """Chords clipped to the window; length 0 and class -1 if none is left."""
     ends = [F.col("my") - F.col("half") * F.col("dy"), F.col("mz") - F.col("half") * F.col("dz"), F.col("my") + F.col("half") * F.col("dy"), F.col("mz") + F.col("half") * F.col("dz")]
-    return geom.with_clip(chords(spark, d), ends, SQUARE).filter("clip_class >= 0")
+    return geom.with_clip(chords(spark, d), ends, SQUARE)
+
+
+def visible(spark: SparkSession, d: str) -> DataFrame:
+    return clipped(spark, d).filter("clip_class >= 0")
 
 
 def sql_clip(table: str, y0: str, z0: str, y1: str, z1: str) -> str:
@@ -203,7 +207,7 @@ def detected_anti_join(spark: SparkSession, d: str) -> DataFrame:
     length can't survive the clip, so it is dropped first.  The longest visible
     chord per disc is settled before the join: a filter on the clip itself
     would be pushed down with all of the clip's expressions inlined."""
-    longest = visible(spark, d).filter("half * 2 >= 1.03").groupBy("disc_id").agg(F.max("clip_length").alias("longest"))
+    longest = clipped(spark, d).filter("half * 2 >= 1.03").groupBy("disc_id").agg(F.max("clip_length").alias("longest"))
     seen = longest.filter("longest >= 1.03").select("disc_id")
     return discs(spark, d).select("disc_id").join(seen, "disc_id", "left_anti")
 
