@@ -32,11 +32,22 @@ SCHEMA = (
 SENTENCE_ENDS = (".</w>", "!</w>", "?</w>", "...</w>", "!!</w>", ".", "!", "?")
 
 
+def exact_powers(positions: list[int], powers: list[int]) -> dict[int, list[int]]:
+    """Per index, the indexes that lie one of ``powers`` before it."""
+    x = np.asarray(positions)
+    out: dict[int, list[int]] = {}
+    for length in powers:
+        at = np.searchsorted(x, x - length)
+        found = np.flatnonzero(x[at] == x - length)
+        for j, k in zip(found.tolist(), at[found].tolist()):
+            out.setdefault(j, []).append(k)
+    return out
+
+
 def choose_cuts(positions: list[int], penalties: list[float], window: int, least_power: int = 256) -> list[int]:
     """Indexes into ``positions`` (increasing, from 0 to the end) at which the
     cheapest windows end.  Neighbours must be at most ``window`` apart."""
-    index = {p: i for i, p in enumerate(positions)}
-    powers = [1 << k for k in range(window.bit_length() - 1, -1, -1) if least_power <= 1 << k < window]
+    hits = exact_powers(positions, [1 << k for k in range(window.bit_length() - 1, -1, -1) if least_power <= 1 << k < window])
     n = len(positions)
     key, best, back = [0.0] * n, [0.0] * n, [0] * n
     queue = deque([0])
@@ -46,10 +57,10 @@ def choose_cuts(positions: list[int], penalties: list[float], window: int, least
             queue.popleft()
         i = queue[0]
         cost = key[i] + window - p
-        for length in powers:
-            k = index.get(p - length)
-            if k is not None and best[k] < cost:
-                cost, i = best[k], k
+        if j in hits:
+            for k in hits[j]:
+                if best[k] < cost:
+                    cost, i = best[k], k
         best[j] = cost = cost + penalties[j]
         back[j] = i
         key[j] = cost = cost + p

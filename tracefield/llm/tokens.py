@@ -33,7 +33,7 @@ class Encoder:
     """``max_chunks`` and ``max_words`` bound the memory of the memo; a full
     memo is emptied and fills again."""
 
-    def __init__(self, path: str, max_chunks: int = 400_000, max_words: int = 400_000):
+    def __init__(self, path: str, max_chunks: int = 1_000_000, max_words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -57,7 +57,7 @@ class Encoder:
 
     def _learn_words(self, words: list[str]) -> None:
         """One call for all new words; each ends at the token that closes it."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.frombuffer(self._direct([" ".join(words)])[0], "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):
             self.words.update(zip(words, self._direct(words)))
