@@ -1,5 +1,8 @@
 """The stages of the pipeline, each on what its predecessor left."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,3 +24,51 @@ def test_stages(spark, sf_dir):
     packed = corpus_pipeline.STAGES[-1][1](spark, before, sf_dir)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0
     assert packed.filter("start = 0").count() == before.count()
+
+
+def shingles(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    parts = [w for w in re.split(r"[\x20\x09-\x0D]+", lower) if w]
+    n = min(5, len(parts))
+    return {tuple(parts[k : k + n]) for k in range(len(parts) - n + 1)} if parts else set()
+
+
+def brute_kept(rows):
+    """The first of ``rows(doc_id, text)``, ids least first and null last, of
+    each class linked at a similarity of 0.8; texts without words stay."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for b in range(len(rows)):
+        for a in range(b):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return sorted((r for k, r in enumerate(rows) if find(k) == k), key=repr)
+
+
+def kept(spark, sf_dir, docs):
+    return sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()), key=repr)
+
+
+def make(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def words(seed, n=104):
+    return " ".join(random.Random(seed).choices([f"word{k}" for k in range(400)], k=n))
+
+
+def test_near_copies_at_four_fifths_go(spark, sf_dir):
+    at = lambda k: " ".join([*words(1).split()[: 104 - k], *words(2).split()[:k]])
+    # of 100 shingles all but 10, 11 and 12 are shared: 90/110, 89/111, 88/112
+    rows = [(1, at(0)), (2, at(10)), (3, words(3)), (4, at(12)), (5, at(11))]
+    assert [i for i, _ in brute_kept(rows)] == [i for i, _ in kept(spark, sf_dir, make(spark, rows))]
+    assert [i for i, _ in kept(spark, sf_dir, make(spark, rows[:3]))] == [1, 3]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert kept(spark, sf_dir, docs) == brute_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
