@@ -36,15 +36,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each near-duplicate class; of
-    rows that repeat an id, the one with the least text."""
-    classes = neardup.near_duplicates(docs, percent=NEAR_PERCENT)
-    kept = classes.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    found = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    if not ids_repeat(found):
-        return found
-    least = F.min(F.struct("text", *[c for c in COLUMNS if c not in ("doc_id", "text")])).alias("x")
-    return found.groupBy("doc_id").agg(least).select("doc_id", "x.*").select(*COLUMNS)
+    """Keep one row of each near-duplicate class: the one with the least id, a
+    null id last, and of rows that share it one by the hash of its text.  Rows
+    are told apart by a number of their own, so what repeats an id or has none
+    is judged by its text; a text without words is its own class."""
+    numbered = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"), F.xxhash64("text", "lang", "source", "n_chars").alias("mark"))
+    rows = common.stage_table(numbered, "pipeline-rows")
+    classes = neardup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), percent=NEAR_PERCENT)
+    classes = classes.select(F.col("doc_id").alias("row"), F.col("component_id").alias("class"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "row").alias("order")
+    first = classes.join(rows.select("row", order), "row").groupBy("class").agg(F.min("order").alias("first"))
+    return rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
 def ids_repeat(docs: DataFrame) -> bool:

@@ -72,3 +72,26 @@ def test_near_copies_at_four_fifths_go(spark, sf_dir):
     assert [i for i, _ in kept(spark, sf_dir, make(spark, rows[:3]))] == [1, 3]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert kept(spark, sf_dir, docs) == brute_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_rows_without_an_id_or_with_a_repeated_one_are_judged_by_text(spark, sf_dir):
+    near = words(10).replace(words(10).split()[50], "changed", 1)
+    rows = [
+        (None, words(10)), (None, words(11)), (None, words(12)), (7, words(12)), (None, words(12)), (8, words(13)), (8, words(14)),
+        (9, words(15)), (9, words(15)), (None, words(15).upper()), (None, "one two"), (6, words(14)),
+    ]
+    left = [(None, words(10)), (None, words(11)), (None, "one two"), (6, words(14)), (7, words(12)), (8, words(13)), (9, words(15))]
+    assert kept(spark, sf_dir, make(spark, rows)) == sorted(left, key=repr) == brute_kept(rows)
+    # near, not equal, copies without an id
+    found = kept(spark, sf_dir, make(spark, [*rows, (None, near)]))
+    assert len(found) == len(left) and ((None, near) in found) != ((None, words(10)) in found)
+
+
+def test_stages_keep_rows_without_an_id(spark, sf_dir):
+    docs = make(spark, [(None, words(k)) for k in range(20, 32)] + [(5, words(40)), (5, words(41))]).withColumn("source", F.lit("web"))
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        left = stage(spark, left, sf_dir).cache()
+        assert {r["text"] for r in left.select("text").collect()} >= {words(k) for k in [*range(20, 32), 40, 41]}, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, left, sf_dir)
+    assert packed.filter("start = 0").count() == left.count()
