@@ -95,3 +95,50 @@ def test_range_join_meets_each_pair_once(spark):
     b = spark.createDataFrame([(2, 3.0, 30.0), (3, 9.5, 10.0)], "id int, lo double, hi double")
     got = [(r["l"]["id"], r["r"]["id"]) for r in joins.grid_range_join(a, b, "lo", "hi", 2.0).collect()]
     assert got == [(1, 2)]
+
+
+def least_assignment(costs):
+    """Most pairs first, then least cost, of ``{(i, j): cost}`` by trying all."""
+    if not costs:
+        return (0, 0.0)
+    i = min(costs)[0]
+    rest = {k: c for k, c in costs.items() if k[0] != i}
+    options = [least_assignment(rest)]
+    for (a, j), c in costs.items():
+        if a == i:
+            n, total = least_assignment({k: x for k, x in rest.items() if k[1] != j})
+            options.append((n - 1, total + c))
+    return min(options)
+
+
+def test_assignment_covers_all_discs(spark, tmp_path):
+    from tracefield import plans
+
+    keys = [k + 40 * m for k in (1, 2, 3, 5, 6, 7, 9, 4, 8) for m in range(5)]
+    parts = [(k, f"Brand#{k % 2}", 8) for k in keys]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    groups = {}
+    for i in keys:
+        for j in keys:
+            gap = math.hypot((i * 7 % 23) - (j * 7 % 23), (i * 5 % 19) - (j * 5 % 19))
+            if i % 2 == j % 2 and j % 40 == i % 40 + 4 and gap <= 9:
+                groups.setdefault((f"Brand#{i % 2}", float(j % 40)), {})[i, j] = gap
+    got = {}
+    for r in plans.QUERIES["assigned_pairs"](spark, str(tmp_path)).collect():
+        got.setdefault((r["set_id"], r["x"]), []).append((r["i"], r["j"], r["cost"]))
+    assert any(i % 4 for g in groups.values() for i, _ in g) and set(got) == set(groups)
+    for key, costs in groups.items():
+        found = got[key]
+        assert len({i for i, _, _ in found}) == len({j for _, j, _ in found}) == len(found)
+        assert all(math.isclose(costs[i, j], c) for i, j, c in found)
+        n, total = least_assignment(costs)
+        assert len(found) == -n and math.isclose(sum(c for _, _, c in found), total)
+
+
+def test_assignment_is_split_by_connected_candidates(spark):
+    rows = [("s", 1, 1, 1.0), ("s", 1, 2, 2.0), ("s", 3, 2, 1.0), ("s", 2, 3, 1.0), ("t", 1, 1, 1.0)]
+    pairs = spark.createDataFrame(rows, "by string, i long, j long, cost double")
+    got = {(r["by"], r["i"], r["j"]): r["component"] for r in joins.split_by_component(pairs, ["by"], "i", "j").collect()}
+    assert len(got) == 5 and len(set(got.values())) == 3
+    assert got["s", 1, 1] == got["s", 1, 2] == got["s", 3, 2] != got["s", 2, 3]
+    assert sorted((r["i"], r["j"]) for r in joins.assign(pairs, ["by"], "i", "j", "cost").collect()) == [(1, 1), (1, 1), (2, 3), (3, 2)]

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
+
 
 def cells(low: Column, high: Column, size: float) -> Column:
     """The grid cells that a closed range touches."""
@@ -54,7 +56,8 @@ def nearest(left: DataFrame, right: DataFrame, by: str, id: str, distance: Colum
 def assign(candidates: DataFrame, by: list[str], left: str, right: str, cost: str) -> DataFrame:
     """One-to-one assignment of least total cost per group, leaving rows
     without a candidate alone.  Groups are pairs of neighbouring faces; they are
-    first split by connected candidates, which an assignment never crosses."""
+    first split by connected candidates, which an assignment never crosses, and
+    each component is solved in one task."""
     import numpy as np
     import pandas as pd
 
@@ -73,7 +76,18 @@ def assign(candidates: DataFrame, by: list[str], left: str, right: str, cost: st
 
     types = dict(candidates.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [*by, left, right, cost])
-    return candidates.select(*by, left, right, cost).groupBy(*by).applyInPandas(solve, schema)
+    rows = candidates.select(*by, left, right, cost)
+    return split_by_component(rows, by, left, right).groupBy("component").applyInPandas(solve, schema)
+
+
+def split_by_component(candidates: DataFrame, by: list[str], left: str, right: str) -> DataFrame:
+    """``candidates`` with the ``component`` of ``by`` that they connect; a
+    left and a right row are distinct nodes even if their ids are equal."""
+    node = lambda side, id: F.struct(*by, F.lit(side).alias("side"), F.col(id).cast("string").alias("of"))
+    rows = graph.cut_lineage(candidates.withColumn("a", node(0, left)).withColumn("b", node(1, right)))
+    nodes = rows.select(F.col("a").alias("id")).union(rows.select(F.col("b").alias("id")))
+    found = graph.components(nodes, rows.select("a", "b")).withColumnRenamed("id", "a")
+    return rows.join(found, "a").drop("a", "b")
 
 
 def hungarian(cost):

@@ -272,7 +272,7 @@ def slab_links(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def assigned_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Assignment of least cost between neighbouring faces of a set."""
-    rows = discs(spark, d).filter("disc_id % 4 = 0").select("disc_id", "set_id", "c")
+    rows = discs(spark, d).select("disc_id", "set_id", "c")
     a = rows.select(F.col("disc_id").alias("i"), "set_id", F.col("c").alias("a"), (F.col("c.x") + 4).alias("x"))
     b = rows.select(F.col("disc_id").alias("j"), "set_id", F.col("c").alias("b"), F.col("c.x").alias("x"))
     cost = F.hypot(F.col("a.y") - F.col("b.y"), F.col("a.z") - F.col("b.z"))
