@@ -18,7 +18,8 @@ from tracefield.llm import common, langid, mixing, neardup, packing, repeats
 from tracefield.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Passages of 50 words have at least so many bytes.
+#: A repeated passage has at least so many bytes, whatever its words: a run of
+#: more than 50 words that average under about four bytes can be shorter.
 PASSAGE_BYTES = 256
 #: A document needs a language that is at least so probable.
 LEAST_SCORE = 0.5
