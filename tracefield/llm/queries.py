@@ -45,7 +45,8 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(_read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", text.alias("text"))
 
 
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,9 @@ from .grouped import sorted_groups
 DIGIT = 128
 #: Windows of a text are taken in pieces of so many.
 PIECE = 1 << 22
+#: Passages with more occurrences than ``HOT_ROWS`` are told by broadcast while
+#: they are at most ``HOT_GROUPS``; beyond that both sides are shuffled.
+HOT_ROWS, HOT_GROUPS = 10_000, 500_000
 _MASK = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20240103).integers(1, 2**64, 256, np.uint64)
@@ -233,9 +236,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, group_limit: int = 20_000
     )
     end = (F.col("high") + length).cast("int")
     whole = left.filter("NOT split").select("doc", "mark", "low", end.alias("high"))
-    whole = whole.unionByName(
-        mixed.join(groups.filter("n > 1").select("first", "second"), ["first", "second"]).select("doc", "mark", "low", end.alias("high"))
-    )
+    # members of a hot passage are found by broadcast and are never shuffled
+    hot = common.broadcast_within(groups.filter(F.col("n") > HOT_ROWS).select("first", "second"), HOT_GROUPS)
+    others = groups.filter(F.col("n").between(2, HOT_ROWS)).select("first", "second")
+    for members in (mixed.join(hot, ["first", "second"], "left_semi"), mixed.join(hot, ["first", "second"], "left_anti").join(others, ["first", "second"])):
+        whole = whole.unionByName(members.select("doc", "mark", "low", end.alias("high")))
     open_keys = groups.groupBy("first").agg(F.count("*").alias("size"), F.count_if(F.col("n") == 1).alias("lone")).filter("lone > 0")
     wanted = groups.join(open_keys, "first").select(
         "one.*", "first", (F.col("n") == 1).alias("alone"), (F.col("size") > group_limit).alias("large")
