@@ -317,21 +317,6 @@ def test_code_lengths_are_those_of_a_plain_context_tree():
     assert model.code_lengths([text])[0, 0] == pytest.approx(expected, rel=1e-5)
 
 
-PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><a>Home</a></nav><header>Site</header>
-<article><h1>Head &amp; line</h1><p>First  para<br>graph %d.<p>Second <b>bold</b> one %d.<script>var x = "</p>";</script></article>
-<aside>Ad</aside><div class="comments"><p>Nice!</p></div><footer>&copy; us</footer></body></html>"""
-
-
-def test_site_tree(spark):
-    rows = [(k, f"http://h/{k}", PAGE % (k, k)) for k in range(20)] + [(90, None, None), (91, "", ""), (92, "http://x/", "plain < text &lt;"), (93, "http://x/", "<p>" + "long " * 200_000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
-    got = {r["page_id"]: r for r in sitetree.extract(pages).collect()}
-    assert len(got) == len(rows)
-    assert got[3]["text"] == "Head & line\nFirst para graph 3.\nSecond bold one 3." or got[3]["text"] == "First para graph 3.\nSecond bold one 3."
-    assert got[90]["text"] == "" and got[91]["n_chars"] == 0
-    assert got[93]["n_chars"] == len(("long " * 200_000).strip())
-
-
 @pytest.mark.parametrize(
     "run",
     [

@@ -1,20 +1,29 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one style tree: a style node is the path
-of tags and classes that leads to it.  Over the host's pages it has
-
-* presentation importance: the entropy of its children's tag sequences, and
-* content importance: one less the share ``log(pages with this content) /
-  log(pages)`` that its blocks have on average,
-
-both between 0 and 1.  A branch is removed from a page if its style node is
-unimportant in both, and a block if its own content is.  Pages with the same
-longest block count once, so copies of a page don't make its text common.
-
-The entropies alone can't tell a menu that differs on every page from a
-paragraph, so the node's role (its tag, role and class words) is weighed in as
-a prior: elements that name themselves menus, adverts, forms and the like have
-importance 0, and where a page has an article the rest has none.
+The DOMs of a host's pages are merged into one tree of style nodes: the path
+of tags and classes that leads to an element, inner nodes as well as those
+that hold text.  Copies of a page count once.  Over the host's pages a branch
+(a style node with all below it) has
+
+* presentation importance: the largest entropy of the child sequences of its
+  nodes, as a share of the most that so many pages can have,
+* content importance: one less ``log(pages with this text) / log(pages)``,
+  averaged over the branch's characters,
+* substance: its share of the characters of the pages that have it, and how
+  much of it is not link text.
+
+A branch is worth ``content * (1 - links) * max(presentation, share)``, which
+needs no number of pages: on a host with one page content is 1, presentation
+0, and the share decides.  Branches of less than ``least`` are cut whole.
+
+A node most of whose text lies directly in its blocks is a text container:
+what it holds is one run of text, so its blocks are not judged one by one and
+a heading that every article has stays.  In the page's body itself they are,
+by content and links only.
+
+Elements that say what they are (``<nav>``, ``class="cookie-bar"``,
+``<article>``) move their branch's worth by the weight ``prior``; with
+``prior=0`` the tree decides alone.
 """
 
 from __future__ import annotations
@@ -26,17 +35,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>""",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_WORD = re.compile(r"[a-z]+|[0-9]+")
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_PLAIN = re.compile(r"""[^>"']*+""")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_MAIN = re.compile(r"""<main\b|\brole\s*=\s*["']?main\b""", re.I)
+_DIGITS = re.compile(r"[0-9]+")
 
 # Fixed values of HTML: elements without content, with raw content, that start
 # a new block, and whose start ends an open paragraph or item.
@@ -48,27 +56,29 @@ BLOCK = frozenset(
     " thead tr ul".split()
 )
 ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
+    "li": (("li",), ("ul", "ol", "menu", "dir")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select",)),
 }
-PARAGRAPH_SCOPE = frozenset("td th table button object caption".split())
-# Roles of elements that are not main text.
+PARAGRAPH_SCOPE = ("td", "th", "table", "button", "object", "caption")
+#: Elements that only shape a run of text.
+FLOW = frozenset("ul ol dl li dd table tbody thead tfoot tr blockquote pre figure".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+# Elements, roles and words of classes and ids that name what is not main text.
 NOISE_TAGS = frozenset(
-    "head script style noscript template iframe object embed svg canvas form button input select textarea nav footer aside menu"
-    " dialog title".split()
+    "head object embed canvas button input select nav footer aside menu dialog".split()
 )
 NOISE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
 )
 NOISE_WORDS = frozenset(
-    "ad ads nav side footer header masthead menu banner notice notices alert gdpr consent popup modal overlay share sharing"
-    " social related recommended toolbar pager pagination login signup search copyright disclaimer reply replies respond disqus"
-    " widget".split()
+    "ad ads nav side sidebar footer menu banner notice notices alert gdpr consent popup modal overlay share sharing social related"
+    " recommended teaser teasers toolbar pager pagination login signup search copyright disclaimer reply replies respond disqus"
+    " widget widgets".split()
 )
 NOISE_STARTS = (
     "advert", "breadcrumb", "comment", "cookie", "footer", "menu", "navbar", "navigation", "newsletter", "promo", "sidebar",
@@ -76,91 +86,171 @@ NOISE_STARTS = (
 )
 #: Words that name the page's own header, which an article may have too.
 HEADER_WORDS = frozenset(["header", "masthead"])
+#: Words that may stand beside a noise word in one class without changing it.
+FRAME_WORDS = frozenset(
+    "area bar block bottom box button buttons container content footer global group header inner item items left links list main"
+    " outer page panel post primary reader right section secondary site slot top user wrap wrapper".split()
+)
+#: Elements nested more deeply belong to the style node at this depth.
+DEPTH = 48
+NEUTRAL, NOISE, HEADER, FORM, MAIN, INSIDE = range(6)
 
 
 def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-class Node:
-    __slots__ = ("tag", "style", "parent", "noise", "keep", "path", "children")
-
-    def __init__(self, tag: str, style: str, parent: "Node | None", noise: int, keep: bool):
-        self.tag, self.style, self.parent, self.noise, self.keep = tag, style, parent, noise, keep
-        self.path = xxhash.xxh3_64_intdigest(style, parent.path) if parent else xxhash.xxh3_64_intdigest(style)
-        self.children = 0
+def named_kind(names: str) -> int:
+    """What a class or id attribute names: all parts of one of its words have
+    to be noise or frame, so ``side-effects`` names nothing."""
+    kind = NEUTRAL
+    for word in names.lower().split():
+        parts = [x for x in re.split(r"[-_0-9]+", word) if x]
+        noise = [x in NOISE_WORDS or x.startswith(NOISE_STARTS) for x in parts]
+        if any(noise) and all(n or x in FRAME_WORDS for n, x in zip(noise, parts)):
+            return NOISE
+        if parts and parts[-1] in HEADER_WORDS and all(x in HEADER_WORDS or x in FRAME_WORDS for x in parts):
+            kind = HEADER
+    return kind
 
 
-def _role(tag: str, found: dict[str, str]) -> tuple[str, int, bool]:
-    """Style of an element, how surely it is noise (2: by itself, 1: unless
-    it holds or lies in an article), and whether it is the main part."""
-    words = _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())
-    role = found.get("role", "").lower()
-    style = f"{tag}.{'.'.join(sorted(set(found.get('class', '').lower().split())))}"
-    keep = tag in ("article", "main") or role in ("main", "article")
-    if keep or tag in ("html", "body"):
-        return style, 0, keep
-    hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    named = {w for w in words if w in NOISE_WORDS or w.startswith(NOISE_STARTS)}
-    if tag in NOISE_TAGS or role in NOISE_ROLES or hidden or named - HEADER_WORDS:
-        return style, 2, False
-    return style, 1 if tag == "header" or named else 0, False
+class Node:
+    """An element.  Elements alike in path are one style node."""
 
+    __slots__ = ("tag", "parent", "kind", "path", "depth", "gone", "hidden", "linked", "children", "main", "noisy")
 
-def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """Blocks of text in page order with the node of the block each lies in,
-    and all nodes."""
-    root = Node("#root", "", None, 0, False)
+    def __init__(self, tag: str, style: str, parent: "Node | None", kind: int, gone: frozenset):
+        self.tag, self.parent, self.kind = tag, parent, kind
+        self.children = 0
+        self.hidden = self.linked = self.main = self.noisy = False
+        if parent is None:
+            self.path, self.depth, self.gone = xxhash.xxh3_64_intdigest(style), 0, False
+            return
+        self.depth = min(parent.depth + 1, DEPTH)
+        self.path = xxhash.xxh3_64_intdigest(style, parent.path) if parent.depth < DEPTH else parent.path
+        self.gone = parent.gone or self.path in gone
+        self.hidden, self.linked = parent.hidden, parent.linked or tag in ("a", "button", "option")
+        self.main = kind in (MAIN, INSIDE)
+        self.noisy = parent.noisy or kind == NOISE
+
+
+_STYLES: dict[tuple[str, str], tuple[str, int, bool]] = {}
+
+
+def style_of(tag: str, rest: str) -> tuple[str, int, bool]:
+    """Style of an element, the kind that it says it is, and whether it is
+    hidden.  Digits in classes are dropped."""
+    known = _STYLES.get((tag, rest))
+    if known:
+        return known
+    found = attributes(rest) if rest.strip(" /") else {}
+    classes, role = found.get("class", "").lower(), found.get("role", "").lower()
+    hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+    kind = max((named_kind(x) for x in (classes, found.get("id", ""))), key=(NEUTRAL, HEADER, NOISE).index)
+    if tag in NOISE_TAGS or role in NOISE_ROLES:
+        kind = NOISE
+    elif kind == NEUTRAL and tag in ("header", "form"):
+        kind = HEADER if tag == "header" else FORM
+    elif kind != NOISE and (tag in ("main", "article") or role in ("main", "article")):
+        kind = MAIN
+    if tag in ("html", "body"):
+        kind = NEUTRAL
+    style = f"{tag}.{'.'.join(sorted(set(_DIGITS.sub('', classes).split())))}"
+    if len(_STYLES) > 20_000:
+        _STYLES.clear()
+    _STYLES[tag, rest] = style, kind, hidden
+    return style, kind, hidden
+
+
+def parse(page: str, gone: frozenset = frozenset()) -> tuple[list[tuple[Node, str, int]], list[Node]]:
+    """Blocks of text in page order, each with the element that holds it and
+    its characters in links, and all elements.  Text of hidden elements and of
+    style nodes in ``gone`` is left out.  Takes time linear in the page."""
+    has_main = bool(_MAIN.search(page))
+    root = Node("#root", "", None, NEUTRAL, gone)
     stack, nodes = [root], [root]
-    blocks: list[tuple[Node, str]] = []
+    open_at: dict[str, list[int]] = {}
+    blocks: list[tuple[Node, str, int]] = []
     held: list[str] = []
-    owner = root
+    owner, links = root, 0
+    last_end, last_quote, quoted = page.rfind(">"), {q: page.rfind(q) for q in "\"'"}, True
 
     def flush() -> None:
+        nonlocal links
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                blocks.append((owner, text))
+                blocks.append((owner, text, min(links, len(text))))
+            links = 0
 
     def text(piece: str) -> None:
-        nonlocal owner
+        nonlocal owner, links
+        top = stack[-1]
+        if top.hidden or top.gone:
+            return
         if not held or held == [" "]:
-            owner = stack[-1]
+            owner = top
         held.append(piece)
+        if top.linked:
+            links += len(piece)
 
     def close(depth: int) -> None:
-        flush()
+        for node in stack[depth:]:
+            open_at[node.tag].pop()
         del stack[depth:]
 
-    def find(tags, stops) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                return k
-            if stack[k].tag in stops:
-                break
-        return 0
+    def find(tags: tuple, stops: tuple) -> int:
+        at = lambda names: max((open_at[t][-1] for t in names if open_at.get(t)), default=0)
+        k = at(tags)
+        return k if k > at(stops) else 0
+
+    def tag_end(start: int) -> int:
+        """Where the tag whose attributes start here ends, past quoted values;
+        after a quote that never closes, quotes count for nothing."""
+        nonlocal quoted
+        at = start
+        while quoted:
+            at = _PLAIN.match(page, at).end()
+            if at >= len(page):
+                quoted = False
+            elif page[at] == ">":
+                return at
+            elif last_quote[page[at]] <= at:
+                quoted = False
+            else:
+                at = page.find(page[at], at + 1) + 1
+        return page.find(">", start)
 
     at, end = 0, len(page)
     while at < end:
-        found = _TOKEN.search(page, at)
-        if not found:
+        begin = page.find("<", at)
+        if begin < 0 or begin > last_end:
             text(page[at:])
             break
-        if found.start() > at:
-            text(page[at : found.start()])
-        at = found.end()
-        name = found[2] or found[5]
-        if not name:
+        if begin > at:
+            text(page[at:begin])
+        if page.startswith("<!--", begin):
+            done = page.find("-->", begin + 4)
+            at = done + 3 if done >= 0 else end
             continue
-        tag, closing, rest = name.lower(), found[1] or found[4], found[3] or found[6] or ""
-        if closing:
-            k = find((tag,), ())
+        found = _NAME.match(page, begin + 1)
+        if not found:
+            if page[begin + 1 : begin + 2] in ("!", "?", "/"):
+                at = page.find(">", begin) + 1
+            else:
+                text("<")
+                at = begin + 1
+            continue
+        tag = found[2].lower()
+        stop = tag_end(found.end())
+        rest, at = page[found.end() : stop], stop + 1
+        if found[1]:
+            k = open_at[tag][-1] if open_at.get(tag) else 0
             if k:
-                if any(n.tag in BLOCK or n.noise for n in stack[k:]):
-                    close(k)
-                else:
-                    del stack[k:]
+                if any(n.tag in BLOCK or n.kind == NOISE or n.hidden or n.gone for n in stack[k:]):
+                    flush()
+                close(k)
             continue
         if tag == "br":
             text(" ")
@@ -168,23 +258,30 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         if tag in BLOCK:
             flush()
             # a block ends an open paragraph; items and cells end their like
-            k = find({"p"}, PARAGRAPH_SCOPE)
-            if k:
+            if open_at.get("p") and (k := find(("p",), PARAGRAPH_SCOPE)):
                 close(k)
             if tag in ENDS and (k := find(*ENDS[tag])):
                 close(k)
+        top = stack[-1]
         if tag in RAW:
-            gone = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = gone.end() if gone else end
-            stack[-1].children = xxhash.xxh3_64_intdigest(tag, stack[-1].children)
+            shut = re.compile(rf"</{tag}\b[^>]*+>", re.I).search(page, at)
+            at = shut.end() if shut else end
+            top.children = xxhash.xxh3_64_intdigest(tag, top.children)
             continue
-        style, noise, keep = _role(tag, attributes(rest)) if rest.strip(" /") else _role(tag, {})
-        if noise and tag not in BLOCK and tag not in VOID:
+        style, kind, hidden = style_of(tag, rest)
+        if top.main and kind in (NEUTRAL, HEADER, MAIN):
+            kind = INSIDE
+        elif kind == MAIN and (has_main or top.noisy) and tag != "main" and not _MAIN.search(f"<{tag}{rest}"):
+            # an article beside the main part, or in a list of comments
+            kind = NEUTRAL
+        node = Node(tag, f"{style}.{kind}", top, kind, gone)
+        node.hidden = node.hidden or hidden
+        if (node.hidden, node.gone) != (top.hidden, top.gone):
             flush()
-        node = Node(tag, style, stack[-1], noise, keep)
-        stack[-1].children = xxhash.xxh3_64_intdigest(style, stack[-1].children)
+        top.children = xxhash.xxh3_64_intdigest(style, top.children)
         nodes.append(node)
         if tag not in VOID and not rest.endswith("/"):
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append(node)
     flush()
     return blocks, nodes
@@ -196,139 +293,196 @@ def block_of(node: Node) -> Node:
     return node
 
 
-def main_blocks(page: str) -> list[tuple[Node, str]]:
-    """Blocks that the roles of their elements leave in, in page order."""
-    blocks, nodes = parse(page)
-    holds = set()
-    for node in nodes:
-        if node.keep:
-            up = node.parent
-            while up is not None and up not in holds:
-                holds.add(up)
+def _host(url: str | None) -> str:
+    return re.sub(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?", "", (url or "").lower()).partition("/")[0].partition("?")[0].partition("#")[0]
+
+
+def host_of(url: Column) -> Column:
+    """The same as a column."""
+    bare = F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?", "")
+    return F.regexp_extract(bare, r"^[^/?#]*", 0)
+
+
+NODE = "struct<path:long,parents:array<long>,near:array<long>,children:long,kind:int,place:int>"
+TEXT = "struct<path:long,content:long,chars:long,links:long>"
+PAGE_SCHEMA = f"host string, page long, shape long, chars long, nodes array<{NODE}>, texts array<{TEXT}>"
+#: Where a style node stands: a block in a text container, a block in the
+#: body, a heading, the page itself.
+_ROOT, _FLOW, _HEADING = 1, 2, 4
+
+
+def page_row(page: str) -> tuple[int, int, int, list, list] | None:
+    """A page's part of the style tree: its longest block, a hash of it all,
+    its characters, its style nodes and its blocks."""
+    blocks, elements = parse(page)
+    if not blocks:
+        return None
+    texts, total = [], 0
+    for node, text, links in blocks:
+        texts.append((block_of(node).path, xxhash.xxh3_64_intdigest(text), len(text), links))
+        total += len(text)
+    # elements alike in path are one style node with all their child sequences
+    merged: dict[int, list] = {}
+    for node in elements:
+        own = merged.get(node.path)
+        if own is None:
+            parents, near, up, reaches = [], [], node.parent, True
+            while up is not None:
+                if up.path != node.path and (not parents or parents[-1] != up.path):
+                    parents.append(up.path)
+                    if reaches:
+                        near.append(up.path)
+                        reaches = up.tag in FLOW or up.tag not in BLOCK
                 up = up.parent
-    verdict: dict[Node, tuple[bool, int]] = {}
-
-    def judge(node: Node) -> tuple[bool, int]:
-        """Whether noise, and 2 in an article, 1 in a main part."""
-        chain = []
-        while node is not None and node not in verdict:
-            chain.append(node)
-            node = node.parent
-        noise, inside = verdict[node] if node is not None else (False, 0)
-        for node in reversed(chain):
-            if node.noise and not noise and node not in holds:
-                noise = node.noise == 2 or not inside
-            if node.keep and not noise:
-                inside = max(inside, 2 if node.tag == "article" or "article" in node.style else 1)
-            verdict[node] = noise, inside
-        return noise, inside
-
-    left = [(node, text, inside) for node, text in blocks for noise, inside in [judge(node)] if not noise]
-    best = max((inside for *_, inside in left), default=0)
-    return [(block_of(node), text) for node, text, inside in left if inside == best]
+            root = node.parent is None or node.tag in ("html", "body")
+            place = root * _ROOT | (node.tag in FLOW) * _FLOW | (node.tag in HEADINGS) * _HEADING
+            merged[node.path] = [node.path, parents, near, node.children, node.kind, place]
+        else:
+            own[3] = xxhash.xxh3_64_intdigest(node.children.to_bytes(8), own[3])
+    longest = xxhash.xxh3_64_intdigest(max((t for _, t, _ in blocks), key=lambda t: (len(t), t)))
+    shape = xxhash.xxh3_64_intdigest(np.array([x[:2] for x in texts], np.uint64).tobytes())
+    return longest, shape, total, list(merged.values()), texts
 
 
-def _host(url: str | None) -> str:
-    return re.sub(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?", "", (url or "").lower()).partition("/")[0].partition("?")[0].partition("#")[0]
+def _lists(rows: list[list], build) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), build([x for r in rows for x in r]))
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text)
+def _longs(values) -> pa.Array:
+    return pa.array(np.fromiter(values, np.uint64).view(np.int64))
 
 
 def style_rows(pages: DataFrame) -> DataFrame:
-    """A row per block of every page: host, the page's longest block, the
-    block's style path, its children's sequence and its content."""
-    out = "host string, page long, path long, children long, content long"
+    """``PAGE_SCHEMA`` rows of the pages with text."""
+
+    def nodes(rows: list) -> pa.StructArray:
+        parts = [_longs(r[0] for r in rows), *(_lists([r[k] for r in rows], _longs) for k in (1, 2)), _longs(r[3] for r in rows)]
+        parts += [pa.array([r[k] for r in rows], pa.int32()) for k in (4, 5)]
+        return pa.StructArray.from_arrays(parts, names=["path", "parents", "near", "children", "kind", "place"])
+
+    def texts(rows: list) -> pa.StructArray:
+        parts = [_longs(r[0] for r in rows), _longs(r[1] for r in rows), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3))]
+        return pa.StructArray.from_arrays(parts, names=["path", "content", "chars", "links"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, pages_, numbers = [], [], []
+            hosts, rows = [], []
             for url, page in zip(batch["url"].to_pylist(), batch["html"]):
-                blocks = main_blocks(page.as_py() or "")
-                if not blocks:
-                    continue
-                host = _host(url)
-                longest = _hash(max((t for _, t in blocks), key=lambda t: (len(t), t)))
-                seen = {(n.path, n.children, _hash(t)) for n, t in blocks}
-                hosts += [host] * len(seen)
-                pages_ += [longest] * len(seen)
-                numbers += seen
-            if hosts:
-                columns = np.array([*zip(*numbers)], np.uint64).view(np.int64)
+                row = page_row(page.as_py() or "")
+                if row:
+                    hosts.append(_host(url))
+                    rows.append(row)
+            if rows:
+                head = [pa.array(hosts, pa.string()), _longs(r[0] for r in rows), _longs(r[1] for r in rows), pa.array([r[2] for r in rows], pa.int64())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hosts, pa.string()), pa.array(np.array(pages_, np.uint64).view(np.int64)), *map(pa.array, columns)],
-                    names=["host", "page", "path", "children", "content"],
+                    [*head, _lists([r[3] for r in rows], nodes), _lists([r[4] for r in rows], texts)],
+                    names=["host", "page", "shape", "chars", "nodes", "texts"],
                 )
 
-    return pages.mapInArrow(task, out)
+    return pages.mapInArrow(task, PAGE_SCHEMA)
 
 
-def unimportant(pages: DataFrame, least: float, least_pages: int) -> DataFrame:
-    """Per host the style paths, and the contents in them, that are less
-    important than ``least``: ``host, paths, contents``."""
-    rows = common.stage_table(style_rows(pages), "sitetree-styles")
-    hosts = rows.groupBy("host").agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") >= least_pages)
-    content = (
-        rows.groupBy("host", "path", "content").agg(F.countDistinct("page").alias("n")).join(hosts, "host")
-        .withColumn("importance", 1 - F.log("n") / F.log("pages"))
-    )
-    content = common.stage_table(content, "sitetree-contents")
-    shapes = rows.groupBy("host", "path", "children").agg(F.countDistinct("page").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("host", "path"))
-    shapes = shapes.withColumn("part", -share * F.log(share)).groupBy("host", "path").agg(F.sum("part").alias("entropy"))
+def merged_trees(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The style tree of every host: ``(host, path, page_chars, presentation,
+    parents, near, kind, place)`` per style node, and ``(host, path, chars,
+    links, content)`` per style node that holds text itself."""
+    page = F.struct("chars", "nodes", "texts")
+    once = style_rows(pages).groupBy("host", "page").agg(F.min_by(page, "shape").alias("x")).select("host", "x.*")
+    once = common.stage_table(once, "sitetree-pages")
+    hosts = once.groupBy("host").agg(F.count("*").alias("all_pages"))
+    seen = once.select("host", "chars", F.explode("nodes").alias("node")).select("host", "chars", "node.*")
+    shapes = seen.groupBy("host", "path", "children").agg(
+        F.count("*").alias("n"), F.sum("chars").alias("page_chars"), F.min(F.struct("parents", "near", "kind", "place")).alias("as")
+    )
+    share = F.col("n") / F.col("pages")
     styles = (
-        content.groupBy("host", "path")
-        .agg(F.avg("importance").alias("content_importance"), F.sum("n").alias("blocks"), F.first("pages").alias("pages"))
-        .join(shapes, ["host", "path"])
-        .filter(F.greatest(F.col("content_importance"), F.col("entropy") / F.log("pages")) < least)
+        shapes.withColumn("pages", F.sum("n").over(Window.partitionBy("host", "path")))
+        .groupBy("host", "path")
+        .agg(F.max("pages").alias("pages"), F.sum("page_chars").alias("page_chars"), F.sum(-share * F.log(share)).alias("entropy"), F.min("as").alias("as"))
     )
-    low = content.filter((F.col("importance") < least) & (F.col("n") > 1)).groupBy("host").agg(F.collect_set("content").alias("contents"))
-    paths = styles.groupBy("host").agg(F.collect_set("path").alias("paths"))
-    both = low.join(paths, "host", "full_outer")
-    return common.stage_table(both, "sitetree-low")
+    presentation = F.when(F.col("pages") > 1, F.col("entropy") / F.log("pages")).otherwise(0.0)
+    styles = styles.select("host", "path", "page_chars", presentation.alias("presentation"), "as.*")
+    texts = once.select("host", F.explode("texts").alias("t")).select("host", "t.*")
+    held = texts.groupBy("host", "path", "content").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    part = F.when(F.col("all_pages") > 1, F.greatest(F.lit(0.0), 1 - F.log("n") / F.log("all_pages"))).otherwise(1.0)
+    held = held.join(hosts, "host").groupBy("host", "path").agg(
+        F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum(part * F.col("chars")).alias("content")
+    )
+    return common.stage_table(styles, "sitetree-styles"), common.stage_table(held, "sitetree-texts")
+
+
+def worth(pages: DataFrame, least: float, prior: float) -> DataFrame:
+    """The worth of every style node's branch: ``host, path, kind, content,
+    links, share, presentation, contained, value, cut``."""
+    styles, texts = merged_trees(pages)
+    held = styles.join(texts, ["host", "path"], "left")
+    # what a style node has counts for itself and each node above it
+    up = held.withColumn("own", F.col("path")).withColumn("path", F.explode(F.array_distinct(F.concat(F.array("path"), "parents"))))
+    branches = up.groupBy("host", "path").agg(
+        F.max("presentation").alias("varied"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
+        F.sum("content").alias("content"), F.max((F.col("kind") == MAIN) & (F.col("path") != F.col("own"))).alias("holds_main"),
+    )
+    # text in a node's own blocks, reached through elements that only shape it
+    direct = held.select("host", "chars", F.explode(F.array_distinct(F.concat(F.array("path"), "near"))).alias("path"))
+    direct = direct.groupBy("host", "path").agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("direct"))
+    has = lambda bit: F.col("place").bitwiseAND(bit) > 0
+    nodes = (
+        styles.select("host", "path", "page_chars", "kind", "place", F.get("parents", F.lit(0)).alias("up"))
+        .join(branches, ["host", "path"]).join(direct, ["host", "path"])
+        .withColumn("chars", F.coalesce("chars", F.lit(0)))
+    )
+    outer = nodes.select("host", F.col("path").alias("up"), (2 * F.col("direct") >= F.col("chars")).alias("container"), has(_ROOT).alias("in_body"))
+    placed = common.stage_table(nodes, "sitetree-nodes").join(outer, ["host", "up"], "left")
+    empty = F.col("chars") == 0
+    content = F.when(empty, 0.0).otherwise(F.col("content") / F.col("chars"))
+    links = F.when(empty, 0.0).otherwise(F.col("links") / F.col("chars"))
+    share = F.col("chars") / F.greatest("page_chars", F.lit(1))
+    contained = F.coalesce(F.col("container"), F.lit(False)) & ((F.col("direct") == F.col("chars")) | has(_FLOW))
+    value = content * (1 - links) * F.when(contained | has(_HEADING), 1.0).otherwise(F.greatest("varied", share))
+    value = F.when(contained & ~F.col("in_body"), 1.0).otherwise(value)
+    lowered = (F.col("kind").isin(NOISE, HEADER) & ~F.col("holds_main")) | ((F.col("kind") == FORM) & (share < 0.5) & ~F.col("holds_main"))
+    value = (
+        F.when(lowered, value * (1 - prior))
+        .when(F.col("kind").isin(MAIN, INSIDE), 1 - (1 - value) * (1 - prior))
+        .otherwise(value)
+    )
+    return placed.select(
+        "host", "path", "kind", content.alias("content"), links.alias("links"), share.alias("share"), F.col("varied").alias("presentation"),
+        contained.alias("contained"), value.alias("value"), (~has(_ROOT) & ~empty & (value < least)).alias("cut"),
+    )
 
 
-def extract(pages: DataFrame, least: float = 0.2, least_pages: int = 8) -> DataFrame:
+def extract(pages: DataFrame, least: float = 0.1, prior: float = 0.95) -> DataFrame:
     """The main text of every page.
 
     ``pages`` needs ``page_id, url, html``; other columns are ignored.
     Character references are decoded, white space in a block becomes one
-    space, and blocks are joined by a line feed in page order.  ``least`` is
-    the importance below which branches and blocks go; hosts with fewer than
-    ``least_pages`` different pages are judged by roles alone.  Returns
-    ``page_id, url, text, n_chars, n_removed_blocks``.  A null or empty html
-    has an empty text; a null url is a host of its own; repeated rows count
-    once in the tree.  An empty table gives an empty result.
+    space, and blocks are joined by a line feed in page order.  Branches worth
+    less than ``least`` are cut; ``prior`` is the weight of what elements say
+    they are.  Returns ``page_id, url, text, n_chars``.  A null or empty html
+    has an empty text; pages without a url are a host of their own; repeated
+    rows and copies of a page count once in the tree, and each has its text.
+    Texts of any length are taken whole.  An empty table gives an empty
+    result.  A host's cut style nodes go to its pages as one list: as many as
+    its templates have branches, not as it has pages.
     """
     common.session(pages)
     rows = pages.select("page_id", "url", "html")
-    low = unimportant(rows, least, least_pages)
-    size = low.agg(F.sum(F.coalesce(F.size("contents"), F.lit(0)) + F.coalesce(F.size("paths"), F.lit(0)))).first()[0] or 0
-    named = rows.withColumn(
-        "host",
-        F.regexp_extract(
-            F.regexp_replace(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?", ""), r"^[^/?#]*", 0
-        ),
-    )
-    joined = named.join(F.broadcast(low) if size <= 500_000 else low, "host", "left")
-    out = "page_id long, url string, text string, n_chars long, n_removed_blocks long"
+    cut = worth(rows, least, prior).filter("cut").groupBy("host").agg(F.collect_set("path").alias("paths"))
+    cut = common.stage_table(cut, "sitetree-cut")
+    size = cut.agg(F.sum(F.size("paths"))).first()[0] or 0
+    joined = rows.withColumn("host", host_of(F.col("url"))).join(F.broadcast(cut) if size <= 500_000 else cut, "host", "left")
+    out = "page_id long, url string, text string, n_chars long"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = [], []
-            for page, paths, contents in zip(batch["html"], batch["paths"], batch["contents"]):
-                blocks = main_blocks(page.as_py() or "")
-                paths, contents = set(paths.as_py() or ()), set(contents.as_py() or ())
-                kept = [t for n, t in blocks if _signed(n.path) not in paths and _signed(_hash(t)) not in contents] if paths or contents else [t for _, t in blocks]
-                texts.append("\n".join(kept))
-                gone.append(len(blocks) - len(kept))
+            texts = []
+            for page, paths in zip(batch["html"], batch["paths"]):
+                gone = frozenset(x & (1 << 64) - 1 for x in paths.as_py() or ())
+                texts.append("\n".join(t for _, t, _ in parse(page.as_py() or "", gone)[0]))
             if texts:
-                arrays = [batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(gone, pa.int64())]
+                arrays = [batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in out.split(", ")])
 
-    return joined.select("page_id", "url", "html", "paths", "contents").mapInArrow(task, out)
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    return joined.select("page_id", "url", "html", "paths").mapInArrow(task, out)
