@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,8 @@ UNKNOWN = "und"
 _PAD = b"\n\n\n"
 COUNT_SCHEMA = "lang string, gram long, n long"
 PREDICTION_SCHEMA = "lang_pred string, score double, bits_per_byte double"
-#: Bytes scored at a time.
-SLICE = 1 << 20
+#: Bytes scored at a time, however long a text is.
+SLICE = 1 << 18
 
 
 def to_bytes(text: str) -> bytes:
@@ -72,28 +72,40 @@ class Model:
     order2: np.ndarray
     contexts: np.ndarray
     escape3: np.ndarray
+    symbols: np.ndarray
     quads: np.ndarray
     order3: np.ndarray
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of every text in every language."""
-        x = np.frombuffer(b"".join(_PAD + t for t in texts), np.uint8)
-        sizes = np.array([len(t) for t in texts])
-        starts = np.cumsum(sizes + 3) - sizes
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        at = np.arange(len(owner)) + 3 * (owner + 1)
         out = np.zeros((len(texts), len(self.languages)))
-        for k in range(0, len(at), SLICE):
-            part, own = at[k : k + SLICE], owner[k : k + SLICE]
-            bits = self._bits(x, part)
-            edge = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
-            out[own[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.float64)
+        held: list[bytes] = []
+        owners: list[int] = []
+        size = 0
+        for k, text in enumerate(texts):
+            # a piece comes with the three bytes before it
+            for at in range(0, len(text), SLICE):
+                held.append(text[at - 3 : at + SLICE] if at else _PAD + text[:SLICE])
+                owners.append(k)
+                size += len(held[-1])
+                if size >= SLICE:
+                    self._add(out, held, owners)
+                    held, owners, size = [], [], 0
+        if held:
+            self._add(out, held, owners)
         return out
 
+    def _add(self, out: np.ndarray, pieces: list[bytes], owners: list[int]) -> None:
+        x = np.frombuffer(b"".join(pieces), np.uint8)
+        sizes = np.array([len(p) - 3 for p in pieces])
+        edge = np.cumsum(sizes) - sizes
+        at = np.arange(len(x) - 3 * len(pieces)) + np.repeat(np.arange(3, 3 * len(pieces) + 3, 3), sizes)
+        np.add.at(out, owners, np.add.reduceat(self._bits(x, at), edge, axis=0, dtype=np.float64))
+
     def _bits(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         a, b, c, d = (x[at - k].astype(np.int32) for k in (3, 2, 1, 0))
         context = self.contexts[self.triples[self.pairs[a << 8 | b], c]]
-        quad = self.quads[context, d]
+        quad = self.quads[context, self.symbols[d]]
         bits = self.order3[quad]
         miss = np.flatnonzero(quad == 0)
         if len(miss):
@@ -157,37 +169,55 @@ def build_model(rows: pa.Table) -> Model:
     contexts = np.zeros(len(order2), np.int32)
     contexts[triples[pairs[heads >> 8], heads & 255]] = np.arange(1, len(heads) + 1)
     seen, escape3 = _tables(size, group + 1, counts, len(heads) + 1)
-    quads = np.zeros((len(heads) + 1, 256), np.int32)
-    quads[group + 1, codes & 255] = np.arange(1, len(codes) + 1)
+    # the widest table has columns for the symbols seen only
+    symbols = np.zeros(256, np.int32)
+    seen_symbols = np.unique(codes & 255)
+    symbols[seen_symbols] = np.arange(1, len(seen_symbols) + 1)
+    quads = np.zeros((len(heads) + 1, len(seen_symbols) + 1), np.int32)
+    quads[group + 1, symbols[codes & 255]] = np.arange(1, len(codes) + 1)
     tail = triples[pairs[codes >> 8 & 0xFFFF], codes & 255]
     lower = escape3[group + 1] + order2[tail]
     order3 = np.concatenate([np.zeros((1, size)), np.where(np.isinf(seen), lower, seen)])
     # a pad at a text's start is a context but never a symbol: row 0 then
     contexts[0] = 0
     small = lambda x: x.astype(np.float32)
-    return Model(languages, small(order1), pairs, small(escape2), triples, small(order2), contexts, small(escape3), quads, small(order3))
-
-
-def train(labelled: DataFrame, rows_per_language: int = 600, least_count: int = 2) -> Model | None:
+    return Model(languages, small(order1), pairs, small(escape2), triples, small(order2), contexts, small(escape3), symbols, quads, small(order3))
+
+
+def sample_rows(labelled: DataFrame, rows_per_language: int, bytes_per_language: int) -> DataFrame:
+    """``(lang, text)`` of whole rows with text and language: per language the
+    first by a hash of text and, where there is one, id, up to both bounds but
+    at least one.  Rows alike in both count as one.  Only hashes and lengths
+    are ranked, and Spark cuts the ranks per task before it shuffles them."""
+    ids = [c for c in ("doc_id",) if c in labelled.columns]
+    known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND text != ''")
+    known = known.select("lang", "text", F.xxhash64("text", *ids).alias("draw"))
+    order = Window.partitionBy("lang").orderBy("draw")
+    ranked = known.select("lang", "draw", F.octet_length("text").alias("size")).withColumn("rank", F.row_number().over(order))
+    first = ranked.filter(F.col("rank") <= rows_per_language)
+    fits = (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) <= bytes_per_language) | (F.col("rank") == 1)
+    last = first.withColumn("fits", fits).filter("fits").groupBy("lang").agg(F.max("draw").alias("last"))
+    last = {r["lang"]: r["last"] for r in last.collect()}
+    if not last:
+        return known.select("lang", "text").limit(0)
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(last.items()) for x in pair]), F.col("lang"))
+    return known.filter(F.col("draw") <= bound).dropDuplicates(["lang", "draw"]).select("lang", "text")
+
+
+def train(labelled: DataFrame, rows_per_language: int = 600, bytes_per_language: int = 32 << 20) -> Model | None:
     """Learn a model from ``labelled(text, lang)``.
 
-    The model is fitted on a sample of about ``rows_per_language`` whole texts
-    of each language, chosen by a hash of the text; strings of four bytes that
-    the sample holds fewer than ``least_count`` times are left out.  Rows
-    without text or language are ignored.  None if nothing can be learned.
+    The model is fitted on a sample of whole texts: of each language all its
+    rows up to ``rows_per_language`` or ``bytes_per_language``, and at least
+    one, drawn by a hash of text and ``doc_id`` (see ``sample_rows``).  All
+    strings of the sample count.  Rows without text or language are ignored;
+    repeated rows are drawn like others.  The counts that come to the driver
+    are bounded by the sample.  None if nothing can be learned.
     """
-    known = labelled.select("text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL AND text != ''")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, rows_per_language / n)])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.filter(draw < F.element_at(share, F.col("lang")))
-    counts = count_grams(sample)
-    often = counts.groupBy("gram").agg(F.sum("n").alias("all")).filter(F.col("all") >= least_count).select("gram")
-    low = counts.filter(F.shiftright("gram", 32) < 3)
-    high = counts.filter(F.shiftright("gram", 32) == 3).join(often, "gram", "left_semi").select("lang", "gram", "n")
-    rows = low.unionByName(high).toArrow()
+    common.session(labelled)
+    sample = common.stage_table(sample_rows(labelled, rows_per_language, bytes_per_language), "langid-sample")
+    rows = count_grams(sample).toArrow()
+    common.drop_staged(sample)
     return build_model(rows) if rows.num_rows else None
 
 
@@ -198,7 +228,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     the posterior probability of the language of the least code length, all
     being equally likely beforehand.  A text that is null or has no letter, or
     any text when nothing was learned, is ``und`` with score 0.  Ties go to
-    the first language by code point.  Columns of ``docs`` by the names added
+    the first language by code point; repeated rows get equal results; long
+    texts are scored in pieces, all of them.  An empty table gives an empty
+    result.  Columns of ``docs`` by the names added
     here are replaced.
     """
     spark = common.session(docs)
