@@ -55,10 +55,10 @@ def with_revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
     )
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, keeper: int | None, date: str) -> bytes:
-    """One WARC record; a revisit has the HTTP header and no payload."""
+def head_of(page_id: int | None, url: str | None, digest: str, size: int, keeper: int | None, date: str) -> bytes:
+    """What comes before the payload of a WARC record: its headers and the
+    HTTP header.  A revisit has no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    block = http if keeper is not None else http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if keeper is None else 'revisit'}",
@@ -68,9 +68,20 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         *([f"WARC-Refers-To: <{RECORD_ID}{keeper}>", f"WARC-Profile: {REVISIT_PROFILE}"] if keeper is not None else []),
         "Content-Type: application/http;msgtype=response",
-        f"Content-Length: {len(block)}",
+        f"Content-Length: {len(http) + (size if keeper is None else 0)}",
     ]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
+
+
+def write_record(out, head: bytes, payload, step: int = 1 << 18) -> None:
+    """Write one record as a gzip member, its payload in slices of ``step``
+    bytes: no copy of the payload is made."""
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    out.write(packer.compress(head))
+    view = memoryview(payload)
+    for at in range(0, len(view), step):
+        out.write(packer.compress(view[at : at + step]))
+    out.write(packer.compress(b"\r\n\r\n") + packer.flush())
 
 
 def write_warc(pages: DataFrame, out_dir: str, least_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z") -> list[dict]:
@@ -81,6 +92,8 @@ def write_warc(pages: DataFrame, out_dir: str, least_bytes: int = 1000, date: st
     ``page_id`` are responses and all others revisits of it; smaller ones are
     all responses.  A null html is an empty payload, a null url has no target,
     a null id is kept and never referred to while the group has another.
+    Rows that repeat an id are records of their own, so two responses can
+    share an id.  Payloads of any length are streamed from the batch.
     Returns one row per archive; an empty table writes none.
     """
     common.session(pages)
@@ -96,9 +109,8 @@ def write_warc(pages: DataFrame, out_dir: str, least_bytes: int = 1000, date: st
                     path = f"{out_dir}/{files.attempt_name('.warc.gz')}"
                     store, inner = files.open_fs(path)
                     out = store.open_output_stream(inner)
-                payload = html.as_py().encode() if keepers[k] is None else b""
-                packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-                out.write(packer.compress(record(ids[k], urls[k], payload, digests[k], sizes[k], keepers[k], date)) + packer.flush())
+                payload = html.as_buffer() if keepers[k] is None else b""
+                write_record(out, head_of(ids[k], urls[k], digests[k], sizes[k], keepers[k], date), payload)
                 records += 1
         if out is not None:
             size = out.tell()
