@@ -40,7 +40,18 @@ def write_manifest(uri: str, rows: list[dict[str, Any]]) -> None:
         out.write(json.dumps(rows).encode())
 
 
-def read_manifest(uri: str) -> list[dict[str, Any]]:
+def read_manifest(uri: str, missing: Any = ...) -> list[dict[str, Any]]:
+    """The rows of a manifest; ``missing`` where there is none."""
     store, path = open_fs(f"{uri}/_manifest.json")
+    if missing is not ... and store.get_file_info(path).type == fs.FileType.NotFound:
+        return missing
     with store.open_input_stream(path) as got:
         return json.loads(got.read())
+
+
+def list_files(uri: str, suffix: str) -> list[tuple[str, int]]:
+    """Paths and sizes of a folder's files, by name."""
+    store, path = open_fs(uri)
+    found = store.get_file_info(fs.FileSelector(path, recursive=True))
+    kept = [x for x in found if x.type == fs.FileType.File and x.path.endswith(suffix)]
+    return sorted((f"{uri.rstrip('/')}/{x.path[len(path.rstrip('/')) + 1:]}", x.size) for x in kept)

@@ -2,10 +2,11 @@
 data source that reads them by byte ranges.
 
 ``write_archives`` stores each payload as a PNG, 64 samples a row, in ZIP
-archives (members stored, not compressed again).  ``ArchiveSource`` plans one
-partition per byte range of each archive in the directory; a task reads the
-archive's central directory, takes the members whose headers start in its
-range, and streams them as Arrow batches.  Each member is fetched by its own
+archives (members stored, not compressed again).  ``ArchiveSource`` reads any
+directory of ZIP archives.  It plans one partition per byte range of each
+archive; a task reads the archive's central directory, takes the members whose
+headers start in its range, and streams them as Arrow batches.  An archive has
+at most ``MOST_RANGES`` ranges, so its directory is read no more often.  Each member is fetched by its own
 offset, checked against its crc and fetched again on its own if that fails.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from . import common, files
 
 WIDTH = 64
+MOST_RANGES = 64
 FILE_SCHEMA = "path string, members long, bytes long"
 MEMBER_SCHEMA = "archive string, member string, offset long, media binary"
 FEATURE_SCHEMA = (
@@ -78,11 +80,12 @@ def feature_of(samples: np.ndarray) -> str:
     return f"mean={samples.mean():.4f};std={samples.std():.4f};hist={''.join(f'{x:02x}' for x in share)}"
 
 
-def write_archives(docs: DataFrame, out_dir: str) -> list[dict]:
+def write_archives(docs: DataFrame, out_dir: str, archive_bytes: int = 256 << 20) -> list[dict]:
     """Store every text of ``docs`` (``doc_id, text``; other columns are
-    ignored) as an image in archives under ``out_dir``, one archive per task.
+    ignored) as an image in archives under ``out_dir``; a task starts a new
+    archive after ``archive_bytes``.
 
-    A null text is an empty payload, stored as one row of zeros; a null id is
+    Texts of any length are one member each.  A null text is an empty payload, stored as one row of zeros; a null id is
     kept.  Repeated rows are members of their own.  The manifest lists the
     archives of finished tasks, one row each; an empty table lists none.
     """
@@ -92,21 +95,28 @@ def write_archives(docs: DataFrame, out_dir: str) -> list[dict]:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = path = out = None
         members = 0
+
+        def finish() -> pa.RecordBatch:
+            archive.close()
+            size = out.tell()
+            out.close()
+            return pa.RecordBatch.from_pylist([{"path": path, "members": members, "bytes": size}])
+
         for batch in batches:
             for key, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 if archive is None:
-                    path = f"{out_dir}/{files.attempt_name('.zip')}"
+                    path, members = f"{out_dir}/{files.attempt_name('.zip')}", 0
                     store, inner = files.open_fs(path)
                     out = store.open_output_stream(inner)
                     archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
                 name = zipfile.ZipInfo(f"{members:09d}/{'null' if key is None else key}.png")
                 archive.writestr(name, to_png((text.as_py() or "").encode()))
                 members += 1
+                if out.tell() >= archive_bytes:
+                    yield finish()
+                    archive = None
         if archive is not None:
-            archive.close()
-            size = out.tell()
-            out.close()
-            yield pa.RecordBatch.from_pylist([{"path": path, "members": members, "bytes": size}])
+            yield finish()
 
     written = [r.asDict() for r in docs.select("doc_id", "text").mapInArrow(task, FILE_SCHEMA).collect()]
     files.write_manifest(out_dir, written)
@@ -128,11 +138,14 @@ class ArchiveReader(DataSourceReader):
         self.retries = int(options.get("retries", 3))
 
     def partitions(self) -> list[ByteRange]:
-        found = [
-            ByteRange(row["path"], k, k + self.range_bytes)
-            for row in files.read_manifest(self.directory)
-            for k in range(0, row["bytes"], self.range_bytes)
-        ]
+        """Byte ranges of the archives that a manifest lists, or else of all
+        ZIP files of the directory."""
+        listed = files.read_manifest(self.directory, missing=None)
+        archives = files.list_files(self.directory, ".zip") if listed is None else [(r["path"], r["bytes"]) for r in listed]
+        found = []
+        for path, size in archives:
+            step = max(self.range_bytes, -(-size // MOST_RANGES))
+            found += [ByteRange(path, k, k + step) for k in range(0, size, step)]
         return found or [ByteRange("", 0, 0)]
 
     def fetch(self, path: str, member: zipfile.ZipInfo) -> bytes:
@@ -155,7 +168,7 @@ class ArchiveReader(DataSourceReader):
         rows, held = [], 0
         with store.open_input_file(inner) as got:
             for member in zipfile.ZipFile(got).infolist():
-                if not partition.start <= member.header_offset < partition.end:
+                if member.is_dir() or not partition.start <= member.header_offset < partition.end:
                     continue
                 try:
                     data = read_member(got, member)
@@ -171,9 +184,16 @@ class ArchiveReader(DataSourceReader):
 
 
 def read_member(archive, member: zipfile.ZipInfo) -> bytes:
-    """A stored member, read at its offset and checked."""
+    """A member, stored or deflated, read at its offset and checked."""
     name, extra = struct.unpack("<HH", archive.read_at(4, member.header_offset + 26))
     data = archive.read_at(member.compress_size, member.header_offset + 30 + name + extra)
+    if member.compress_type == zipfile.ZIP_DEFLATED:
+        try:
+            data = zlib.decompress(data, -15)
+        except zlib.error as error:
+            raise ValueError(f"{member.filename}: {error} at {member.header_offset}") from error
+    elif member.compress_type != zipfile.ZIP_STORED:
+        raise NotImplementedError(f"{member.filename}: compression {member.compress_type}")
     if zlib.crc32(data) != member.CRC:
         raise ValueError(f"{member.filename}: checksum differs at {member.header_offset}")
     return data
