@@ -80,18 +80,19 @@ def mix(
     empty or blank text has size 0 and nothing is taken of it.  A null source
     is a source of its own, ordered last.  Rows with the same ``doc_id`` are
     separate documents; rows alike in id and size are interchangeable, so
-    reruns agree.  An empty table gives an empty result.  ``range_rows`` sets
+    reruns agree.  Rows without an id are keyed by their texts.  An empty table gives an empty result.  ``range_rows`` sets
     how finely keys are cut, never which rows count; columns named in
     ``carry`` come along behind the others.
     """
     spark = common.session(docs)
+    text_mark = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     sized = common.stage_table(
         docs.select(
             "doc_id",
             F.col("source").isNull().alias("src_null"),
             F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src"),
             word_count(F.col("text")).alias("size"),
-            F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary")).alias("key"),
+            F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), text_mark), F.lit(":" + seed)).cast("binary")).alias("key"),
             *carry,
         ),
         "mix-sizes",
@@ -101,8 +102,19 @@ def mix(
     sized = sized.withColumn("cut", F.substring("key", 1, digits))
     ranges = sized.groupBy("src_null", "src", "cut").agg(F.sum("size").alias("range_size"))
     ranges = common.stage_table(ranges, "mix-ranges")
-    earlier = Window.partitionBy("src_null", "src").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.withColumn("offset", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
+    # ranges are prefix-summed within heads, and heads within the source: each
+    # window sees about the square root of the source's ranges
+    ranges = ranges.withColumn("head", F.substring("cut", 1, max(1, digits // 2)))
+    earlier = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    before_all = lambda size, window: F.coalesce(F.sum(size).over(window), F.lit(0))
+    heads = ranges.groupBy("src_null", "src", "head").agg(F.sum("range_size").alias("head_size"))
+    heads = heads.withColumn("head_offset", before_all("head_size", earlier(("src_null", "src"), "head")))
+    offsets = (
+        ranges.withColumn("in_head", before_all("range_size", earlier(("src_null", "src", "head"), "cut")))
+        .join(heads, ["src_null", "src", "head"])
+        .withColumn("offset", F.col("head_offset") + F.col("in_head"))
+        .drop("head", "head_size", "head_offset", "in_head")
+    )
     totals = ranges.groupBy("src_null", "src").agg(F.sum("range_size").alias("source_size"))
     placed = offsets.join(source_targets(totals, weights, share, cap), ["src_null", "src"])
     within = (
@@ -143,7 +155,7 @@ ORACLE = r"""
 WITH s AS (
   SELECT doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '') || ':mix') AS key
+         md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':mix') AS key
   FROM documents
 ), t AS (
   SELECT source, sum(size)::BIGINT AS source_size,
