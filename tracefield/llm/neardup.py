@@ -6,10 +6,15 @@
 2. Rows of a band key held by several nodes meet in blocks.  The population
    count of two sketches' XOR estimates their similarity; pairs well below the
    threshold are dropped, and a block emits a spanning forest of the rest, not
-   its pairs.  The components of all forests are families.
-3. The texts of a family meet in pairs of blocks.  Pairs are confirmed on full
-   sets, most similar first, and a pair is skipped only if confirmed links
-   already join it.  The components of the confirmed links are the classes.
+   its pairs.  Of a key with many rows each row meets the key's hub first, and
+   only rows that are not near it meet the others.  The components of all
+   forests are families.
+3. The texts of a family are confirmed on full sets.  In a large family every
+   text meets the family's hub, the member nearest to a sample of it, so copies
+   of one template are joined by one copy of each text.  Only families that
+   this leaves in several classes meet in pairs of blocks, most similar pairs
+   first, and a pair is skipped only if confirmed links already join it.  The
+   components of the confirmed links are the classes.
 
 Blocks have bounded size, so a hot key or a family that holds a third of all
 rows is spread over many tasks, and nothing is capped.
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,7 +42,7 @@ SKETCH_BITS = 256
 SLACK = 0.17
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _K = np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = np.random.default_rng(20240101).integers(1, 2**63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = np.random.default_rng(20240101).integers(1, 2**31, SAMPLES, np.uint32) * np.uint32(2) + np.uint32(1)
 _SALTS = np.random.default_rng(20240102).integers(1, 2**63, SAMPLES, np.uint64)
 SKETCH_SCHEMA = (
     "doc_id long, n_shingles long, fp_hi long, fp_lo long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
@@ -67,11 +72,12 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
 
 
 def min_samples(shingles: np.ndarray) -> np.ndarray:
-    """``SAMPLES`` MinHash samples of a non-empty set."""
-    low = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(shingles), 512):
-        np.minimum(low, np.multiply.outer(shingles[k : k + 512], _SEEDS).min(axis=0), out=low)
-    return low
+    """``SAMPLES`` MinHash samples of a non-empty set, each by a permutation
+    of 32 bits, in which processors multiply several at once."""
+    low, high = np.full(SAMPLES, np.iinfo(np.uint32).max, np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(high), 512):
+        np.minimum(low, np.multiply.outer(high[k : k + 512], _SEEDS).min(axis=0), out=low)
+    return low.astype(np.uint64)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -141,46 +147,72 @@ def _root(parent: list[int], x: int) -> int:
     return x
 
 
-def likely_forest(ids: np.ndarray, blocks: np.ndarray, sketches: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs within ``limit`` bits: of all pairs if
-    there is one block, else of those across the two."""
-    n = len(ids)
-    first = blocks == blocks.min()
-    rows, columns = (np.arange(n), np.arange(n)) if first.all() else (np.flatnonzero(first), np.flatnonzero(~first))
-    parent, out = list(range(n)), []
+def likely_forest(ids: np.ndarray, rows: np.ndarray, columns: np.ndarray, sketches: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a row and a column within ``limit``
+    bits."""
+    index: dict[int, int] = {}
+    at = [index.setdefault(x, len(index)) for x in ids.tolist()]
+    parent, out = list(range(len(index))), []
     for k in range(0, len(rows), 256):
         near = _different(sketches[rows[k : k + 256]], sketches[columns]) <= limit
         for x, y in zip(*np.nonzero(near)):
             p, q = int(rows[k + x]), int(columns[y])
-            a, b = _root(parent, p), _root(parent, q)
+            a, b = _root(parent, at[p]), _root(parent, at[q])
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                if ids[p] != ids[q]:
-                    out.append((ids[p], ids[q]))
+                out.append((ids[p], ids[q]))
     return out
 
 
+def different_bits(a: str, b: str) -> Column:
+    """Population count of the XOR of two sketches, given as prefixes of their
+    columns."""
+    return sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(4)), F.lit(0))
+
+
 def likely_links(nodes: DataFrame, limit: int, block_rows: int) -> DataFrame:
     """Edges whose components are those of all pairs that share a band key and
     are within ``limit`` bits."""
+    sketch_columns = ["s0", "s1", "s2", "s3"]
     keyed = nodes.select("id", F.explode("bands").alias("key"))
-    shared = common.stage_table(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "neardup-shared")
-    rows = keyed.join(shared, "key").join(nodes.select("id", "s0", "s1", "s2", "s3"), "id")
-    dealt = block_pairs(rows, "key", F.ceil(F.col("n") / block_rows))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1")
+    shared = common.stage_table(shared, "neardup-shared")
+    found = keyed.join(shared, "key").join(nodes.select("id", *sketch_columns), "id")
+    small = found.filter(F.col("n") <= block_rows)
+    dealt = small.select("key", "id", *sketch_columns, F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(True).alias("row_side"), F.lit(True).alias("column_side"))
+    hubs = shared.filter(F.col("n") > block_rows).select("key", "hub")
+    edges = None
+    if hubs.limit(1).count():
+        # at most one key in block_rows rows is hot
+        hubs = hubs.join(nodes.select(F.col("id").alias("hub"), *[F.col(c).alias(f"h{k}") for k, c in enumerate(sketch_columns)]), "hub")
+        met = found.filter(F.col("n") > block_rows).drop("hub").join(common.broadcast_within(hubs, 200_000), "key")
+        met = met.withColumn("near", different_bits("s", "h") <= limit).drop("h0", "h1", "h2", "h3")
+        met = common.stage_table(met, "neardup-hot")
+        edges = met.filter("near AND id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        left = met.filter("NOT near").groupBy("key").agg(F.count("*").alias("left"))
+        met = met.join(common.broadcast_within(left, 200_000), "key")
+        blocks, parts = F.ceil(F.col("n") / block_rows), F.ceil(F.col("left") / block_rows)
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+        all_rows = met.withColumn("i", F.pmod(F.xxhash64("id"), blocks)).withColumn("j", every(parts)).withColumn("row_side", F.lit(True)).withColumn("column_side", F.lit(False))
+        rest = met.filter("NOT near").withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), parts)).withColumn("i", every(blocks))
+        rest = rest.withColumn("row_side", F.lit(False)).withColumn("column_side", F.lit(True))
+        dealt = dealt.unionByName(all_rows.select(dealt.columns)).unionByName(rest.select(dealt.columns))
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for group in sorted_groups(batches, ["key", "i", "j"]):
             if len(group["id"]) > 1:
-                sketches = np.stack([group[s] for s in ("s0", "s1", "s2", "s3")], axis=1).view(np.uint64)
-                out += likely_forest(group["id"], group["block"], sketches, limit)
+                sketches = np.stack([group[s] for s in sketch_columns], axis=1).view(np.uint64)
+                out += likely_forest(group["id"], np.flatnonzero(group["row_side"]), np.flatnonzero(group["column_side"]), sketches, limit)
             if len(out) > 5000:
                 yield _edges(out)
                 out = []
         if out:
             yield _edges(out)
 
-    return dealt.select("key", "i", "j", "block", "id", "s0", "s1", "s2", "s3").mapInArrow(task, "a long, b long").distinct()
+    found = dealt.select("key", "i", "j", "row_side", "column_side", "id", *sketch_columns).mapInArrow(task, "a long, b long")
+    return (found.unionByName(edges) if edges is not None else found).distinct()
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -199,11 +231,14 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirmed_forest(ids: np.ndarray, blocks: np.ndarray, texts: list[str], percent: int, limit: int, words: int) -> list[tuple[int, int]]:
-    """Confirmed links that join whatever confirmed links join in the group."""
+def confirmed_forest(
+    ids: np.ndarray, blocks: np.ndarray, classes: np.ndarray, texts: list[str], percent: int, limit: int, words: int
+) -> list[tuple[int, int]]:
+    """Confirmed links that join whatever confirmed links join in the group
+    beside those of ``classes``."""
     sets = [shingle_set(t, words) for t in texts]
-    sketches = np.stack([odd_sketch(min_samples(s)) for s in sets])
-    sizes = np.array([len(s) for s in sets])
+    sketches = np.stack([odd_sketch(min_samples(x)) for x in sets])
+    sizes = np.array([len(x) for x in sets])
     first = blocks == blocks.min()
     whole = first.all()
     rows, columns = (np.arange(len(ids)),) * 2 if whole else (np.flatnonzero(first), np.flatnonzero(~first))
@@ -212,12 +247,15 @@ def confirmed_forest(ids: np.ndarray, blocks: np.ndarray, texts: list[str], perc
         part = rows[k : k + 256]
         bits = _different(sketches[part], sketches[columns])
         small, large = np.minimum.outer(sizes[part], sizes[columns]), np.maximum.outer(sizes[part], sizes[columns])
-        x, y = np.nonzero((bits <= limit) & (100 * small >= percent * large))
+        open_ = classes[part][:, None] != classes[columns][None, :]
+        x, y = np.nonzero(open_ & (bits <= limit) & (100 * small >= percent * large))
         pairs.append(np.stack([part[x], columns[y], bits[x, y]], axis=1))
     pairs = np.concatenate(pairs)
     if whole:
         pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-    parent, out = list(range(len(ids))), []
+    # one parent for all members of a class
+    _, leader, member = np.unique(classes, return_index=True, return_inverse=True)
+    parent, out = leader[member].tolist(), []
     for p, q, _ in pairs[np.argsort(pairs[:, 2], kind="stable")].tolist():
         a, b = _root(parent, p), _root(parent, q)
         if a != b and linked(sets[p], sets[q], percent):
@@ -227,21 +265,76 @@ def confirmed_forest(ids: np.ndarray, blocks: np.ndarray, texts: list[str], perc
     return out
 
 
+def hubs_of(members: DataFrame) -> DataFrame:
+    """``(family, hub)``: of each family the member whose sketch is nearest to
+    those of eight members drawn by a hash."""
+    sketch_columns = ["s0", "s1", "s2", "s3"]
+    order = Window.partitionBy("family").orderBy(F.xxhash64("id"), "id")
+    drawn = members.withColumn("rank", F.row_number().over(order)).filter("rank <= 8")
+    drawn = drawn.groupBy("family").agg(F.collect_list(F.struct(*sketch_columns)).alias("drawn"))
+    apart = F.aggregate(
+        "drawn", F.lit(0),
+        lambda total, x: total + sum((F.bit_count(F.col(c).bitwiseXOR(x[c])) for c in sketch_columns), F.lit(0)),
+    )
+    scored = members.join(common.broadcast_within(drawn, 100_000), "family").select("family", "id", apart.alias("apart"))
+    return scored.groupBy("family").agg(F.min_by("id", F.struct("apart", "id")).alias("hub"))
+
+
+def hub_links(texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Confirmed edges of every text of ``texts(family, hub, parts, id, text)``
+    with its family's hub.  Texts are dealt to blocks once; the hub goes to
+    each block of its family."""
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("is_hub", F.lit(False))
+    hub = texts.filter("id = hub").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.unionByName(hub.withColumn("is_hub", F.lit(True)).select(dealt.columns))
+    dealt = dealt.select("family", "block", "is_hub", "id", "text").repartition("family", "block").sortWithinPartitions("family", "block")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["family", "block"]):
+            hubs = np.flatnonzero(group["is_hub"])
+            hub, own = group["id"][hubs[0]], [shingle_set(group["text"][k], words) for k in hubs]
+            found = []
+            for x, text in zip(group["id"].tolist(), group["text"]):
+                if x != hub:
+                    met = shingle_set(text, words)
+                    if any(linked(o, met, percent) for o in own):
+                        found.append((hub, x))
+            if found:
+                yield _edges(found)
+
+    return dealt.mapInArrow(task, "a long, b long")
+
+
 def confirmed_links(docs: DataFrame, families: DataFrame, percent: int, limit: int, words: int, block_rows: int, block_shingles: int) -> DataFrame:
-    """Confirmed edges within ``families(id, n_shingles, family)``."""
+    """Confirmed edges within ``families(id, n_shingles, family, s0 to s3)``
+    whose components are those of all confirmed links."""
     sizes = families.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("n") / block_rows, F.col("shingles") / block_shingles))
-    placed = common.stage_table(families.join(sizes, "family").select("id", "family", blocks.alias("parts")), "neardup-families")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(common.broadcast_within(placed, 1_000_000), "id")
-    dealt = block_pairs(texts, "family", F.col("parts")).select("family", "i", "j", "block", "id", "text")
+    placed = common.stage_table(families.join(sizes.withColumn("parts", blocks), "family").drop("shingles", "n_shingles"), "neardup-families")
+    large = placed.filter("parts > 1")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    placed_ids = placed.select("id", "family", "n", "parts")
+    open_rows, star = placed_ids.withColumn("class", F.col("id")), None
+    if large.limit(1).count():
+        hubs = common.stage_table(hubs_of(large), "neardup-hubs")
+        headed = large.select("family", "id", "parts").join(common.broadcast_within(hubs, 200_000), "family")
+        star = common.stage_table(hub_links(texts.join(headed, "id"), percent, words), "neardup-star")
+        in_class = star.select(F.col("b").alias("id"), F.col("a").alias("hub")).distinct()
+        classed = placed_ids.join(in_class, "id", "left").withColumn("class", F.coalesce("hub", "id")).drop("hub")
+        joined = classed.groupBy("family").agg(F.count_if(F.col("class") != F.col("id")).alias("joined"), F.max("n").alias("n"), F.max("parts").alias("parts"))
+        done = joined.filter("parts > 1 AND joined = n - 1").select("family")
+        open_rows = common.stage_table(classed.join(common.broadcast_within(done, 200_000), "family", "left_anti"), "neardup-open")
+    dealt = block_pairs(texts.join(open_rows.drop("n"), "id"), "family", F.col("parts"))
+    dealt = dealt.select("family", "i", "j", "block", "id", "class", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["family", "i", "j"]):
-            found = confirmed_forest(group["id"], group["block"], list(group["text"]), percent, limit, words)
+            found = confirmed_forest(group["id"], group["block"], group["class"], list(group["text"]), percent, limit, words)
             if found:
                 yield _edges(found)
 
-    return dealt.mapInArrow(task, "a long, b long")
+    found = dealt.mapInArrow(task, "a long, b long")
+    return found.unionByName(star) if star is not None else found
 
 
 def near_duplicates(
@@ -278,7 +371,7 @@ def near_duplicates(
     roots = connected_components(likely)
     members = roots.select(F.col("node").alias("id"), F.col("root").alias("family"))
     heads = roots.select(F.col("root").alias("id"), F.col("root").alias("family")).distinct()
-    sizes = nodes.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
+    sizes = nodes.groupBy("id").agg(F.max(F.struct("n_shingles", "s0", "s1", "s2", "s3")).alias("x")).select("id", "x.*")
     families = members.unionByName(heads).join(sizes, "id")
     confirmed = common.stage_table(
         confirmed_links(docs, families, percent, limit, words, family_rows, family_shingles), "neardup-links"
