@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import tracemalloc
+import zipfile
 import zlib
 from collections import Counter
 
@@ -9,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracefield.llm import bitplanes, common, langid, media, merkle, mixing, neardup, packing, queries, repeats, sitetree, tokens, warc
+from tracefield.llm import bitplanes, common, files, langid, media, merkle, mixing, neardup, packing, queries, repeats, sitetree, tokens, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, first int, mark int, id long"
 WORDS = [f"word{k}" for k in range(400)]
@@ -243,6 +245,72 @@ def test_media_member_is_fetched_again(spark, odd, monkeypatch):
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == odd.count()
 
 
+def test_media_digests_and_feature(spark, odd):
+    folder = common.fresh_dir(spark, "media")
+    media.write_archives(odd, folder, archive_bytes=3000)
+    stored = {}
+    for path, _ in files.list_files(folder, ".zip"):
+        with zipfile.ZipFile(path.removeprefix("file://")) as archive:
+            for name in archive.namelist():
+                stored.setdefault(name.rpartition("/")[2], []).append(archive.read(name))
+    expected = []
+    for r in odd.collect():
+        data = (r["text"] or "").encode()
+        payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+        samples = np.frombuffer(payload, np.uint8)
+        bins = [int((samples // 16 == k).sum()) * 255 // len(samples) for k in range(16)]
+        feature = f"mean={samples.mean():.4f};std={samples.std():.4f};hist=" + bytes(bins).hex()
+        image = stored[f"{'null' if r['doc_id'] is None else r['doc_id']}.png"]
+        own = next(x for x in image if media.from_png(x)[0].tobytes() == payload and media.from_png(x)[1] == len(data))
+        expected.append((r["doc_id"] or -1, len(data), len(payload), zlib.crc32(payload[-64:]), len(own), hashlib.sha256(own).hexdigest(), feature))
+    columns = ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    got = [(r["doc_id"] or -1, *(r[c] for c in columns)) for r in media.features(media.read_archives(spark, folder)).collect()]
+    assert sorted(got) == sorted(expected)
+
+
+def test_archives_of_others(spark, tmp_path):
+    data = {f"a/{k}.bin": random.Random(k).randbytes(k * 300) for k in range(40)}
+    for part, kind in enumerate((zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED)):
+        with zipfile.ZipFile(tmp_path / f"{part}.zip", "w", kind) as archive:
+            archive.writestr("a/", b"")
+            for name, content in list(data.items())[part::2]:
+                archive.writestr(name, content)
+    rows = media.read_archives(spark, f"file://{tmp_path}").collect()
+    assert {r["member"]: bytes(r["media"]) for r in rows} == data and len(rows) == len(data)
+    reader = media.ArchiveReader({"path": str(tmp_path), "rangeBytes": "500"})
+    ranges = reader.partitions()
+    assert 2 < len(ranges) <= 2 * media.MOST_RANGES
+    assert sum(b.num_rows for p in ranges for b in reader.read(p)) == len(data)
+
+
+def test_records_are_written_without_a_copy():
+    class Sink:
+        size = 0
+
+        def write(self, data):
+            self.size += len(data)
+
+    payload, sink = bytes(range(256)) * (1 << 18), Sink()
+    tracemalloc.start()
+    warc.write_record(sink, b"head", payload)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sink.size > 0 and peak < len(payload) / 16
+
+
+def test_records_of_odd_rows(spark):
+    big = "<p>" + "x" * 2000
+    rows = [(None, "a", big), (None, "b", big), (4, "c", big), (4, "d", big), (5, "e", None), (6, None, None), (None, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = common.fresh_dir(spark, "warc")
+    warc.write_warc(pages, folder)
+    got = warc.records(warc.read_chunks(spark, folder)).collect()
+    assert sorted(((r["page_id"] or 0), r["record_type"], r["refers_to"] or 0) for r in got) == [
+        (0, "response", 0), (0, "revisit", 4), (0, "revisit", 4), (4, "response", 0), (4, "response", 0), (5, "response", 0), (6, "response", 0),
+    ]
+    assert all(r["intact"] for r in got)
+
+
 def test_warc(spark):
     big, small = "<p>" + "x" * 2000, "<p>y"
     rows = [(1, "http://a", big), (2, "http://b", big), (3, None, small), (4, "http://c", small), (5, "http://d", None), (6, "", ""), (7, "u", "é" * 3_000_000)]
@@ -291,7 +359,22 @@ def test_language(docs, odd):
     assert langid.train(odd.limit(0)) is None and langid.predict(odd, None).filter("lang_pred != 'und'").count() == 0
 
 
-def test_code_lengths_are_those_of_a_plain_context_tree():
+def test_every_language_is_learned(spark):
+    made = spark.range(20_000).selectExpr("id AS doc_id", "'der alte hund schläft in der sonne' AS text", "'de' AS lang")
+    other = spark.range(900).selectExpr("id + 50000 AS doc_id", "concat('the old dog sleeps in the sun ', id) AS text", "'en' AS lang")
+    alike = spark.range(3000).selectExpr("CAST(NULL AS long) AS doc_id", "'le vieux chien dort au soleil' AS text", "'fr' AS lang")
+    rows = made.unionByName(other).unionByName(alike)
+    sizes = {r["lang"]: r["count"] for r in langid.sample_rows(rows, 600, 1 << 30).groupBy("lang").count().collect()}
+    assert sizes == {"de": 600, "en": 600, "fr": 1}
+    few = {r["lang"]: r["count"] for r in langid.sample_rows(rows, 600, 100).groupBy("lang").count().collect()}
+    assert few["de"] == 2 and few["fr"] == 1
+    model = langid.train(rows)
+    assert model.languages == ["de", "en", "fr"]
+    asked = spark.createDataFrame([(1, "der hund in der sonne"), (2, "the dog in the sun"), (3, "le chien au soleil " * 40_000), (2, "the dog in the sun")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in langid.predict(asked, model).collect()) == [(1, "de"), (2, "en"), (2, "en"), (3, "fr")]
+
+
+def test_code_lengths_are_those_of_a_plain_context_tree(monkeypatch):
     model_text, text = b"abracadabra abracadabra", b"abra cad"
     grams, counts = np.unique(langid.gram_codes(model_text), return_counts=True)
     import pyarrow as pa
@@ -315,6 +398,8 @@ def test_code_lengths_are_those_of_a_plain_context_tree():
     padded = b"\n\n\n" + text
     expected = sum(bits(padded[k - 3 : k], padded[k], 3) for k in range(3, len(padded)))
     assert model.code_lengths([text])[0, 0] == pytest.approx(expected, rel=1e-5)
+    monkeypatch.setattr(langid, "SLICE", 5)
+    assert model.code_lengths([text, b"", text])[2, 0] == pytest.approx(expected, rel=1e-5)
 
 
 @pytest.mark.parametrize(

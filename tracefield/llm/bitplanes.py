@@ -173,12 +173,13 @@ def write_ids(
                     path = f"{out_dir}/{files.attempt_name('.planes')}"
                     writer = PlaneWriter(path, kind, block_ids, level)
                 writer.add(key, encoder.encode(text.as_py()) + last)
+        encoder.forget()
         if writer is not None:
             size = writer.close()
             row = {"part": TaskContext.get().partitionId(), "path": path, "documents": len(writer.keys), "ids": writer.total, "bytes": size}
             yield pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = common.in_order(docs)
     written = sorted((r.asDict() for r in ordered.mapInArrow(task, FILE_SCHEMA).collect()), key=lambda r: r["part"])
     start = 0
     for row in written:

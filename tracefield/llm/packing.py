@@ -165,8 +165,9 @@ def pack(
                     held, keys, size = [], [], 0
         if held:
             yield flush()
+        encoder.forget()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = common.in_order(docs)
     return ordered.mapInArrow(task, SCHEMA)
 
 

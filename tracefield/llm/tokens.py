@@ -30,18 +30,20 @@ def encoder(path: str) -> "Encoder":
 
 
 class Encoder:
-    """``max_chunks`` and ``max_words`` bound the memory of the memo; a full
-    memo is emptied and fills again."""
+    """``max_chunks`` and ``max_words`` bound the memory of the memo, at about
+    150 bytes an entry; a full memo is emptied and fills again."""
 
-    def __init__(self, path: str, max_chunks: int = 1_000_000, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_chunks: int = 250_000, max_words: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = json.loads(self.tokenizer.to_str())["model"]["vocab"]
+        described = json.loads(self.tokenizer.to_str())
+        vocabulary = described["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.by_word = bool(self.ends.any())
+        # the shortcut needs marked word ends and a normaliser that lower-cases
+        self.by_word = described["model"].get("end_of_word_suffix") == "</w>" and '"Lowercase"' in json.dumps(described["normalizer"])
         self.max_chunks, self.max_words = max_chunks, max_words
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -59,7 +61,7 @@ class Encoder:
         """One call for all new words; each ends at the token that closes it."""
         ids = np.frombuffer(self._direct([" ".join(words)])[0], "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):
+        if len(cuts) != len(words) or cuts[-1] != len(ids):
             self.words.update(zip(words, self._direct(words)))
             return
         data, at = ids.tobytes(), 0
@@ -89,6 +91,10 @@ class Encoder:
         if odd:
             self.chunks.update(zip((c for c, _ in odd), self._direct([t for _, t in odd])))
 
+    def forget(self) -> None:
+        """Give the memory of the chunks back; words stay."""
+        self.chunks.clear()
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers; a null
         text has none."""
