@@ -142,3 +142,48 @@ def test_assignment_is_split_by_connected_candidates(spark):
     assert len(got) == 5 and len(set(got.values())) == 3
     assert got["s", 1, 1] == got["s", 1, 2] == got["s", 3, 2] != got["s", 2, 3]
     assert sorted((r["i"], r["j"]) for r in joins.assign(pairs, ["by"], "i", "j", "cost").collect()) == [(1, 1), (1, 1), (2, 3), (3, 2)]
+
+
+def test_running_sums_and_quantiles_over_ranges(spark):
+    rows = [(g, x % 7, x) for g, n in (("a", 50), ("b", 1), (None, 9)) for x in range(n)]
+    df = spark.createDataFrame(rows, "g string, v int, id int")
+    got = windows.running(df, ["g"], ["v", "id"], {"k": F.lit(1), "s": F.col("v")}).collect()
+    for g in ("a", "b", None):
+        own = sorted((r for r in got if r["g"] == g), key=lambda r: (r["v"], r["id"]))
+        assert [r["k"] for r in own] == list(range(1, len(own) + 1)) and own[-1]["s"] == own[-1]["s_total"]
+        assert sum(r["v"] for r in own) == own[0]["s_total"]
+    peers = windows.running(df, ["g"], ["v"], {"k": F.lit(1)}, peers=True).filter("g = 'a'").collect()
+    assert {(r["v"], r["k"]) for r in peers} == {(v, sum(y % 7 <= v for y in range(50))) for v in range(7)}
+    row = windows.quantiles(df, ["g"], "id", [0.0, 0.5, 0.9, 1.0]).filter("g = 'a'").first()
+    assert [row[f"q{k}"] for k in range(4)] == pytest.approx([0, 24.5, 44.1, 49])
+
+
+def test_assignment_takes_the_least_of_repeated_candidates(spark):
+    df = spark.createDataFrame([(1, 1, 3.0), (1, 1, 1.0), (1, 2, 2.0), (2, 1, 1.5)], "i int, j int, cost double").withColumn("g", F.lit(0))
+    got = {(r["i"], r["j"], r["cost"]) for r in joins.assign(df, ["g"], "i", "j", "cost").collect()}
+    assert got == {(1, 2, 2.0), (2, 1, 1.5)}
+    one = joins.assign(df.filter("i = 1 AND j = 1"), ["g"], "i", "j", "cost").collect()
+    assert [r["cost"] for r in one] == [1.0]
+
+
+def test_greedy_match_is_greedy(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = [(rng.randint(0, 25), rng.randint(0, 25), round(rng.random(), 2)) for _ in range(200)]
+    got = joins.greedy_match(spark.createDataFrame(pairs, "i int, j int, c double"), "i", "j", "c")
+    least, used_i, used_j, expected = {}, set(), set(), set()
+    for i, j, c in pairs:
+        least[i, j] = min(c, least.get((i, j), 9))
+    for c, i, j in sorted((c, i, j) for (i, j), c in least.items()):
+        if i not in used_i and j not in used_j:
+            used_i.add(i), used_j.add(j), expected.add((i, j, c))
+    assert {tuple(r) for r in got.select("i", "j", "c").collect()} == expected
+    assert joins.greedy_match(got.limit(0), "i", "j", "c").count() == 0
+
+
+def test_checked_join_raises(spark):
+    left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string")
+    assert joins.checked_join(left.filter("k = 1"), right, "k").collect()[0]["v"] == "x"
+    with pytest.raises(Exception, match="without a match: 2"):
+        joins.checked_join(left, right, "k").collect()

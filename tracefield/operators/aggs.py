@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import dot
+from . import windows
 
 
 def trace_summary(traces: DataFrame, area: float) -> DataFrame:
@@ -146,15 +147,14 @@ def pair_scores(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def ks_statistic(rows: DataFrame, sample: str, value: str) -> DataFrame:
     """The two-sample Kolmogorov-Smirnov statistic of ``sample`` 0 and 1."""
-    order = Window.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cells = rows.groupBy(value).agg(*[F.count_if(F.col(sample) == k).alias(f"n{k}") for k in (0, 1)])
-    every = Window.partitionBy()
-    cdf = [F.sum(f"n{k}").over(order) / F.sum(f"n{k}").over(every) for k in (0, 1)]
+    cells = windows.running(cells, [], [value], {f"up_to{k}": F.col(f"n{k}") for k in (0, 1)})
+    cdf = [F.col(f"up_to{k}") / F.col(f"up_to{k}_total") for k in (0, 1)]
     return cells.select(F.abs(cdf[0] - cdf[1]).alias("gap")).agg(F.max("gap").alias("ks"))
 
 
 def rank_average(rows: DataFrame, value: str, by: str, name: str) -> DataFrame:
     """Ranks from 1, ties sharing their mean rank."""
-    group = Window.partitionBy(by)
-    rank = F.rank().over(group.orderBy(value)) + (F.count("*").over(Window.partitionBy(by, value)) - 1) / 2
-    return rows.withColumn(name, rank)
+    ranked = windows.running(rows, [by], [value], {name: F.lit(1)}, peers=True)
+    ties = F.count("*").over(Window.partitionBy(by, value))
+    return ranked.withColumn(name, F.col(name) - (ties - 1) / 2).drop(f"{name}_total", "_part")

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the folder of ``spark.checkpoint.dir``; a temporary
-    folder is set only where the session names none."""
+    folder is set only where the session names none and runs on one machine."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracefield-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracefield-"))
     return df.checkpoint()
 
 

@@ -31,33 +31,75 @@ def grid_range_join(left: DataFrame, right: DataFrame, low: str, high: str, size
     return a.join(b, "cell").filter((F.col("cell") == begins) & meets).drop("cell")
 
 
-def banded_self_join(rows: DataFrame, keys: list[str], position: str, band: float, id: str) -> DataFrame:
-    """Pairs ``a``, ``b`` of rows with equal ``keys`` and positions at most
-    ``band`` apart, each once (``a.id < b.id``).  A row meets its own and the
-    next cell of width ``band``."""
-    cell = F.floor(F.col(position) / band)
-    a = rows.select(F.struct("*").alias("a"), *keys, F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    b = rows.select(F.struct("*").alias("b"), *keys, cell.alias("cell"))
-    near = F.abs(F.col(f"a.{position}") - F.col(f"b.{position}")) <= band
-    return a.join(b, [*keys, "cell"]).filter(near & (F.col(f"a.{id}") < F.col(f"b.{id}"))).select("a", "b", *keys)
-
-
-def nearest(left: DataFrame, right: DataFrame, by: str, id: str, distance: Column, most: float) -> DataFrame:
-    """The nearest right row for each left row of the same ``by`` and the
-    ratio to the second nearest; columns of the right are prefixed ``o_``.
-    Left rows without one within ``most`` are dropped."""
-    other = right.select(*[F.col(c).alias(f"o_{c}") for c in right.columns])
-    pairs = left.join(other, F.col(by) == F.col(f"o_{by}")).withColumn("distance", distance).filter(F.col("distance") <= most)
+def grid_pairs(left: DataFrame, right: DataFrame, keys: list[str], sizes: dict[str, float]) -> DataFrame:
+    """Pairs ``a`` of the left and ``b`` of the right with equal ``keys``
+    whose positions, in all columns of ``sizes``, lie in the same or
+    neighbouring cells of that size: all pairs that are nearer than a cell in
+    each.  A right row has one cell, a left row its neighbours too."""
+    cell = {c: F.floor(F.col(c) / size) for c, size in sizes.items()}
+    a = left.select(F.struct("*").alias("a"), *keys, *[x.alias(f"_{c}") for c, x in cell.items()])
+    for c in sizes:
+        a = a.withColumn(f"_{c}", F.explode(F.array(*[F.col(f"_{c}") + k for k in (-1, 0, 1)])))
+    b = right.select(F.struct("*").alias("b"), *keys, *[x.alias(f"_{c}") for c, x in cell.items()])
+    return a.join(b, [*keys, *[f"_{c}" for c in sizes]]).select("a", "b", *keys)
+
+
+def end_pairs(rows: DataFrame, keys: list[str], gap: float, id: str) -> DataFrame:
+    """Pairs ``a``, ``b`` of segments ``(y0, z0, y1, z1)`` with an end of one
+    at most ``gap`` from an end of the other, each once (``a.id < b.id``), with
+    the least such distance.  Ends meet in grid cells, not whole segments."""
+    end = lambda k: F.struct(F.col(f"y{k}").alias("y"), F.col(f"z{k}").alias("z"))
+    ends = rows.select("*", F.explode(F.array(end(0), end(1))).alias("end")).select("*", F.col("end.y").alias("end_y"), F.col("end.z").alias("end_z"))
+    pairs = grid_pairs(ends, ends, keys, {"end_y": gap, "end_z": gap}).filter(F.col(f"a.{id}") < F.col(f"b.{id}"))
+    apart = F.hypot(F.col("a.end_y") - F.col("b.end_y"), F.col("a.end_z") - F.col("b.end_z"))
+    every = [F.hypot(F.col(f"a.y{i}") - F.col(f"b.y{j}"), F.col(f"a.z{i}") - F.col(f"b.z{j}")) for i in (0, 1) for j in (0, 1)]
+    near = pairs.withColumn("gap", apart).filter(F.col("gap") <= gap).filter(F.col("gap") == F.least(*every))
+    # ties among the four distances leave a pair more than once
+    return near.withColumn("_i", F.col(f"a.{id}")).withColumn("_j", F.col(f"b.{id}")).dropDuplicates(["_i", "_j"]).drop("_i", "_j")
+
+
+def nearest(left: DataFrame, right: DataFrame, by: str, id: str, position: str, most: float) -> DataFrame:
+    """The right row of the same ``by`` with the nearest ``position`` for each
+    left row, and the ratio of its distance to the second nearest's; columns of
+    the right are prefixed ``o_``.  Left rows without one within ``most`` are
+    dropped.  Rows meet in cells of that width."""
+    pairs = grid_pairs(left, right, [by], {position: most}).withColumn("distance", F.abs(F.col(f"a.{position}") - F.col(f"b.{position}")))
+    pairs = pairs.filter(F.col("distance") <= most)
+    pairs = pairs.select("a.*", *[F.col(f"b.{c}").alias(f"o_{c}") for c in right.columns], "distance")
     group = Window.partitionBy(id).orderBy("distance", f"o_{id}")
     ranked = pairs.withColumn("rank", F.row_number().over(group)).withColumn("second", F.lead("distance").over(group))
     return ranked.filter("rank = 1").withColumn("ratio", F.try_divide("distance", "second")).drop("rank", "second")
 
 
+def checked_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """An inner join that fails if a left key has no right row."""
+    found = left.join(right.withColumn("_found", F.lit(True)), key, "left")
+    missing = F.concat(F.lit(f"{key} without a match: "), F.col(key).cast("string"))
+    return found.withColumn("_found", F.when(F.col("_found"), True).otherwise(F.raise_error(F.coalesce(missing, F.lit(f"{key} is null"))))).filter("_found").drop("_found")
+
+
+def greedy_match(pairs: DataFrame, left: str, right: str, cost: str) -> DataFrame:
+    """One-to-one pairs taken in order of ``cost`` (ties by ids), skipping
+    those with an end already taken.  In a round all pairs that are the best of
+    both their ends are taken at once; that takes the same pairs."""
+    first = F.struct(cost, left, right)
+    rest = graph.cut_lineage(pairs.select(left, right, cost).groupBy(left, right).agg(F.min(cost).alias(cost)))
+    taken = None
+    while rest.limit(1).count():
+        best = lambda c: F.min(first).over(Window.partitionBy(c))
+        picked = rest.withColumn("_l", best(left)).withColumn("_r", best(right)).filter((F.col("_l") == first) & (F.col("_r") == first))
+        picked = graph.cut_lineage(picked.select(left, right, cost))
+        rest = graph.cut_lineage(rest.join(picked.select(left), left, "left_anti").join(picked.select(right), right, "left_anti"))
+        taken = picked if taken is None else taken.unionByName(picked)
+    return rest if taken is None else taken
+
+
 def assign(candidates: DataFrame, by: list[str], left: str, right: str, cost: str) -> DataFrame:
     """One-to-one assignment of least total cost per group, leaving rows
-    without a candidate alone.  Groups are pairs of neighbouring faces; they are
-    first split by connected candidates, which an assignment never crosses, and
-    each component is solved in one task."""
+    without a candidate alone.  Groups are first split by connected candidates,
+    which an assignment never crosses, and each component is solved in one
+    task, in memory that grows with the product of its rows: candidates have
+    to be local.  A repeated candidate counts at its least cost."""
     import numpy as np
     import pandas as pd
 
@@ -76,7 +118,7 @@ def assign(candidates: DataFrame, by: list[str], left: str, right: str, cost: st
 
     types = dict(candidates.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [*by, left, right, cost])
-    rows = candidates.select(*by, left, right, cost)
+    rows = candidates.groupBy(*by, left, right).agg(F.min(cost).alias(cost))
     return split_by_component(rows, by, left, right).groupBy("component").applyInPandas(solve, schema)
 
 

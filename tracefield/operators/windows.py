@@ -5,6 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
+
+
+def in_ranges(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    """``rows`` dealt to ranges of their group and ``order``, with the range's
+    number as ``_part``.  Rows equal in both share a range; a large group has
+    many.  Checkpointed, since the ranges come from a sample."""
+    return graph.cut_lineage(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def running(rows: DataFrame, by: list[str], order: list, values: dict[str, Column], peers: bool = False) -> DataFrame:
+    """``rows`` with running sums of ``values`` in ascending ``order`` within
+    groups, up to the row itself (with ``peers``, to the last equal in
+    ``order``), and the groups' totals as ``<name>_total``.
+
+    A distributed prefix sum: ranges (see ``in_ranges``) are summed, the few
+    sums are summed before each range, and a window runs within each range, so
+    no group has to fit one task.  Rows that are already in ranges stay there.
+    """
+    placed = rows if "_part" in rows.columns else in_ranges(rows, by, order)
+    sums = placed.groupBy(*by, "_part").agg(*[F.sum(v).alias(f"_sum_{k}") for k, v in values.items()])
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    for k in values:
+        sums = sums.withColumn(f"_before_{k}", F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)))
+        sums = sums.withColumn(f"{k}_total", F.sum(f"_sum_{k}").over(group)).drop(f"_sum_{k}")
+    sums = sums.select(*[F.col(c).alias(f"_by_{c}") for c in (*by, "_part")], *[c for c in sums.columns if c not in (*by, "_part")])
+    within = Window.partitionBy(*by, "_part").orderBy(*order)
+    within = within.rangeBetween(Window.unboundedPreceding, Window.currentRow) if peers else within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.select("*", *[F.sum(v).over(within).alias(k) for k, v in values.items()])
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in (*by, "_part")]
+    out = placed.join(sums, same)
+    for k in values:
+        out = out.withColumn(k, F.col(k) + F.col(f"_before_{k}")).drop(f"_before_{k}")
+    return out.drop(*[f"_by_{c}" for c in (*by, "_part")])
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """Exact quantiles ``q0, q1, ...`` per group, interpolated between the two
+    values about each rank; values are found by rank, not gathered.  Nulls
+    don't count."""
+    ranked = running(rows.filter(F.col(value).isNotNull()), by, [value], {"_n": F.lit(1)})
+    at = [(F.col("_n_total") - 1) * F.lit(float(p)) for p in shares]
+    low = [F.max(F.when(F.col("_n") == F.floor(a) + 1, F.col(value))).alias(f"_low{k}") for k, a in enumerate(at)]
+    high = [F.max(F.when(F.col("_n") == F.ceil(a) + 1, F.col(value))).alias(f"_high{k}") for k, a in enumerate(at)]
+    found = ranked.groupBy(*by).agg(*low, *high, F.max("_n_total").alias("_n_total"))
+    part = [a - F.floor(a) for a in at]
+    return found.select(*by, *[(F.col(f"_low{k}") + part[k] * (F.col(f"_high{k}") - F.col(f"_low{k}"))).alias(f"q{k}") for k in range(len(shares))])
+
 
 def best_row(rows: DataFrame, by: str, *order: Column) -> DataFrame:
     """The first row of each group by ``order``."""
@@ -15,27 +64,26 @@ def best_row(rows: DataFrame, by: str, *order: Column) -> DataFrame:
 def ecdf(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Empirical survival ``P(value > x)`` at each distinct value."""
     steps = rows.groupBy(by, value).agg(F.count("*").alias("n"))
-    group = Window.partitionBy(by)
-    above = F.sum("n").over(group.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1))
-    return steps.withColumn("survival", F.coalesce(above, F.lit(0)) / F.sum("n").over(group))
+    summed = running(steps, [by], [value], {"_up_to": F.col("n")})
+    survival = (F.col("_up_to_total") - F.col("_up_to")) / F.col("_up_to_total")
+    return summed.withColumn("survival", survival).drop("_up_to", "_up_to_total", "_part")
 
 
 def kaplan_meier(rows: DataFrame, by: str, value: str, event: Column, weight: Column | None = None) -> DataFrame:
     """Product-limit survival per group with risk, events and censored at each
-    distinct value.  Counts meet per value first, so a group's window holds its
-    distinct values only."""
+    distinct value.  Counts meet per value first; risk and product are then
+    distributed prefix sums over the values."""
     w = weight if weight is not None else F.lit(1.0)
     steps = rows.groupBy(by, value).agg(
         F.sum(w).alias("leaving"), F.sum(F.when(event, w).otherwise(0.0)).alias("events"), F.count("*").alias("n")
     )
-    group = Window.partitionBy(by)
-    risk = F.sum("leaving").over(group.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    steps = steps.withColumn("risk", risk)
-    so_far = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = running(steps, [by], [value], {"_left": F.col("leaving")})
+    steps = steps.withColumn("risk", F.col("_left_total") - F.col("_left") + F.col("leaving")).drop("_left", "_left_total")
     left = 1 - F.col("events") / F.col("risk")
-    ended = F.max(F.when(left <= 1e-12, 1).otherwise(0)).over(so_far)
-    survival = F.exp(F.sum(F.when(left > 1e-12, F.log(left)).otherwise(0.0)).over(so_far))
-    return steps.withColumn("survival", F.when(ended == 1, F.lit(0.0)).otherwise(survival))
+    logs = {"_log": F.when(left > 1e-12, F.log(left)).otherwise(0.0), "_ended": F.when(left <= 1e-12, 1).otherwise(0)}
+    steps = running(steps, [by], [value], logs)
+    survival = F.when(F.col("_ended") > 0, F.lit(0.0)).otherwise(F.exp("_log"))
+    return steps.withColumn("survival", survival).drop("_log", "_ended", "_log_total", "_ended_total", "_part")
 
 
 def survival_quantile(curve: DataFrame, by: str, value: str, p: float) -> DataFrame:
@@ -89,14 +137,12 @@ def sequential_posterior(likelihoods: DataFrame, by: str, grid: str, step: str,
 def rolling_windows(rows: DataFrame, position: str, width: int) -> DataFrame:
     """Each row once for every window of ``width`` consecutive positions that
     it lies in, as ``window_start``; every window is complete."""
-    faces = rows.select(position).distinct()
-    ranked = faces.withColumn("rank", F.row_number().over(Window.orderBy(position)) - 1)
-    count = F.count("*").over(Window.partitionBy())
-    starts = ranked.withColumn("count", count).withColumn(
-        "window_start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("rank") - (width - 1)), F.col("rank")))
+    ranked = running(rows.select(position).distinct(), [], [position], {"rank": F.lit(1)})
+    starts = ranked.withColumn(
+        "window_start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("rank") - width), F.col("rank") - 1))
     )
-    starts = starts.filter(F.col("window_start") + width <= F.col("count")).select(position, "window_start")
-    return rows.join(F.broadcast(starts), position)
+    starts = starts.filter(F.col("window_start") + width <= F.col("rank_total")).select(position, "window_start")
+    return rows.join(starts, position)
 
 
 def arc_gap(rows: DataFrame, by: str, angle: str) -> DataFrame:
@@ -111,10 +157,14 @@ def arc_gap(rows: DataFrame, by: str, angle: str) -> DataFrame:
 
 def stratified_top(rows: DataFrame, flag: str, order: list[Column], total: int, flagged: int) -> DataFrame:
     """The first ``flagged`` rows with ``flag``, the rest up to ``total`` from
-    those without; a shortfall on one side spills to the other."""
-    rank = F.row_number().over(Window.partitionBy(flag).orderBy(*order))
-    ranked = rows.withColumn("_rank", rank)
-    sizes = rows.agg(F.count_if(F.col(flag) == 1).alias("_on"), F.count_if(F.col(flag) == 0).alias("_off"))
+    those without; a shortfall on one side spills to the other.  Each side is
+    cut to ``total`` rows per task before the few left are ranked."""
+    sides = [rows.filter(F.col(flag) == k).orderBy(*order).limit(total) for k in (1, 0)]
+    first = sides[0].unionByName(sides[1])
+    side = Window.partitionBy(flag)
+    ranked = first.withColumn("_rank", F.row_number().over(side.orderBy(*order)))
+    every = Window.partitionBy()
+    ranked = ranked.withColumn("_on", F.count_if(F.col(flag) == 1).over(every)).withColumn("_off", F.count_if(F.col(flag) == 0).over(every))
     quota_on = F.greatest(F.least("_on", F.lit(flagged)), F.least("_on", total - F.least(F.col("_off"), F.lit(total - flagged))))
     quota = F.when(F.col(flag) == 1, quota_on).otherwise(total - quota_on)
-    return ranked.crossJoin(F.broadcast(sizes)).filter(F.col("_rank") <= quota).drop("_rank", "_on", "_off")
+    return ranked.filter(F.col("_rank") <= quota).drop("_rank", "_on", "_off")

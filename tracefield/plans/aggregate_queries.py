@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import aggs
+from ..operators import aggs, windows
 from .registry import query, r6, read, traces
 
 AREA = 1250.0
@@ -154,7 +154,9 @@ FROM {t} t GROUP BY set_id
 """)
 def exact_percentiles(spark: SparkSession, d: str) -> DataFrame:
     names = {"q50": 0.5, "q90": 0.9, "q95": 0.95, "ci_low": 0.025, "ci_high": 0.975}
-    return traces(spark, d).groupBy("set_id").agg(*[r6(F.percentile("len", p), c) for c, p in names.items()], r6(F.stddev_pop("len"), "std0"))
+    found = windows.quantiles(traces(spark, d), ["set_id"], "len", list(names.values()))
+    spread = traces(spark, d).groupBy("set_id").agg(r6(F.stddev_pop("len"), "std0"))
+    return found.join(spread, "set_id").select("set_id", *[r6(F.col(f"q{k}"), c) for k, c in enumerate(names)], "std0")
 
 
 @query("SELECT cls, count(*) AS n FROM {t} t GROUP BY cls")

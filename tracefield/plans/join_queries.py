@@ -51,12 +51,12 @@ def left_join_defaults(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT coalesce(s.k, c.k) AS nation, coalesce(round(s.b, 4), -1) AS supplier_bal, coalesce(round(c.b, 4), -1) AS customer_bal
-FROM (SELECT s_nationkey AS k, sum(s_acctbal) AS b FROM supplier WHERE s_suppkey % 7 < 3 GROUP BY 1) s
-FULL JOIN (SELECT c_nationkey AS k, sum(c_acctbal) AS b FROM customer WHERE c_custkey % 11 = 0 GROUP BY 1) c ON s.k = c.k
+FROM (SELECT s_nationkey AS k, sum(s_acctbal) AS b FROM supplier GROUP BY 1) s
+FULL JOIN (SELECT c_nationkey + 5 AS k, sum(c_acctbal) AS b FROM customer GROUP BY 1) c ON s.k = c.k
 """)
 def full_outer_params(spark: SparkSession, d: str) -> DataFrame:
-    s = read(spark, d, "supplier").filter("s_suppkey % 7 < 3").groupBy(F.col("s_nationkey").alias("nation")).agg(F.sum("s_acctbal").alias("s"))
-    c = read(spark, d, "customer").filter("c_custkey % 11 = 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.sum("c_acctbal").alias("c"))
+    s = read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.sum("s_acctbal").alias("s"))
+    c = read(spark, d, "customer").groupBy((F.col("c_nationkey") + 5).alias("nation")).agg(F.sum("c_acctbal").alias("c"))
     pick = lambda x, name: F.coalesce(F.round(x, 4), F.lit(-1.0)).alias(name)
     return s.join(c, "nation", "full_outer").select("nation", pick("s", "supplier_bal"), pick("c", "customer_bal"))
 
@@ -93,11 +93,10 @@ GAP = "least(hypot(a.y0 - b.y0, a.z0 - b.z0), hypot(a.y0 - b.y1, a.z0 - b.z1), h
 
 def fragments(rows: DataFrame, keys: list[str], gap: float, offset: float, angle: float) -> DataFrame:
     """Pairs of nearly collinear segments with ends at most ``gap`` apart."""
-    pairs = joins.banded_self_join(rows.withColumn("ym", (F.col("y0") + F.col("y1")) / 2), keys, "ym", 25.0, "trace_id")
-    ends = [F.hypot(F.col(f"a.y{i}") - F.col(f"b.y{j}"), F.col(f"a.z{i}") - F.col(f"b.z{j}")) for i in (0, 1) for j in (0, 1)]
+    pairs = joins.end_pairs(rows, keys, gap, "trace_id")
     across = F.abs((F.col("b.y0") - F.col("a.y0")) * F.sin("a.angle") - (F.col("b.z0") - F.col("a.z0")) * F.cos("a.angle"))
     turned = F.abs(F.sin(F.col("a.angle") - F.col("b.angle")))
-    return pairs.withColumn("gap", F.least(*ends)).filter((F.col("gap") <= gap) & (across <= offset) & (turned <= angle))
+    return pairs.filter((across <= offset) & (turned <= angle))
 
 
 FRAGMENTS = f"""SELECT a.trace_id AS i, b.trace_id AS j, {GAP} AS gap FROM {SEGMENTS} a JOIN {SEGMENTS} b
@@ -116,10 +115,14 @@ SELECT a.vec_id AS i, b.vec_id AS j, round(degrees(acos(least(abs(a.nx * b.nx +
 FROM {n} a JOIN {n} b ON a.label = b.label AND a.vec_id < b.vec_id WHERE abs(a.nx * b.nx + a.ny * b.ny + a.nz * b.nz) >= cos(radians(10.0::DOUBLE))
 """)
 def axial_angle_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Nearly parallel axes of a label.  Axes meet in cells of |nz|, since two
-    within 10 degrees differ in it by at most sin 10."""
-    rows = normals(spark, d).withColumn("az", F.abs(F.col("n.z")))
-    pairs = joins.banded_self_join(rows, ["label"], "az", 0.18, "vec_id")
+    """Nearly parallel axes of a label.  Axes, and their opposites, meet in
+    cells of their three coordinates: two within 10 degrees are no farther
+    apart than ``2 sin 5``."""
+    rows = normals(spark, d)
+    sides = rows.select("*", F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("side"))
+    at = lambda side: [(side * F.col(f"n.{c}")).alias(f"at_{c}") for c in "xyz"]
+    pairs = joins.grid_pairs(sides.select("*", *at(F.col("side"))), rows.select("*", *at(F.lit(1.0))), ["label"], dict.fromkeys(("at_x", "at_y", "at_z"), 0.175))
+    pairs = pairs.filter("a.vec_id < b.vec_id").filter(F.col("a.side") * vec.dot(F.col("a.n"), F.col("b.n")) >= 0)
     cosine = F.abs(vec.dot(F.col("a.n"), F.col("b.n")))
     near = pairs.filter(cosine >= F.cos(F.radians(F.lit(10.0))))
     return near.select(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), F.round(vec.axial_angle(F.col("a.n"), F.col("b.n")), 5).alias("angle"))
@@ -133,10 +136,9 @@ WHERE hypot(a.cy - b.cy, a.cz - b.cz) <= least(8.0::DOUBLE, greatest(2.0::DOUBLE
 def adaptive_gate_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs on neighbouring faces within a gate that grows with the faces'
     distance and shrinks with the plane's dip towards them."""
-    rows = discs(spark, d).select("disc_id", "set_id", F.col("c.x").alias("cx"), "c", "n")
-    pairs = joins.banded_self_join(rows, ["set_id"], "cx", 3.2, "disc_id")
-    later = F.col("a.cx") <= F.col("b.cx")
-    pairs = pairs.filter(F.col("a.cx") != F.col("b.cx")).select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("b"))
+    rows = discs(spark, d).select("disc_id", "set_id", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), F.col("c.z").alias("cz"), "c", "n")
+    pairs = joins.grid_pairs(rows, rows, ["set_id"], {"cx": 3.2, "cy": 8.0, "cz": 8.0})
+    pairs = pairs.filter((F.col("b.cx") > F.col("a.cx")) & (F.col("b.cx") - F.col("a.cx") <= 3.2))
     slope = F.greatest(F.sqrt(1 - F.col("a.n.x") * F.col("a.n.x")), F.lit(0.05))
     gate = F.least(F.lit(8.0), F.greatest(F.lit(2.0), 1.4 * (F.col("b.cx") - F.col("a.cx")) / slope))
     apart = F.hypot(F.col("a.c.y") - F.col("b.c.y"), F.col("a.c.z") - F.col("b.c.z"))
@@ -237,7 +239,7 @@ SELECT i, j, round(dist, 6) AS distance, round(dist / second, 6) AS ratio FROM r
 def nearest_match(spark: SparkSession, d: str) -> DataFrame:
     left = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("bal"))
     right = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("bal"))
-    found = joins.nearest(left, right, "nation", "id", F.abs(F.col("bal") - F.col("o_bal")), 2000.0)
+    found = joins.nearest(left, right, "nation", "id", "bal", 2000.0)
     return found.select(F.col("id").alias("i"), F.col("o_id").alias("j"), r6(F.col("distance"), "distance"), r6(F.col("ratio"), "ratio"))
 
 

@@ -221,12 +221,12 @@ def expanding_faces(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT DISTINCT set_id, (trace_id * 37 % 360)::DOUBLE AS angle FROM {t} t WHERE trace_id % 50 = 7),
+WITH a AS (SELECT DISTINCT set_id, floor(len * len % 360 * 4) / 4 AS angle FROM {t} t),
 g AS (SELECT set_id, coalesce(lead(angle) OVER w, first_value(angle) OVER w + 360) - angle AS gap FROM a WINDOW w AS (PARTITION BY set_id ORDER BY angle))
 SELECT set_id, max(gap) AS max_gap, 360 - max(gap) AS arc FROM g GROUP BY set_id
 """)
 def arc_gap(spark: SparkSession, d: str) -> DataFrame:
-    rows = traces(spark, d).filter("trace_id % 50 = 7").withColumn("angle", (F.col("trace_id") * 37 % 360).cast("double"))
+    rows = traces(spark, d).withColumn("angle", F.floor(F.col("len") * F.col("len") % 360 * 4) / 4)
     return windows.arc_gap(rows, "set_id", "angle")
 
 
@@ -235,21 +235,21 @@ SELECT set_id, trace_id, len FROM {t} t
 QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY len, trace_id) = count(*) OVER (PARTITION BY set_id) // 2 + 1
 """)
 def median_position_row(spark: SparkSession, d: str) -> DataFrame:
-    group = Window.partitionBy("set_id")
-    ranked = traces(spark, d).withColumn("rank", F.row_number().over(group.orderBy("len", "trace_id"))).withColumn("n", F.count("*").over(group))
-    return ranked.filter("rank = n div 2 + 1").select("set_id", "trace_id", "len")
+    ranked = windows.running(traces(spark, d), ["set_id"], ["len", "trace_id"], {"rank": F.lit(1)})
+    return ranked.filter("rank = rank_total div 2 + 1").select("set_id", "trace_id", "len")
 
 
 @query("SELECT set_id, trace_id, row_number() OVER (PARTITION BY set_id ORDER BY face_id, trace_id) AS local_id FROM {t} t")
 def surrogate_id(spark: SparkSession, d: str) -> DataFrame:
-    number = F.row_number().over(Window.partitionBy("set_id").orderBy("face_id", "trace_id"))
-    return traces(spark, d).select("set_id", "trace_id", number.alias("local_id"))
+    rows = traces(spark, d).select("set_id", "face_id", "trace_id")
+    numbered = windows.running(rows, ["set_id"], ["face_id", "trace_id"], {"local_id": F.lit(1)})
+    return numbered.select("set_id", "trace_id", "local_id")
 
 
 @query("SELECT set_id, trace_id, round(100 * (1 - cume_dist() OVER (PARTITION BY set_id ORDER BY len)), 6) AS percent_above FROM {t} t")
 def percent_above(spark: SparkSession, d: str) -> DataFrame:
-    share = 1 - F.cume_dist().over(Window.partitionBy("set_id").orderBy("len"))
-    return traces(spark, d).select("set_id", "trace_id", r6(100 * share, "percent_above"))
+    rows = windows.running(traces(spark, d).select("set_id", "trace_id", "len"), ["set_id"], ["len"], {"n": F.lit(1)}, peers=True)
+    return rows.select("set_id", "trace_id", r6(100 * (1 - F.col("n") / F.col("n_total")), "percent_above"))
 
 
 @query("SELECT disc_id, set_id, radius FROM {d} d ORDER BY radius DESC, disc_id LIMIT 40")
@@ -287,8 +287,8 @@ def keep_random(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT set_id, trace_id FROM {t} t QUALIFY (row_number() OVER (PARTITION BY set_id ORDER BY trace_id) - 1) % 20 = 0")
 def even_downsample(spark: SparkSession, d: str) -> DataFrame:
-    number = F.row_number().over(Window.partitionBy("set_id").orderBy("trace_id")) - 1
-    return traces(spark, d).withColumn("k", number).filter("k % 20 = 0").select("set_id", "trace_id")
+    numbered = windows.running(traces(spark, d).select("set_id", "trace_id"), ["set_id"], ["trace_id"], {"k": F.lit(1)})
+    return numbered.filter("(k - 1) % 20 = 0").select("set_id", "trace_id")
 
 
 @query("SELECT DISTINCT set_id, round(len, 0) AS len FROM {t} t")
@@ -297,14 +297,14 @@ def rounded_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT disc_id, radius, 'visible' AS source FROM {d} d WHERE disc_id % 3 = 0 UNION ALL SELECT disc_id, radius / 2, 'hidden' FROM {d} d WHERE disc_id % 3 = 1
+SELECT disc_id, radius, 'visible' AS source FROM {d} d WHERE radius >= 6 UNION ALL SELECT disc_id, radius / 2, 'hidden' FROM {d} d WHERE radius < 6
 """)
 def union_tagged(spark: SparkSession, d: str) -> DataFrame:
     from .registry import discs
 
     rows = discs(spark, d).select("disc_id", "radius")
-    seen = rows.filter("disc_id % 3 = 0").withColumn("source", F.lit("visible"))
-    return seen.unionByName(rows.filter("disc_id % 3 = 1").withColumn("radius", F.col("radius") / 2).withColumn("source", F.lit("hidden")))
+    seen = rows.filter("radius >= 6").withColumn("source", F.lit("visible"))
+    return seen.unionByName(rows.filter("radius < 6").withColumn("radius", F.col("radius") / 2).withColumn("source", F.lit("hidden")))
 
 
 @query(f"""
