@@ -318,13 +318,14 @@ def confirmed_links(docs: DataFrame, families: DataFrame, percent: int, limit: i
     if large.limit(1).count():
         hubs = common.stage_table(hubs_of(large), "neardup-hubs")
         headed = large.select("family", "id", "parts").join(common.broadcast_within(hubs, 200_000), "family")
-        star = common.stage_table(hub_links(texts.join(headed, "id"), percent, words), "neardup-star")
+        star = common.stage_table(hub_links(texts.join(common.broadcast_within(headed, 1_000_000), "id"), percent, words), "neardup-star")
         in_class = star.select(F.col("b").alias("id"), F.col("a").alias("hub")).distinct()
         classed = placed_ids.join(in_class, "id", "left").withColumn("class", F.coalesce("hub", "id")).drop("hub")
         joined = classed.groupBy("family").agg(F.count_if(F.col("class") != F.col("id")).alias("joined"), F.max("n").alias("n"), F.max("parts").alias("parts"))
         done = joined.filter("parts > 1 AND joined = n - 1").select("family")
         open_rows = common.stage_table(classed.join(common.broadcast_within(done, 200_000), "family", "left_anti"), "neardup-open")
-    dealt = block_pairs(texts.join(open_rows.drop("n"), "id"), "family", F.col("parts"))
+    open_rows = common.broadcast_within(open_rows.select("id", "family", "class", "parts"), 1_000_000)
+    dealt = block_pairs(texts.join(open_rows, "id"), "family", F.col("parts"))
     dealt = dealt.select("family", "i", "j", "block", "id", "class", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
