@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder of ``spark.checkpoint.dir``; a temporary
-    folder is set only where the session names none and runs on one machine."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary folder is set only
+    where the session names none and runs on one machine."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracefield-"))
+        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="tracefield-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -63,7 +69,7 @@ def relink(traces: DataFrame, groups: DataFrame) -> DataFrame:
         F.first("n_fragments").alias("n_fragments"), F.min(F.struct("at", "p.y", "p.z")).alias("low"), F.max(F.struct("at", "p.y", "p.z")).alias("high")
     ).select(
         "component", "n_fragments", F.col("low.y").alias("y0"), F.col("low.z").alias("z0"), F.col("high.y").alias("y1"), F.col("high.z").alias("z1"),
-        F.hypot(F.col("high.y") - F.col("low.y"), F.col("high.z") - F.col("low.z")).alias("length"),
+        F.hypot(F.col("high.y") - F.col("low.y"), F.col("high.z") - F.col("low.z")).alias("length"), (F.col("high.at") - F.col("low.at")).alias("reach"),
     )
 
 

@@ -168,3 +168,19 @@ def stratified_top(rows: DataFrame, flag: str, order: list[Column], total: int,
     quota_on = F.greatest(F.least("_on", F.lit(flagged)), F.least("_on", total - F.least(F.col("_off"), F.lit(total - flagged))))
     quota = F.when(F.col(flag) == 1, quota_on).otherwise(total - quota_on)
     return ranked.filter(F.col("_rank") <= quota).drop("_rank", "_on", "_off")
+
+
+def chains(nodes: DataFrame, links: DataFrame, id: str, later: str, earlier: str) -> DataFrame:
+    """``(id, head, depth)``: where each node's chain of ``links`` (at most one
+    per ``later``, without rings) begins and how many links away.  Pointers are doubled, so the
+    number of joins grows with the logarithm of the longest chain."""
+    start = links.select(F.col(later).alias(id), F.col(earlier).alias("head"))
+    at = nodes.select(id).join(start, id, "left").select(id, F.coalesce("head", id).alias("head"), F.col("head").isNotNull().cast("long").alias("depth"))
+    while True:
+        at = graph.cut_lineage(at)
+        up = at.select(F.col(id).alias("head"), F.col("head").alias("above"), F.col("depth").alias("more"))
+        moved = at.join(up, "head").select(id, F.col("above").alias("head"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
+        moved = graph.cut_lineage(moved)
+        at = moved.drop("moved")
+        if not moved.filter("moved").limit(1).count():
+            return at

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,3 +133,76 @@ def write_summary(df: DataFrame, path: str) -> None:
 def keep_rows(df: DataFrame, ids: DataFrame, key: str, path: str) -> None:
     """Write the rows whose ``key`` is among ``ids``."""
     df.join(ids.select(key).distinct(), key, "left_semi").write.parquet(path)
+
+
+def read_mesh(spark: SparkSession, vertices: str, triangles: str) -> DataFrame:
+    """Triangles with their corners, from a vertex table ``(mesh, vertex, x,
+    y, z)`` and a triangle table ``(mesh, triangle, a, b, c)``; a triangle
+    that names a missing vertex is an error."""
+    v = require(spark.read.parquet(vertices), ["mesh", "vertex", "x", "y", "z"])
+    out = require(spark.read.parquet(triangles), ["mesh", "triangle", "a", "b", "c"])
+    for corner in "abc":
+        point = v.select("mesh", F.col("vertex").alias(corner), F.struct("x", "y", "z").alias(f"{corner}_at"))
+        out = out.join(point, ["mesh", corner], "left")
+    whole = F.col("a_at").isNotNull() & F.col("b_at").isNotNull() & F.col("c_at").isNotNull()
+    return out.filter(F.when(whole, True).otherwise(F.raise_error(F.lit("a triangle names a missing vertex"))))
+
+
+def read_aligned(spark: SparkSession, left: str, right: str, key: str) -> DataFrame:
+    """CSV files whose rows belong together by position, in folders of equal
+    names; the ``key`` of both has to agree.  Rows are numbered by their order
+    in the folder's files."""
+
+    def numbered(path: str, name: str) -> DataFrame:
+        raw = spark.read.csv(path, header=True)
+        at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
+        rows = raw.select(F.struct(*raw.columns).alias(name), at.alias("_at"), F.regexp_extract(F.input_file_name(), r"([^/]*)/[^/]*$", 1).alias("_folder"))
+        return rows.select("_folder", F.row_number().over(Window.partitionBy("_folder").orderBy("_at")).alias("_row"), name)
+
+    both = numbered(left, "l").join(numbered(right, "r"), ["_folder", "_row"], "full_outer")
+    alike = F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) & F.col("l").isNotNull() & F.col("r").isNotNull()
+    checked = both.filter(F.when(alike, True).otherwise(F.raise_error(F.concat(F.lit(f"{key} differs in row "), F.col("_row").cast("string")))))
+    others = [F.col(f"r.{c}") for c in both.schema["r"].dataType.names if c != key]
+    return checked.select(F.col("_folder").alias("folder"), F.col("_row").alias("row"), "l.*", *others)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Voxel labels of all runs, a folder ``run=<seed>`` each."""
+    return require(spark.read.parquet(path), ["run", "ix", "iy", "iz"])
+
+
+def observed_by_face(traces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Traces as a list per face, which is bounded by one face's traces, and
+    total length per set."""
+    lists = traces.groupBy("face_id").agg(F.sort_array(F.collect_list("trace_id")).alias("traces"))
+    return lists, traces.groupBy("set_id").agg(F.sum("len").alias("length"))
+
+
+def face_positions(traces: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """Positions of the faces: those declared, or else those that occur."""
+    if declared is not None and declared.limit(1).count():
+        return declared.select("face_x").distinct()
+    return traces.select("face_x").distinct()
+
+
+def write_domain(discs: DataFrame, path: str, meta: Column) -> None:
+    """A domain document that ``read_domain`` reads: ``meta`` and a list of
+    all discs, which has to fit one row; for more, write a table."""
+    fractures = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in ("id", "set_id", "label", "center_xyz_m", "normal_xyz", "radius_m", "reconstruction", "radius_status")])))
+    discs.agg(F.to_json(F.struct(meta.alias("meta"), fractures.alias("fractures"))).alias("value")).coalesce(1).write.text(path)
+
+
+def write_runs(voxels: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Voxel labels as Parquet, a folder per run; other runs stay when
+    ``mode`` is "append"."""
+    voxels.write.mode(mode).partitionBy("run").parquet(path)
+
+
+def missing_keys(wanted: DataFrame, done: str, keys: list[str]) -> DataFrame:
+    """The rows of ``wanted`` whose ``keys`` an earlier run has not written
+    under ``done``: a sweep resumes with these and appends."""
+    jvm = wanted.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(done)
+    if not path.getFileSystem(wanted.sparkSession._jsc.hadoopConfiguration()).exists(path):
+        return wanted
+    return wanted.join(wanted.sparkSession.read.parquet(done).select(*keys).distinct(), keys, "left_anti")
