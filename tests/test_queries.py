@@ -10,6 +10,11 @@ import pytest
 from tracefield import plans
 
 
+WITHOUT_SQL = {
+    "assigned_pairs", "bootstrap_interval", "generated_discs", "greedy_links", "principal_axis", "segment_distances", "verified_clusters",
+}
+
+
 def plain(v):
     if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return None
@@ -42,7 +47,8 @@ def duck(sf_dir):
 def test_query(spark, sf_dir, duck, name):
     got = plans.QUERIES[name](spark, sf_dir)
     if name not in plans.ORACLES:
-        assert got.columns and got.limit(1).count() >= 0
+        # these have tests of their own against plain versions
+        assert name in WITHOUT_SQL and got.count() > 0
         return
     expected = duck.execute(plans.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)

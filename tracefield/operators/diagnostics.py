@@ -84,14 +84,20 @@ def bounding_planes(cells: DataFrame, planes: DataFrame, off: Column, share: flo
     return found.filter((F.col("side") >= share) & (F.col("n_near") >= least))
 
 
-def cut_edges(cells: DataFrame, discs: DataFrame) -> DataFrame:
+def cut_edges(cells: DataFrame, discs: DataFrame, block: int = 4) -> DataFrame:
     """``ix, iy, iz, axis, disc_id`` for edges from cell centres ``(x, y, z)``
-    one step along an axis that a disc cuts.  Discs are dealt to the unit slabs
-    of x that they reach, so a cell meets only those of its slab."""
-    reach = F.explode(F.sequence(F.floor(F.col("c.x") - F.col("radius") - 1).cast("int"), F.floor(F.col("c.x") + F.col("radius") + 1).cast("int"))).alias("slab")
-    dealt = discs.select("disc_id", "c", "n", "radius", reach)
+    one step along an axis that a disc cuts.  A disc is dealt to the blocks of
+    ``block`` steps that its plane crosses within its radius, so cells meet the
+    discs near them only."""
+    reach = lambda c: F.explode(F.sequence(*[F.floor((F.col(f"c.{c}") + k * (F.col("radius") + 1)) / block) for k in (-1, 1)]))
+    dealt = discs.select("disc_id", "c", "n", "radius")
+    for c in "xyz":
+        dealt = dealt.withColumn(f"b{c}", reach(c))
+    middle = vec.vec(*[(F.col(f"b{c}") + 0.5) * block - F.col(f"c.{c}") for c in "xyz"])
+    slack = block * math.sqrt(3) / 2 + 1
+    dealt = dealt.filter((F.abs(vec.dot(middle, F.col("n"))) <= slack) & (vec.norm(middle) <= F.col("radius") + slack))
+    rows = cells.select("*", *[F.floor(F.col(c) / block).alias(f"b{c}") for c in "xyz"]).join(dealt, ["bx", "by", "bz"])
     axes = F.explode(F.sequence(F.lit(0), F.lit(2)))
-    rows = cells.withColumn("slab", F.floor("x").cast("int")).join(dealt, "slab").filter(F.abs(F.col("x") - F.col("c.x")) <= F.col("radius") + 1)
     rows = rows.withColumn("axis", axes)
     at = vec.vec(*[F.col(k) - F.col(f"c.{k}") for k in "xyz"])
     step = F.element_at(F.array("n.x", "n.y", "n.z"), F.col("axis") + 1)
@@ -121,27 +127,28 @@ def three_point_normal(rows: DataFrame, polyline: str, least: float = 0.005) ->
     return rows.withColumns({"quality": F.when(reason.isin("not_enough_points", "zero_chord_length"), 0.0).otherwise(quality), "reason": reason, "normal": normal}).drop("_p", "_q", "_size", "_far")
 
 
-def posterior_radius(half: Column, draw: Column, exponent: float, least: float, most: float, steps: int) -> Column:
-    """A radius from its posterior given a half chord, at the quantile
-    ``draw``: with ``r = half * cosh(u)`` the density is ``r ** -(exponent +
-    1)``, tabulated at ``steps`` steps of u, summed and inverted."""
-    low = F.greatest(half, F.lit(least))
-    u0 = F.when(low > half, F.acosh(low / half)).otherwise(0.0)
-    u1 = F.acosh(F.greatest(F.lit(most) / half, F.lit(1.0)))
-    nodes = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: u0 + (u1 - u0) * i / steps)
-    weights = F.transform(nodes, lambda u: F.struct(u.alias("u"), F.pow(half * F.cosh(u), F.lit(-(exponent + 1))).alias("w")))
-    total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x["w"])
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("ua"), F.lit(None).cast("double").alias("ca"), F.lit(None).cast("double").alias("found"))
+def posterior_radius(rows: DataFrame, half: str, draw: str, exponent: float, least: float, most: float, steps: int) -> DataFrame:
+    """``rows`` with ``radius``, drawn from its posterior given a half chord at
+    the quantile ``draw``: with ``r = half * cosh(u)`` the density is ``r **
+    -(exponent + 1)``, tabulated at ``steps`` steps of u, summed and inverted."""
+    a = F.col(half)
+    low = F.greatest(a, F.lit(least))
+    rows = rows.withColumn("_u0", F.when(low > a, F.acosh(low / a)).otherwise(0.0)).withColumn("_u1", F.acosh(F.greatest(F.lit(most) / a, F.lit(1.0))))
+    node = lambda i: F.col("_u0") + (F.col("_u1") - F.col("_u0")) * i / steps
+    weights = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.pow(a * F.cosh(node(i)), F.lit(-(exponent + 1))))
+    rows = rows.withColumn("_w", weights)
+    rows = rows.withColumn("_aim", F.col(draw) * F.aggregate("_w", F.lit(0.0), lambda s, x: s + x))
+    # how many nodes lie below the quantile, and the sum up to there
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("on"))
 
     def walk(s: Column, x: Column) -> Column:
-        now = s["sum"] + x["w"]
-        c = now / total
-        inside = F.when(s["ua"].isNull(), x["u"]).otherwise(s["ua"] + (draw - s["ca"]) / (c - s["ca"]) * (x["u"] - s["ua"]))
-        found = F.coalesce(s["found"], F.when(c > draw, inside))
-        return F.struct(now.alias("sum"), x["u"].alias("ua"), c.alias("ca"), found.alias("found"))
-
-    u = F.aggregate(weights, start, walk, lambda s: F.coalesce(s["found"], s["ua"]))
-    return F.when(low >= most, low).otherwise(half * F.cosh(u))
+        on = s["on"] & (s["sum"] + x <= F.col("_aim"))
+        return F.struct(F.when(on, s["sum"] + x).otherwise(s["sum"]).alias("sum"), (s["n"] + on.cast("int")).alias("n"), on.alias("on"))
+
+    rows = rows.withColumn("_at", F.aggregate("_w", start, walk))
+    n, next_ = F.col("_at.n"), F.get("_w", F.col("_at.n"))
+    u = F.when(n == 0, F.col("_u0")).when(n > steps, F.col("_u1")).otherwise(node(n - 1) + (F.col("_aim") - F.col("_at.sum")) / next_ * (node(n) - node(n - 1)))
+    return rows.withColumn("radius", F.when(low >= most, low).otherwise(a * F.cosh(u))).drop("_u0", "_u1", "_w", "_aim", "_at")
 
 
 def wall_traces(discs: DataFrame, walls: list[tuple[float, float, float, float]], low: float, high: float, least: float) -> DataFrame:

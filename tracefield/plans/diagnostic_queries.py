@@ -180,7 +180,7 @@ def smoothed_probability(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE v AS (SELECT *, ((run * 40 + ix) * 25 + iy) * 10 + iz AS id FROM {VOXELS} x WHERE iz < 5),
+WITH RECURSIVE v AS (SELECT *, ((run * 40 + ix) * 25 + iy) * 30 + iz AS id FROM {VOXELS} x WHERE iz < 15),
 e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.run = b.run AND abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1),
 r AS (SELECT id, id AS c FROM v UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b), g AS (SELECT id, min(c) AS component FROM r GROUP BY id)
 SELECT component, count(*) AS n_voxels FROM g JOIN v USING (id) GROUP BY component HAVING count(*) FILTER (iz = 0) > 0 AND count(*) FILTER (ix = 0) = 0
@@ -188,7 +188,7 @@ SELECT component, count(*) AS n_voxels FROM g JOIN v USING (id) GROUP BY compone
 def removable_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of the rock under a mask that touch the opening and not the
     boundary; other variants differ in mask and keep rule."""
-    return diagnostics.masked_blocks(_cell_ids(_voxels(spark, d)).filter("iz < 5"), "run", F.count_if(F.col("iz") == 0) > 0, F.count_if(F.col("ix") == 0) == 0)
+    return diagnostics.masked_blocks(_cell_ids(_voxels(spark, d)).filter("iz < 15"), "run", F.count_if(F.col("iz") == 0) > 0, F.count_if(F.col("ix") == 0) == 0)
 
 
 @query(f"""
@@ -253,7 +253,7 @@ def posterior_radius_sample(spark: SparkSession, d: str) -> DataFrame:
     """One radius per trace from the posterior given its half length, by the
     inverse of a tabulated distribution; the draw is a function of the id."""
     rows = traces(spark, d).select("trace_id", F.greatest(F.col("len") / 50, F.lit(0.05)).alias("a"), (((F.col("trace_id") * 37 % 997) + 0.5) / 997).alias("v"))
-    return rows.select("trace_id", F.round(diagnostics.posterior_radius(F.col("a"), F.col("v"), 2.5, 0.5, 12.0, 40), 4).alias("radius"))
+    return diagnostics.posterior_radius(rows, "a", "v", 2.5, 0.5, 12.0, 40).select("trace_id", F.round("radius", 4).alias("radius"))
 
 
 @query("""

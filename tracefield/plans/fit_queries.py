@@ -12,9 +12,9 @@ from ..operators import aggs, fitting, graph
 from .join_queries import VISIBLE, clipped
 from .registry import query, r6, read
 
-LOW, HIGH, BINS = 1.0, 25.0, 10
+LOW, HIGH, BINS = 0.9, 26.0, 10
 LEAST, MOST = 0.25, 12.5
-GRID = [1.5 + 0.25 * k for k in range(14)]
+GRID = [0.25 * k for k in range(14)]
 DRAWS = 25
 
 

@@ -13,7 +13,7 @@ from ..operators import graph, voxels
 from .registry import query, r6, read, traces
 
 VOXELS = (
-    "(SELECT DISTINCT l_orderkey // 10 % 20 AS run, (l_partkey % 40)::INT AS ix, (l_suppkey % 25)::INT AS iy, (l_orderkey % 10)::INT AS iz FROM lineitem)"
+    "(SELECT DISTINCT l_orderkey // 30 % 20 AS run, (l_partkey % 40)::INT AS ix, (l_suppkey % 25)::INT AS iy, (l_orderkey % 30)::INT AS iz FROM lineitem)"
 )
 RUNS = 20
 
@@ -21,12 +21,12 @@ RUNS = 20
 def _voxels(spark: SparkSession, d: str) -> DataFrame:
     order = F.col("l_orderkey")
     return read(spark, d, "lineitem").select(
-        (F.floor(order / 10) % 20).alias("run"), (F.col("l_partkey") % 40).cast("int").alias("ix"), (F.col("l_suppkey") % 25).cast("int").alias("iy"), (order % 10).cast("int").alias("iz")
+        (F.floor(order / 30) % 20).alias("run"), (F.col("l_partkey") % 40).cast("int").alias("ix"), (F.col("l_suppkey") % 25).cast("int").alias("iy"), (order % 30).cast("int").alias("iz")
     ).distinct()
 
 
 def _cell_ids(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("id", ((F.col("run") * 40 + F.col("ix")) * 25 + F.col("iy")) * 10 + F.col("iz"))
+    return rows.withColumn("id", ((F.col("run") * 40 + F.col("ix")) * 25 + F.col("iy")) * 30 + F.col("iz"))
 
 
 @query(f"SELECT ix, iy, iz, round(count(*) / {RUNS}.0::DOUBLE, 6) AS p FROM {VOXELS} v GROUP BY ALL")
@@ -54,7 +54,7 @@ def voxel_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 
 COMPONENTS = f"""
-WITH RECURSIVE v AS (SELECT *, ((run * 40 + ix) * 25 + iy) * 10 + iz AS id FROM {VOXELS} x),
+WITH RECURSIVE v AS (SELECT *, ((run * 40 + ix) * 25 + iy) * 30 + iz AS id FROM {VOXELS} x),
 e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.run = b.run AND abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1),
 r AS (SELECT id, id AS c FROM v UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b),
 g AS (SELECT id, min(c) AS component FROM r GROUP BY id)
