@@ -95,3 +95,68 @@ def test_stages_keep_rows_without_an_id(spark, sf_dir):
         assert {r["text"] for r in left.select("text").collect()} >= {words(k) for k in [*range(20, 32), 40, 41]}, name
     packed = corpus_pipeline.STAGES[-1][1](spark, left, sf_dir)
     assert packed.filter("start = 0").count() == left.count()
+
+
+ODD = [(1, words(60)), (2, None), (3, ""), (None, " \t"), (4, "?! 12"), (5, words(61, 30_000)), (6, words(60)), (6, words(62)), (None, words(63)), (None, None), (7, "kurz")]
+
+
+def odd(spark):
+    """Odd rows with columns whose names clash with inner ones."""
+    rows = make(spark, ODD)
+    return rows.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("row", "mark", "doc", "class", "size", "taken", "copy", "spans", "key", "lang_pred"))])
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, sf_dir):
+    docs, columns = odd(spark), list(corpus_pipeline.COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, sf_dir)
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        texts = [r["text"] for r in after.collect()] if name != "packing" else None
+        if texts is None:
+            assert after.filter("start = 0").count() == len(ODD)
+            continue
+        assert after.columns == columns, name
+        if name == "language ID":
+            assert None not in texts and "" not in texts and words(62) in texts
+        if name == "suffix-array dedup":
+            assert len(texts) == len(ODD) and texts.count(None) == 2 and words(62) in texts
+
+
+def test_passages_are_cut_as_by_brute_force(spark, sf_dir):
+    passage = words(70, 60)
+    rows = [(1, "a " + passage + " b é"), (2, "c " + passage), (3, words(71)), (4, passage[:200]), (None, passage + words(72, 20))]
+    data = [t.encode() for _, t in rows]
+    seen = {}
+    for d in data:
+        for k in range(len(d) - 255):
+            seen[d[k : k + 256]] = seen.get(d[k : k + 256], 0) + 1
+    expected = []
+    for d in data:
+        gone = set()
+        for k in range(len(d) - 255):
+            if seen[d[k : k + 256]] > 1:
+                gone.update(range(k, k + 256))
+        expected.append(bytes(x for k, x in enumerate(d) if k not in gone).decode("utf-8", "ignore"))
+    got = [r["text"] for r in corpus_pipeline.cut_repeats(spark, make(spark, rows), sf_dir).collect()]
+    assert sorted(got) == sorted(expected) and len(expected[0]) < 20
+
+
+def test_mix_takes_whole_copies_and_first_words(spark, sf_dir):
+    docs = spark.createDataFrame([(k, words(80 + k, 30 + k), "en", s, 0) for k, s in enumerate(["a"] * 6 + ["b"] * 3 + [None] * 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    taken = {r["doc_id"]: r["taken"] for r in corpus_pipeline.mixing.mix(docs).collect()}
+    expected = []
+    for r in docs.collect():
+        parts, left = r["text"].split(" "), taken[r["doc_id"]]
+        while left > 0:
+            expected.append((r["doc_id"], " ".join(parts[:left])))
+            left -= len(parts)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.mix_sources(spark, docs, sf_dir).collect()]
+    assert sorted(got) == sorted(expected)
+
+
+def test_languages_decide_who_stays(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs, sf_dir).collect()}
+    wrong = [r["doc_id"] for r in docs.collect() if r["lang"] and len(r["text"] or "") > 40 and kept.get(r["doc_id"], r["lang"]) != r["lang"]]
+    lost = [r["doc_id"] for r in docs.collect() if r["lang"] and len(r["text"] or "") > 40 and r["doc_id"] not in kept]
+    assert len(wrong) <= 0.02 * len(kept) and len(lost) <= 0.02 * len(kept)
