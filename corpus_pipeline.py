@@ -29,7 +29,8 @@ NEAR_PERCENT = 80
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language the training rows teach, under the
-    language predicted; null, empty and letterless texts go."""
+    language predicted; null, empty and letterless texts go.  Rows may repeat
+    an id or have none; an empty table gives an empty one."""
     model = langid.train(docs.filter(~langid.held_out()))
     found = langid.predict(docs.select(*COLUMNS), model)
     kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
@@ -68,7 +69,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and cut documents to the words the mix takes of each: whole
-    copies, and for the rest the document's first words."""
+    copies, and for the rest the document's first words.  Nothing is taken of a
+    null, empty or blank text, so it goes; rows without an id, or with a
+    repeated one, are documents of their own; a null source is a source."""
     keys = ["doc_id", "mark", "copy_no"]
     rows = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("source", F.lit(""))).alias("mark"))
     taken = mixing.mix(rows, carry=("mark",)).select("doc_id", "mark", "size", "taken")
@@ -91,7 +94,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into windows of 4096 tokens."""
+    """Pack what is left into windows of 4096 tokens.  Every row is packed, a
+    null or empty text as its end id alone; rows may repeat an id or have
+    none."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -103,14 +108,18 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Not expressible in SQL; the tests hold the near-dedup stage against a
-#: brute-force version and check counts and columns of the others.
+#: Not expressible in SQL; the tests hold each stage against a brute-force
+#: version or, for packing, an exact account of all ids.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents of ``sf_dir``."""
+    """Apply the stages to the documents of ``sf_dir``.  A stage's own tables
+    and its input are deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before, last = common.staged_so_far(), docs
         docs = common.stage_table(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-").lower())
+        common.drop_staged_since(spark, before, docs)
+        common.drop_staged(last)
     return STAGES[-1][1](spark, docs, sf_dir)
