@@ -5,8 +5,10 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracefield.operators import association, fitting, sampling
+from tracefield.operators import association, fitting, joins, sampling
+from tracefield.plans import QUERIES
 from tracefield.plans import association_queries as queries
+from tracefield.plans.registry import discs, normals
 
 
 def plain_clusters(traces, pairs):
@@ -65,3 +67,50 @@ def test_bootstrap_weights_are_poisson(spark):
     rows = spark.range(4000).select("id", F.lit(1).alias("k"))
     counts = [r["n"] for r in fitting.bootstrap_counts(rows, ["k"], "id", 30).collect()]
     assert len(counts) == 30 and abs(np.mean(counts) - 4000) < 60 and 30 < np.std(counts) < 110
+
+
+def test_segment_distances_against_a_fine_grid(spark, sf_dir):
+    at = {r["disc_id"]: (np.array(r["c"]), np.array(r["n"])) for r in discs(spark, sf_dir).collect()}
+    s = np.linspace(0, 1, 201)
+    for r in QUERIES["segment_distances"](spark, sf_dir).limit(40).collect():
+        (c, n), (e, m) = at[r["disc_id"]], at[r["disc_id"] + 1]
+        gaps = (c + s[:, None, None] * n) - (e + s[None, :, None] * m)
+        least = np.sqrt((gaps**2).sum(axis=2)).min()
+        assert least - 0.02 <= r["distance"] <= least + 1e-6
+
+
+def test_principal_axis_is_the_top_eigenvector(spark, sf_dir):
+    groups = {}
+    for r in normals(spark, sf_dir).collect():
+        groups.setdefault(r["label"], []).append(list(r["n"]))
+    for r in QUERIES["principal_axis"](spark, sf_dir).collect():
+        axes = np.array(groups[r["label"]])
+        tensor, v = axes.T @ axes / len(axes), np.array([r["ex"], r["ey"], r["ez"]])
+        assert np.allclose(tensor @ v, r["value"] * v, atol=1e-9) and r["value"] >= np.linalg.eigvalsh(tensor)[-1] - 1e-9
+
+
+def test_bootstrap_interval_holds_the_mean(spark, sf_dir):
+    means = {r["event_type"]: r["m"] for r in spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.avg("value").alias("m")).collect()}
+    for r in QUERIES["bootstrap_interval"](spark, sf_dir).collect():
+        assert r["low"] < means[r["set_id"]] < r["high"]
+
+
+def test_generated_discs_follow_their_laws(spark, sf_dir):
+    rows = QUERIES["generated_discs"](spark, sf_dir).collect()
+    assert all(0.5 <= r["radius"] <= 250 and abs(sum(x * x for x in r["n"]) - 1) < 1e-9 for r in rows)
+    assert rows == QUERIES["generated_discs"](spark, sf_dir).collect()
+
+
+def test_assigned_pairs_are_the_cheapest(spark):
+    import itertools
+    import random
+
+    rng = random.Random(9)
+    pairs = [(g, i, j, round(rng.random(), 3)) for g in range(6) for i in range(4) for j in range(4) if rng.random() < 0.7]
+    got = joins.assign(spark.createDataFrame(pairs, "g int, i int, j int, cost double"), ["g"], "i", "j", "cost").collect()
+    for g in range(6):
+        cost = {(i, j): c for h, i, j, c in pairs if h == g}
+        every = [tuple(zip(a, b)) for k in range(5) for a in itertools.combinations(range(4), k) for b in itertools.permutations(range(4), k)]
+        best = min((-len(m), sum(cost[p] for p in m)) for m in every if all(p in cost for p in m))
+        own = [r for r in got if r["g"] == g]
+        assert len(own) == -best[0] and abs(sum(r["cost"] for r in own) - best[1]) < 1e-9

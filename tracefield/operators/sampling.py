@@ -61,10 +61,11 @@ def discs(spark: SparkSession, n: int, seed: int, box: tuple[float, float, float
 
 def bootstrap(rows: DataFrame, draws: int, seed: int, key: str) -> DataFrame:
     """Every row with a Poisson(1) weight per draw; rows of weight 0 go.
-    Sums over ``draw`` are bootstrap replicates."""
+    Sums over ``draw`` are bootstrap replicates.  Weights above eighteen, of
+    probability below 1e-17, are less than a step of the uniform."""
     u = uniform(seed, "bootstrap", F.col(key).cast("string"), F.col("draw"))
     steps, total, p = [], 0.0, math.exp(-1)
-    for k in range(1, 9):
+    for k in range(1, 19):
         total += p
         steps.append((u > total).cast("int"))
         p /= k
