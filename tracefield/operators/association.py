@@ -57,14 +57,15 @@ def agglomerate(traces: DataFrame, pairs: DataFrame, residual: float = 0.08, spr
     residual of at most ``residual`` and no face has chords that lie farther
     apart than ``spread`` across their direction.
 
-    Merges never cross components of the pairs, so each component is merged in
-    a task of its own, from the pairs and its traces; candidates have to be
-    local for components to stay small.
+    Merges never cross components of the pairs, so each component is merged on
+    its own, from its pairs and traces; candidates have to be local for
+    components to stay small.  Tasks take components in buckets of about 2,000
+    traces.
     """
     import numpy as np
     import pandas as pd
 
-    alone = connected(traces, pairs)
+    alone = graph.cut_lineage(connected(traces, pairs))
     numbers = ("x", "y", "z", "h", "dy", "dz")
     parts = alone.join(traces.select("trace_id", *numbers), "trace_id")
     sizes = alone.groupBy("cluster").agg(F.count("*").alias("n"))
@@ -75,6 +76,9 @@ def agglomerate(traces: DataFrame, pairs: DataFrame, residual: float = 0.08, spr
     rows = rows.unionByName(edges.select("cluster", "trace_id", "j", "off", *[F.lit(None).cast("double").alias(c) for c in numbers])).select(columns)
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([merge(part) for _, part in frame.groupby("cluster", sort=False)])
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
         nodes = frame[frame["j"].isna()]
         ids = nodes["trace_id"].to_numpy()
         index = {t: k for k, t in enumerate(ids)}
@@ -82,27 +86,38 @@ def agglomerate(traces: DataFrame, pairs: DataFrame, residual: float = 0.08, spr
         reach = nodes["h"].to_numpy()[:, None] * np.stack([np.zeros(len(ids)), nodes["dy"], nodes["dz"]], axis=1)
         members = {k: [k] for k in range(len(ids))}
         owner = list(range(len(ids)))
+        # sums over both ends, which add up when clusters merge
+        moments = 2 * (middle[:, :, None] * middle[:, None, :] + reach[:, :, None] * reach[:, None, :])
+        sums = {k: (2, 2 * middle[k], moments[k]) for k in range(len(ids))}
         links = frame[frame["j"].notna()].sort_values(["off", "trace_id", "j"])
         for i, j in zip(links["trace_id"], links["j"]):
             a, b = owner[index[i]], owner[index[int(j)]]
-            if a != b and one_plane(middle, reach, members[a] + members[b], residual, spread):
+            if a == b:
+                continue
+            joint = tuple(x + y for x, y in zip(sums[a], sums[b]))
+            if one_plane(joint, middle, members[a] + members[b], residual, spread):
                 members[a] += members.pop(b)
+                sums[a] = joint
                 for k in members[a]:
                     owner[k] = a
         first = {k: ids[m].min() for k, m in members.items()}
         return pd.DataFrame({"trace_id": ids, "cluster": [first[o] for o in owner]})
 
-    merged = rows.groupBy("cluster").applyInPandas(solve, "trace_id long, cluster long")
+    buckets = max(1, alone.count() // 2000)
+    dealt = rows.groupBy(F.pmod(F.xxhash64("cluster"), F.lit(buckets)))
+    merged = dealt.applyInPandas(solve, "trace_id long, cluster long")
     single = alone.join(sizes.filter("n = 1").select("cluster"), "cluster").select("trace_id", "cluster")
     return merged.unionByName(single)
 
 
-def one_plane(middle, reach, members: list[int], residual: float, spread: float) -> bool:
-    """Whether chords (middles and half vectors) can be one disc's."""
+def one_plane(sums: tuple, middle, members: list[int], residual: float, spread: float) -> bool:
+    """Whether chords can be one disc's, from the number, sum and second
+    moments of their ends, and their middles."""
     import numpy as np
 
-    points = np.concatenate([middle[members] - reach[members], middle[members] + reach[members]])
-    values, vectors = np.linalg.eigh(np.cov(points.T, bias=True))
+    n, total, moment = sums
+    mean = total / n
+    values, vectors = np.linalg.eigh(moment / n - np.outer(mean, mean))
     if math.sqrt(max(values[0], 0.0)) > residual:
         return False
     normal = vectors[:, 0]
