@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, common, langid, media, merkle, mixing, neardup, packing, repeats, sitetree, warc
+from . import bitplanes, common, filteraudit, langid, media, merkle, mixing, neardup, packing, repeats, sitetree, warc
 
 
 def tokenizer_path() -> str:
@@ -71,6 +71,10 @@ def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +88,7 @@ QUERIES = {
         op8_source_mix,
         op9_merkle_fingerprint,
         op10_warc_chunks,
+        op11_filter_audit,
     )
 }
 
@@ -91,4 +96,5 @@ ORACLES = {
     "op8_source_mix": mixing.ORACLE,
     "op9_merkle_fingerprint": merkle.ORACLE,
     "op10_warc_chunks": warc.ORACLE,
+    "op11_filter_audit": filteraudit.ORACLE,
 }
