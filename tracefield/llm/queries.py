@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, common, filteraudit, langid, media, merkle, mixing, neardup, packing, repeats, sitetree, warc
+from . import bitplanes, common, filteraudit, langid, media, merkle, mixing, neardup, packing, repeats, resample, sitetree, warc
 
 
 def tokenizer_path() -> str:
@@ -75,6 +75,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +93,7 @@ QUERIES = {
         op9_merkle_fingerprint,
         op10_warc_chunks,
         op11_filter_audit,
+        op12_importance_resampling,
     )
 }
 
