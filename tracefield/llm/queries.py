@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, common, filteraudit, langid, media, merkle, mixing, neardup, packing, repeats, resample, sitetree, warc
+from . import bitplanes, common, filteraudit, hmm, langid, media, merkle, mixing, neardup, packing, repeats, resample, sitetree, warc
 
 
 def tokenizer_path() -> str:
@@ -79,6 +79,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op13_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_corpus(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,6 +98,7 @@ QUERIES = {
         op10_warc_chunks,
         op11_filter_audit,
         op12_importance_resampling,
+        op13_hidden_markov,
     )
 }
 
