@@ -6,7 +6,9 @@ names its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -91,3 +93,56 @@ def dip_direction(n: Column) -> Column:
 def rotate(a: Column, m: list[list[float]]) -> Column:
     """Row vector times matrix: ``a @ m``."""
     return vec(*[a["x"] * m[0][k] + a["y"] * m[1][k] + a["z"] * m[2][k] for k in range(3)])
+
+
+TENSOR = ("xx", "xy", "xz", "yy", "yz", "zz")
+
+
+def with_axis(df: DataFrame, name: str, least: bool, tensor: tuple[str, ...] = TENSOR) -> DataFrame:
+    """``df`` with the unit eigenvector ``name`` of the least or the greatest
+    eigenvalue of a symmetric ``tensor`` of columns, and that value as
+    ``name_value``.
+
+    Both have a closed form: the value is a root of a cubic, and the vector is
+    the longest cross product of two rows of what is left.  It is null where
+    the value is not a single one; its sign is that of its first part that is
+    not 0.
+    """
+    xx, xy, xz, yy, yz, zz = (F.col(c) for c in tensor)
+    t = lambda c: f"_{name}_{c}"
+    df = df.withColumn(t("q"), (xx + yy + zz) / 3)
+    q = F.col(t("q"))
+    square = (xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)
+    df = df.withColumn(t("p"), F.sqrt(square / 6))
+    p = F.col(t("p"))
+    det = (xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)
+    turn = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / (2 * p * p * p)))) / 3
+    df = df.withColumn(f"{name}_value", F.when(p > 0, q + 2 * p * F.cos(turn + (2 * math.pi / 3 if least else 0.0))).otherwise(q))
+    e = F.col(f"{name}_value")
+    rows = [vec(xx - e, xy, xz), vec(xy, yy - e, yz), vec(xz, yz, zz - e)]
+    df = df.withColumns({t(f"c{k}"): cross(rows[k], rows[(k + 1) % 3]) for k in range(3)})
+    df = df.withColumns({t(f"n{k}"): dot(F.col(t(f"c{k}")), F.col(t(f"c{k}"))) for k in range(3)})
+    sizes = [F.col(t(f"n{k}")) for k in range(3)]
+    longest = F.when((sizes[0] >= sizes[1]) & (sizes[0] >= sizes[2]), F.col(t("c0"))).when(sizes[1] >= sizes[2], F.col(t("c1"))).otherwise(F.col(t("c2")))
+    df = df.withColumn(t("v"), F.when(F.greatest(*sizes) > 1e-20 * F.pow(F.abs(3 * q), F.lit(4.0)), longest)).withColumn(t("u"), normalize(F.col(t("v"))))
+    u = F.col(t("u"))
+    back = F.when(u["x"] != 0, u["x"] < 0).when(u["y"] != 0, u["y"] < 0).otherwise(u["z"] < 0)
+    df = df.withColumn(name, F.when(back, scale(u, -1.0)).otherwise(u))
+    return df.drop(*[t(c) for c in ("q", "p", "c0", "c1", "c2", "n0", "n1", "n2", "v", "u")])
+
+
+def sql_axis(source: str, name: str, least: bool) -> str:
+    """SQL twin of ``with_axis`` for a relation with columns ``xx`` to ``zz``:
+    adds ``{name}_value`` and ``{name}x``, ``{name}y``, ``{name}z``."""
+    turn = " + 2 * pi() / 3" if least else ""
+    det = "((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz))"
+    return f"""(SELECT * EXCLUDE (q, p, e, c0x, c0y, c0z, c1x, c1y, c1z, c2x, c2y, c2z, n0, n1, n2, vx, vy, vz, s), e AS {name}_value, s * vx AS {name}x, s * vy AS {name}y, s * vz AS {name}z FROM (
+SELECT *, CASE WHEN (CASE WHEN vx != 0 THEN vx < 0 WHEN vy != 0 THEN vy < 0 ELSE vz < 0 END) THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END / sqrt(vx * vx + vy * vy + vz * vz) AS s FROM (
+SELECT *, CASE WHEN greatest(n0, n1, n2) <= 1e-20::DOUBLE * pow(abs(3 * q), 4) THEN NULL WHEN n0 >= n1 AND n0 >= n2 THEN c0x WHEN n1 >= n2 THEN c1x ELSE c2x END AS vx,
+  CASE WHEN n0 >= n1 AND n0 >= n2 THEN c0y WHEN n1 >= n2 THEN c1y ELSE c2y END AS vy, CASE WHEN n0 >= n1 AND n0 >= n2 THEN c0z WHEN n1 >= n2 THEN c1z ELSE c2z END AS vz FROM (
+SELECT *, c0x * c0x + c0y * c0y + c0z * c0z AS n0, c1x * c1x + c1y * c1y + c1z * c1z AS n1, c2x * c2x + c2y * c2y + c2z * c2z AS n2 FROM (
+SELECT *, xy * yz - xz * (yy - e) AS c0x, xz * xy - (xx - e) * yz AS c0y, (xx - e) * (yy - e) - xy * xy AS c0z, (yy - e) * (zz - e) - yz * yz AS c1x, yz * xz - xy * (zz - e) AS c1y,
+  xy * yz - (yy - e) * xz AS c1z, yz * xz - (zz - e) * xy AS c2x, (zz - e) * (xx - e) - xz * xz AS c2y, xz * xy - yz * (xx - e) AS c2z FROM (
+SELECT *, CASE WHEN p > 0 THEN q + 2 * p * cos(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, {det} / (2 * p * p * p)))) / 3{turn}) ELSE q END AS e FROM (
+SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM (
+SELECT *, (xx + yy + zz) / 3 AS q FROM {source} t0) t1) t2) t3) t4) t5) t6) t7)"""

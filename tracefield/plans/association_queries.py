@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import aggs, association, joins, windows
+from ..operators import aggs, association, chordfit, joins, windows
 from .join_queries import CHORD, chords
 from .registry import discs, query, r6
 
@@ -244,3 +244,43 @@ def greedy_links(spark: SparkSession, d: str) -> DataFrame:
     apart = F.hypot(F.col("a.y") - F.col("b.y"), F.col("a.z") - F.col("b.z"))
     near = pairs.select(F.col("a.trace_id").alias("i"), F.col("b.trace_id").alias("j"), F.round(apart, 6).alias("cost")).filter("cost <= 2")
     return joins.greedy_match(near, "i", "j", "cost")
+
+
+def _stage(k: int) -> str:
+    """SQL of one stage of the chord search: 61 positions a cluster, the best
+    of them and of the stages before, and the next bounds."""
+    loss = "sum((sqrt(greatest(ms - 2 * q * mh + q * q - (h - q) * (h - q), 0)) - a) * (sqrt(greatest(ms - 2 * q * mh + q * q - (h - q) * (h - q), 0)) - a))"
+    best = "n.n.loss AS loss, n.n.q AS q" if k == 0 else "CASE WHEN n.n.loss < s.loss THEN n.n.loss ELSE s.loss END AS loss, CASE WHEN n.n.loss < s.loss THEN n.n.q ELSE s.q END AS q"
+    return f"""n{k} AS (SELECT cluster, {{'loss': loss, 'q': q}} AS n FROM (SELECT cluster, q, {loss} AS loss FROM (SELECT cluster, ms, mh, low + (high - low) * i / 60 AS q FROM s{k}, range(61) r(i)) g JOIN f USING (cluster) GROUP BY cluster, q) l
+  QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY loss, q) = 1),
+s{k + 1} AS (SELECT * REPLACE (q - (high - low) / 60 AS low, q + (high - low) / 60 AS high) FROM (SELECT s.* EXCLUDE (loss, q), {best} FROM s{k} s JOIN n{k} n USING (cluster)) b)"""
+
+
+FITTED = f"""t AS (SELECT cluster, trace_id, face_id, x, y, z, h, dy, dz, nx, ny, nz FROM g JOIN {OBSERVED} o USING (trace_id)),
+ends AS (SELECT cluster, trace_id, x, y + s * h * dy AS y, z + s * h * dz AS z FROM t, (VALUES (-1.0::DOUBLE), (1.0::DOUBLE)) v(s)),
+m AS (SELECT cluster, count(*) // 2 AS n_traces, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, avg(x * x) - avg(x) * avg(x) AS xx, avg(x * y) - avg(x) * avg(y) AS xy, avg(x * z) - avg(x) * avg(z) AS xz,
+  avg(y * y) - avg(y) * avg(y) AS yy, avg(y * z) - avg(y) * avg(z) AS yz, avg(z * z) - avg(z) * avg(z) AS zz FROM ends GROUP BY cluster HAVING count(*) >= 4),
+w AS (SELECT cluster, arg_min(nx, trace_id) AS nx, arg_min(ny, trace_id) AS ny, arg_min(nz, trace_id) AS nz FROM t GROUP BY cluster),
+planes AS (SELECT cluster, n_traces, cx, cy, cz, CASE WHEN coalesce(ax, nx0) < 0 THEN -1 ELSE 1 END AS s, s * coalesce(ax, nx0) AS nx, s * coalesce(ay, ny0) AS ny, s * coalesce(az, nz0) AS nz,
+  sqrt(greatest(1 - nx * nx, 0)) AS flat FROM (SELECT a.*, w.nx AS nx0, w.ny AS ny0, w.nz AS nz0 FROM {vec.sql_axis("m", "a", True)} a JOIN w USING (cluster)) j),
+f AS (SELECT cluster, round(e.x, 3) AS face, any_value(n_traces) AS n_traces, any_value(cx) AS cx, any_value(cy) AS cy, any_value(cz) AS cz, any_value(nx) AS nx, any_value(ny) AS ny, any_value(nz) AS nz,
+  any_value(flat) AS flat, (min(e.x) - any_value(cx)) / any_value(flat) AS h, min(((e.y - cy) * nz - (e.z - cz) * ny) / sqrt(ny * ny + nz * nz)) AS lo, max(((e.y - cy) * nz - (e.z - cz) * ny) / sqrt(ny * ny + nz * nz)) AS hi,
+  (hi - lo) / 2 AS a, (hi + lo) / 2 AS u FROM planes JOIN ends e USING (cluster) WHERE flat >= 1e-6 GROUP BY cluster, face),
+s0 AS (SELECT cluster, any_value(n_traces) AS n_traces, count(*) AS n_faces, any_value(cx) AS cx, any_value(cy) AS cy, any_value(cz) AS cz, any_value(nx) AS nx, any_value(ny) AS ny, any_value(nz) AS nz, any_value(flat) AS flat,
+  avg(u) AS p, avg(h) AS mh, avg(h * h + a * a) AS ms, min(h) - 3 AS low, max(h) + 3 AS high, NULL::DOUBLE AS loss, NULL::DOUBLE AS q FROM f GROUP BY cluster HAVING count(*) >= 2),
+{_stage(0)}, {_stage(1)}, {_stage(2)}"""
+
+
+def _fitted(spark: SparkSession, d: str) -> DataFrame:
+    return chordfit.chord_fit(_clusters(spark, d).join(observed(spark, d), "trace_id"))
+
+
+@query(f"""
+WITH RECURSIVE {CLUSTERS}, {FITTED}
+SELECT cluster, n_traces, n_faces, round(cx + q * flat, 5) + 0.0::DOUBLE AS cx, round(cy + p * nz / flat - q * nx * ny / flat, 5) + 0.0::DOUBLE AS cy, round(cz - p * ny / flat - q * nx * nz / flat, 5) + 0.0::DOUBLE AS cz,
+  round(sqrt(ms - 2 * q * mh + q * q), 5) + 0.0::DOUBLE AS radius, round(loss, 6) + 0.0::DOUBLE AS loss FROM s3
+""")
+def chord_fits(spark: SparkSession, d: str) -> DataFrame:
+    """Disc of every cluster that several faces show, by its chords there."""
+    r5 = lambda x, name: (F.round(x, 5) + F.lit(0.0)).alias(name)
+    return _fitted(spark, d).select("cluster", "n_traces", "n_faces", *[r5(F.col(f"c.{k}"), f"c{k}") for k in "xyz"], r5(F.col("radius"), "radius"), r6(F.col("loss"), "loss"))
