@@ -11,7 +11,7 @@ from tracefield import plans
 
 
 WITHOUT_SQL = {
-    "assigned_pairs", "bootstrap_interval", "generated_discs", "greedy_links", "principal_axis", "segment_distances", "verified_clusters",
+    "assigned_pairs", "bootstrap_interval", "generated_discs", "greedy_links", "linked_sets", "principal_axis", "segment_distances", "verified_clusters",
 }
 
 

@@ -124,7 +124,7 @@ def with_axis(df: DataFrame, name: str, least: bool, tensor: tuple[str, ...] = T
     df = df.withColumns({t(f"n{k}"): dot(F.col(t(f"c{k}")), F.col(t(f"c{k}"))) for k in range(3)})
     sizes = [F.col(t(f"n{k}")) for k in range(3)]
     longest = F.when((sizes[0] >= sizes[1]) & (sizes[0] >= sizes[2]), F.col(t("c0"))).when(sizes[1] >= sizes[2], F.col(t("c1"))).otherwise(F.col(t("c2")))
-    df = df.withColumn(t("v"), F.when(F.greatest(*sizes) > 1e-20 * F.pow(F.abs(3 * q), F.lit(4.0)), longest)).withColumn(t("u"), normalize(F.col(t("v"))))
+    df = df.withColumn(t("v"), F.when(F.greatest(*sizes) > 1e-14 * F.pow(F.abs(3 * q), F.lit(4.0)), longest)).withColumn(t("u"), normalize(F.col(t("v"))))
     u = F.col(t("u"))
     back = F.when(u["x"] != 0, u["x"] < 0).when(u["y"] != 0, u["y"] < 0).otherwise(u["z"] < 0)
     df = df.withColumn(name, F.when(back, scale(u, -1.0)).otherwise(u))
@@ -138,7 +138,7 @@ def sql_axis(source: str, name: str, least: bool) -> str:
     det = "((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz))"
     return f"""(SELECT * EXCLUDE (q, p, e, c0x, c0y, c0z, c1x, c1y, c1z, c2x, c2y, c2z, n0, n1, n2, vx, vy, vz, s), e AS {name}_value, s * vx AS {name}x, s * vy AS {name}y, s * vz AS {name}z FROM (
 SELECT *, CASE WHEN (CASE WHEN vx != 0 THEN vx < 0 WHEN vy != 0 THEN vy < 0 ELSE vz < 0 END) THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END / sqrt(vx * vx + vy * vy + vz * vz) AS s FROM (
-SELECT *, CASE WHEN greatest(n0, n1, n2) <= 1e-20::DOUBLE * pow(abs(3 * q), 4) THEN NULL WHEN n0 >= n1 AND n0 >= n2 THEN c0x WHEN n1 >= n2 THEN c1x ELSE c2x END AS vx,
+SELECT *, CASE WHEN greatest(n0, n1, n2) <= 1e-14::DOUBLE * pow(abs(3 * q), 4) THEN NULL WHEN n0 >= n1 AND n0 >= n2 THEN c0x WHEN n1 >= n2 THEN c1x ELSE c2x END AS vx,
   CASE WHEN n0 >= n1 AND n0 >= n2 THEN c0y WHEN n1 >= n2 THEN c1y ELSE c2y END AS vy, CASE WHEN n0 >= n1 AND n0 >= n2 THEN c0z WHEN n1 >= n2 THEN c1z ELSE c2z END AS vz FROM (
 SELECT *, c0x * c0x + c0y * c0y + c0z * c0z AS n0, c1x * c1x + c1y * c1y + c1z * c1z AS n1, c2x * c2x + c2y * c2y + c2z * c2z AS n2 FROM (
 SELECT *, xy * yz - xz * (yy - e) AS c0x, xz * xy - (xx - e) * yz AS c0y, (xx - e) * (yy - e) - xy * xy AS c0z, (yy - e) * (zz - e) - yz * yz AS c1x, yz * xz - xy * (zz - e) AS c1y,
