@@ -195,13 +195,21 @@ class Coder:
         self.count = np.array(list(vocabulary.counts.values()), np.float64)
 
     def symbols(self, coded: bytes, others: list[bytes]) -> np.ndarray:
-        x = np.frombuffer(coded, "<i4")
-        table = np.concatenate([self.symbol, np.array([self.vocabulary.symbol(w) for w in reversed(others)], np.int32)])
-        return table[x]
+        return _looked_up(self.symbol, coded, [self.vocabulary.symbol(w) for w in others])
 
     def counts(self, coded: bytes, others: list[int]) -> np.ndarray:
-        x = np.frombuffer(coded, "<i4")
-        return np.concatenate([self.count, np.array(others[::-1], np.float64)])[x]
+        return _looked_up(self.count, coded, others)
+
+
+def _looked_up(table: np.ndarray, coded: bytes, others: list) -> np.ndarray:
+    """Entries of ``table`` by number, those of ``others`` from -1 down."""
+    x = np.frombuffer(coded, "<i4")
+    rare = x < 0
+    if not others:
+        return table[x]
+    out = table[np.where(rare, 0, x)]
+    out[rare] = np.array(others, table.dtype)[-1 - x[rare]]
+    return out
 
 
 def _layers(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
