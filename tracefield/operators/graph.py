@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,33 +22,50 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` as a table written to the shared folder.
+
+    A checkpoint would run ``df`` twice, and keep its estimated size, whose
+    digits double with every self-join of a loop.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)`` for all ``nodes(id)``: the least id that ``edges(a,
     b)`` reach.
 
-    Every node looks up the least label among its neighbours' labels and then
-    that label's own label, so distances halve from round to round.
+    In a round every node hooks to its least lesser neighbour, chains of hooks
+    are doubled until they are flat, and edges are contracted to the roots.  A
+    path of random ids shrinks to a third, so rounds are few, and as edges are
+    contracted no key collects a large component.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").filter("a != b").distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(nodes.select(F.col("id"), F.col("id").alias("label")).distinct())
-    while True:
-        least = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(least.withColumnRenamed("a", "id"), "id", "left").select(
-            "id", "label", F.least("label", F.coalesce("near", "label")).alias("next")
-        )
-        above = hooked.select(F.col("id").alias("next"), F.col("next").alias("top"))
-        jumped = cut_lineage(
-            hooked.join(above, "next").select("id", F.least("next", "top").alias("label"), (F.least("next", "top") != F.col("label")).alias("moved"))
-        )
-        labels = jumped.select("id", "label")
-        if not jumped.filter("moved").limit(1).count():
-            return labels.withColumnRenamed("label", "component")
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    current = cut_lineage(edges.select(low, high).filter("a < b").distinct())
+    found: DataFrame | None = None
+    while current.limit(1).count():
+        hooks = current.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))
+        while True:
+            hooks = cut_lineage(hooks)
+            up = hooks.select(F.col("id").alias("root"), F.col("root").alias("above"))
+            jumped = hooks.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
+            if not jumped.filter("moved").limit(1).count():
+                break
+            hooks = jumped.select("id", "root")
+        rooted = lambda end: hooks.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))  # noqa: E731, B023
+        ends = current.join(rooted("a"), "a", "left").join(rooted("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        current = cut_lineage(ends.select(low, high).filter("a < b").distinct())
+        if found is None:
+            found = hooks
+        else:
+            up = hooks.select(F.col("id").alias("root"), F.col("root").alias("above"))
+            found = cut_lineage(found.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root")).unionByName(hooks))
+    alone = nodes.select("id").distinct()
+    if found is None:
+        return alone.withColumn("component", F.col("id"))
+    return alone.join(found, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def relink(traces: DataFrame, groups: DataFrame) -> DataFrame:
