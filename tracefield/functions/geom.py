@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vec import dot, sub
+from .vec import cross, dot, normalize, sub, vec
 
 Polygon = list[tuple[float, float]]
 
@@ -127,3 +128,53 @@ def segment_distance(p0: Column, p1: Column, q0: Column, q1: Column) -> Column:
 
 def endpoint_type(y: Column, z: Column, polygon: Polygon, tolerance: float) -> Column:
     return F.when(distance_to_polygon(y, z, polygon) <= tolerance, "tunnel_boundary").otherwise("disc_boundary")
+
+
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once, however often later columns
+    use it: projections are merged, but not across a generator."""
+    return df.withColumn("_settled", F.explode(F.array(value))).drop(name).withColumnRenamed("_settled", name)
+
+
+def with_disc_ring(df: DataFrame, name: str, center: Column, normal: Column, radius: Column, points: int) -> DataFrame:
+    """``df`` with a disc's rim as an array of ``points`` points."""
+    up = F.when(F.abs(normal["z"]) < 0.95, vec(0.0, 0.0, 1.0)).otherwise(vec(1.0, 0.0, 0.0))
+    df = settled(settled(df, "_up", up), "_u", cross(F.col("_up"), normal))
+    df = settled(settled(df, "_u", normalize(F.col("_u"))), "_v", cross(normal, F.col("_u")))
+    turns = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: k * (2 * math.pi / points))
+    part = lambda t, c: center[c] + (F.col(f"_u.{c}") * (radius * F.cos(t)) + F.col(f"_v.{c}") * (radius * F.sin(t)))
+    return settled(df, name, F.transform(turns, lambda t: vec(*[part(t, c) for c in "xyz"]))).drop("_up", "_u", "_v")
+
+
+def with_clipped_ring(df: DataFrame, name: str, axis: str, at: float, sign: int) -> DataFrame:
+    """``df`` with the part of the convex ring ``name`` where ``sign * (axis -
+    at) >= 0``: each point inside stays, and each side that crosses gives its
+    crossing."""
+    ring = F.col(name)
+    nexts = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    sides = F.transform(F.arrays_zip(ring.alias("p"), nexts.alias("q")), lambda e: F.struct(e["p"].alias("p"), e["q"].alias("q"), ((e["p"][axis] - at) * sign).alias("a"), ((e["q"][axis] - at) * sign).alias("b")))
+    df = settled(df, "_sides", sides)
+
+    def kept(e: Column) -> Column:
+        share = e["a"] / (e["a"] - e["b"])
+        crossing = vec(*[e["p"][c] + (e["q"][c] - e["p"][c]) * share for c in "xyz"])
+        return F.when((e["a"] >= 0) & (e["b"] < 0), F.array(e["p"], crossing)).when(e["a"] >= 0, F.array(e["p"])).when(e["b"] >= 0, F.array(crossing)).otherwise(F.slice(F.array(e["p"]), 1, 0))
+
+    return settled(df, name, F.flatten(F.transform("_sides", kept))).drop("_sides")
+
+
+def with_ring_area(df: DataFrame, name: str, ring: str) -> DataFrame:
+    """``df`` with the area of a plane ring of points in space; 0 of fewer than
+    three."""
+    points, first = F.col(ring), F.get(F.col(ring), F.lit(0))
+    steps = F.transform(points, lambda p: vec(*[p[c] - first[c] for c in "xyz"]))
+    df = settled(df, "_steps", steps)
+    before = F.concat(F.slice("_steps", 1, 1), F.slice("_steps", 1, F.greatest(F.size("_steps") - 1, F.lit(0))))
+    df = settled(df, "_turns", F.transform(F.arrays_zip(before.alias("a"), F.col("_steps").alias("b")), lambda e: cross(e["a"], e["b"])))
+
+    def summed(c: str) -> Column:
+        return F.aggregate("_turns", F.lit(0.0), lambda s, e: s + e[c])
+
+    total = [summed(c) for c in "xyz"]
+    area = F.sqrt(sum((x * x for x in total), F.lit(0.0))) / 2
+    return df.withColumn(name, F.when(F.size(ring) >= 3, area).otherwise(0.0)).drop("_steps", "_turns")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vec
+
 CELL = ["ix", "iy", "iz"]
 
 
@@ -51,3 +53,64 @@ def block_stats(voxels: DataFrame, by: str, size: float) -> DataFrame:
     return voxels.groupBy(by).agg(
         F.count("*").alias("n_voxels"), (F.count("*") * size**3).alias("volume"), *[(F.avg(F.col(c) + 0.5) * size).alias(f"c{c[1]}") for c in CELL]
     )
+
+
+def squared_distances(cells: DataFrame, box: dict[str, tuple[int, int]]) -> DataFrame:
+    """``ix, iy, iz, d2`` for every cell of a ``box`` (first and last index by
+    axis): the exact square of the distance, in cells, to the nearest of
+    ``cells``, which may lie outside.  No rows if there are none.
+
+    Squares of distances add up over axes, so one axis is done after the other:
+    a row of cells is a group, which holds at most as many as the axis has, and
+    each place takes the least of the squares from there.
+    """
+    found = cells.select(*CELL).distinct().withColumn("d2", F.lit(0).cast("long"))
+    for axis in CELL:
+        others = [c for c in CELL if c != axis]
+        lines = found.groupBy(*others).agg(F.collect_list(F.struct(F.col(axis).alias("at"), "d2")).alias("line"))
+        place = F.explode(F.sequence(*map(F.lit, box[axis]))).alias(axis)
+        step = lambda e: F.col(axis) - e["at"]  # noqa: E731, B023
+        found = lines.select(*others, "line", place).select(*others, axis, F.array_min(F.transform("line", lambda e: step(e) * step(e) + e["d2"])).alias("d2"))
+    return found.select(*CELL, "d2")
+
+
+def plane_owners(centres: DataFrame, discs: DataFrame, tolerance: float, block: float) -> DataFrame:
+    """``ix, iy, iz, owner, off`` of cells with centre ``p`` within
+    ``tolerance`` of a disc's plane and, in it, its radius: the disc of the
+    least distance (``off``), the least id of ties.
+
+    A disc is dealt to the cubes of side ``block`` that come so near its plane
+    within its reach, so a cell meets only the discs that pass its cube.
+    """
+    dealt = discs.select("disc_id", "c", "n", "radius")
+    for c in "xyz":
+        reach = F.col("radius") + tolerance
+        cubes = F.sequence(*[F.floor((F.col(f"c.{c}") + s * reach) / block) for s in (-1, 1)])
+        dealt = dealt.withColumn(f"_{c}", F.explode(cubes))
+    middle = vec.vec(*[(F.col(f"_{c}") + 0.5) * block for c in "xyz"])
+    width = sum((F.abs(F.col(f"n.{c}")) for c in "xyz"), F.lit(0.0)) * (block / 2) + tolerance
+    dealt = dealt.filter(F.abs(vec.dot(vec.sub(middle, F.col("c")), F.col("n"))) <= width)
+    cells = centres.select(*CELL, "p", *[F.floor(F.col(f"p.{c}") / block).alias(f"_{c}") for c in "xyz"])
+    step = vec.sub(F.col("p"), F.col("c"))
+    pairs = cells.join(dealt, ["_x", "_y", "_z"]).withColumn("off", F.abs(vec.dot(step, F.col("n")))).withColumn("far", vec.dot(step, step) - F.col("off") * F.col("off"))
+    hits = pairs.filter((F.col("off") <= tolerance) & (F.col("far") <= F.col("radius") * F.col("radius")))
+    return hits.groupBy(*CELL).agg(F.min(F.struct("off", F.col("disc_id").alias("owner"))).alias("m")).select(*CELL, "m.owner", "m.off")
+
+
+def outline_mask(places: DataFrame, edges: DataFrame, halo: float) -> DataFrame:
+    """``places(y, z, ...)`` with ``gap``, the distance to an outline of
+    ``edges(ay, az, qy, qz)``, and ``mask``: tunnel inside by the even-odd rule,
+    halo within ``halo`` outside, else rock.
+
+    An outline is a ring of a few edges; each place meets all of them, and
+    places are summed over them before any shuffle.
+    """
+    keys = places.columns
+    y, z, ay, az, qy, qz = (F.col(c) for c in ("y", "z", "ay", "az", "qy", "qz"))
+    crossed = F.when((az > z) != (qz > z), (y < F.try_divide((qy - ay) * (z - az), qz - az) + ay).cast("int")).otherwise(0)
+    size = (qy - ay) * (qy - ay) + (qz - az) * (qz - az)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((y - ay) * (qy - ay) + (z - az) * (qz - az), size), F.lit(0.0))))
+    gy, gz = y - ay - t * (qy - ay), z - az - t * (qz - az)
+    met = places.crossJoin(F.broadcast(edges)).groupBy(*keys).agg((F.sum(crossed) % 2 == 1).alias("inside"), F.sqrt(F.min(gy * gy + gz * gz)).alias("gap"))
+    mask: Column = F.when(F.col("inside"), "tunnel").when(F.col("gap") <= halo, "halo").otherwise("rock")
+    return met.withColumn("mask", mask).drop("inside")

@@ -167,16 +167,18 @@ def blind_lift(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH p AS (SELECT ix, iy, iz, count(*) / 20.0::DOUBLE AS p FROM {VOXELS} v GROUP BY ALL),
+WITH p AS (SELECT ix, iy, iz, count(*)::DOUBLE AS p FROM {VOXELS} v GROUP BY ALL),
 x AS (SELECT ix + k AS ix, iy, iz, sum(p * (CASE WHEN k = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END)) AS p FROM p, range(-1, 2) z(k) GROUP BY ALL),
 y AS (SELECT ix, iy + k AS iy, iz, sum(p * (CASE WHEN k = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END)) AS p FROM x, range(-1, 2) z(k) GROUP BY ALL),
 w AS (SELECT ix, iy, iz + k AS iz, sum(p * (CASE WHEN k = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END)) AS p FROM y, range(-1, 2) z(k) GROUP BY ALL)
-SELECT ix, iy, iz, round(p, 6) AS p FROM w WHERE ix >= 0 AND iy >= 0 AND iz >= 0
+SELECT ix, iy, iz, round(p / 20, 8) AS p FROM w WHERE ix >= 0 AND iy >= 0 AND iz >= 0
 """)
 def smoothed_probability(spark: SparkSession, d: str) -> DataFrame:
-    """The field spread to neighbouring cells, one axis after the other."""
-    field = diagnostics.smoothed(voxels.hit_probability(_voxels(spark, d), 20), "p")
-    return field.filter("ix >= 0 AND iy >= 0 AND iz >= 0").select(*voxels.CELL, r6(F.col("p"), "p"))
+    """The field spread to neighbouring cells, one axis after the other.  Hits
+    are spread, not shares: their quarters are exact, so one division rounds."""
+    hits = _voxels(spark, d).groupBy(*voxels.CELL).agg(F.countDistinct("run").cast("double").alias("hits"))
+    field = diagnostics.smoothed(hits, "hits")
+    return field.filter("ix >= 0 AND iy >= 0 AND iz >= 0").select(*voxels.CELL, F.round(F.col("hits") / 20, 8).alias("p"))
 
 
 @query(f"""
@@ -223,7 +225,7 @@ def cut_voxel_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT trace_id, len / 50 AS a, sin(trace_id) * (trace_id % 4) * 0.01 AS s1, cos(trace_id) * (trace_id % 4) * 0.01 AS s2 FROM {t} t),
+WITH p AS (SELECT trace_id, len / 50 AS a, ((trace_id * 7 % 11) - 5.5::DOUBLE) * (trace_id % 4) * 0.002::DOUBLE AS s1, ((trace_id * 5 % 13) - 6) * (trace_id % 4) * 0.0016::DOUBLE AS s2 FROM {t} t),
 q AS (SELECT *, sqrt(s1 * s1 + s2 * s2) AS d1, abs(s2) AS d2 FROM p), m AS (SELECT *, greatest(d1, d2) / (3 * a) AS quality, d1 >= d2 AS first FROM q)
 SELECT trace_id, round(quality, 6) AS quality, CASE WHEN quality < 1e-12 THEN 'collinear_points' WHEN quality < 0.005 THEN 'low_noncollinearity' ELSE 'ok' END AS reason,
   CASE WHEN quality >= 0.005 THEN round(abs(CASE WHEN first THEN s1 / d1 ELSE 1.0 END), 5) END AS nz FROM m
@@ -232,8 +234,8 @@ def three_point_normals(spark: SparkSession, d: str) -> DataFrame:
     """Normals from a polyline's ends and the vertex farthest from the line
     between them, with the reason where there is none to trust."""
     k = F.col("trace_id")
-    a, bend = F.col("len") / 50, (k % 4) * 0.01
-    s1, s2 = F.sin(k) * bend, F.cos(k) * bend
+    a = F.col("len") / 50
+    s1, s2 = ((k * 7 % 11) - 5.5) * (k % 4) * 0.002, ((k * 5 % 13) - 6) * (k % 4) * 0.0016
     zero = F.lit(0.0)
     line = F.array(vec.vec(zero, zero, zero), vec.vec(a, s1, s2), vec.vec(2 * a, s2, zero), vec.vec(3 * a, zero, zero))
     found = diagnostics.three_point_normal(traces(spark, d).withColumn("polyline", line), "polyline")
