@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 from . import common
 
 END = b""
+_OTHER = (1 << 31) - 1
 #: A task counts so many different words before it sends them on, and runs the
 #: recursions over so many tokens at a time.
-HELD_WORDS, TOKENS = 300_000, 1 << 20
+HELD_WORDS, TOKENS = 500_000, 1 << 20
 #: Tokens that scoring takes at a time, so that few long documents go with many.
 SCORED = 1 << 21
 #: Training cuts documents into sequences of so many tokens; scoring does not.
@@ -43,7 +45,7 @@ class Settings:
     are told by broadcast, at most; ``classes`` by endings hold the rest."""
 
     states: int = 8
-    rounds: int = 5
+    rounds: int = 3
     words: int = 1 << 14
     lexicon: int = 1 << 18
     classes: int = 1 << 10
@@ -177,7 +179,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             coded, others = [], []
             for text in batch["text"]:
                 rare: dict[bytes, int] = {}
-                coded.append(np.array([number[w] if w in number else rare.setdefault(w, -1 - len(rare)) for w in tokens(text.as_py())], "<i4").tobytes())
+                words = tokens(text.as_py())
+                found = np.fromiter(map(number.get, words, repeat(_OTHER)), "<i4", len(words))
+                for k in np.flatnonzero(found == _OTHER).tolist():
+                    found[k] = rare.setdefault(words[k], -1 - len(rare))
+                coded.append(found.tobytes())
                 others.append(list(rare))
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(coded, pa.binary()), pa.array(others, pa.list_(pa.binary()))], names=[*kept, "coded", "others"])
 
@@ -193,12 +199,14 @@ class Coder:
         self.vocabulary = vocabulary
         self.symbol = np.array([vocabulary.symbol(w) for w in vocabulary.counts], np.int32)
         self.count = np.array(list(vocabulary.counts.values()), np.float64)
+        self.base = np.log((self.count + 0.5) / vocabulary.total)
 
     def symbols(self, coded: bytes, others: list[bytes]) -> np.ndarray:
         return _looked_up(self.symbol, coded, [self.vocabulary.symbol(w) for w in others])
 
-    def counts(self, coded: bytes, others: list[int]) -> np.ndarray:
-        return _looked_up(self.count, coded, others)
+    def logs(self, coded: bytes, others: list[int]) -> np.ndarray:
+        """Logarithms of the base probabilities."""
+        return _looked_up(self.base, coded, [math.log((n + 0.5) / self.vocabulary.total) for n in others])
 
 
 def _looked_up(table: np.ndarray, coded: bytes, others: list) -> np.ndarray:
@@ -207,7 +215,8 @@ def _looked_up(table: np.ndarray, coded: bytes, others: list) -> np.ndarray:
     rare = x < 0
     if not others:
         return table[x]
-    out = table[np.where(rare, 0, x)]
+    out = np.empty(len(x), table.dtype)
+    out[~rare] = table[x[~rare]]
     out[rare] = np.array(others, table.dtype)[-1 - x[rare]]
     return out
 
@@ -219,7 +228,8 @@ def _layers(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     order = np.argsort(-sizes, kind="stable")
     flat, starts = np.concatenate([sequences[k] for k in order]), np.concatenate([[0], np.cumsum(sizes[order])[:-1]])
     at = np.arange(len(flat)) - np.repeat(starts, sizes[order])
-    by = np.argsort(at, kind="stable")
+    # numbers of 16 bits are sorted by counting
+    by = np.argsort(at.astype(np.uint16) if sizes[order[0]] <= 1 << 16 else at, kind="stable")
     begins = np.concatenate([[0], np.cumsum(np.bincount(at))])
     return flat[by], begins, order
 
@@ -233,22 +243,24 @@ def expected_counts(model: Model, sequences: list[np.ndarray], opens: np.ndarray
     alpha, scale = np.empty_like(emit), np.empty(len(symbols), np.float32)
     opens = opens[order][:, None]
     last = np.where(opens, model.first, model.inner).astype(np.float32)
+    ones, back = np.ones(states, np.float32), np.ascontiguousarray(model.moves.T)
     for t in range(layers):
         a, b = begins[t], begins[t + 1]
         now = (last if t == 0 else last[: b - a] @ model.moves) * emit[a:b]
-        scale[a:b] = now.sum(axis=1)
-        last = now / scale[a:b, None]
-        alpha[a:b] = last
+        scale[a:b] = now @ ones
+        last = np.divide(now, scale[a:b, None], out=alpha[a:b])
     moves = np.zeros((states, states))
     beta = np.ones((begins[layers] - begins[layers - 1], states), np.float32)
     for t in range(layers - 1, -1, -1):
         a, b = begins[t], begins[t + 1]
         if t < layers - 1:
             c = begins[t + 2]
-            ahead = emit[b:c] * beta / scale[b:c, None]
+            ahead = emit[b:c]
+            ahead *= beta
+            ahead /= scale[b:c, None]
             moves += alpha[a : a + c - b].T @ ahead
             beta = np.ones((b - a, states), np.float32)
-            beta[: c - b] = ahead @ model.moves.T
+            beta[: c - b] = ahead @ back
         alpha[a:b] *= beta  # now the probability of each state
     starts = (alpha[: begins[1]] * opens).sum(axis=0, dtype=np.float64)
     emissions = np.stack([np.bincount(symbols, alpha[:, k], size) for k in range(states)], axis=1)
@@ -260,12 +272,12 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     symbols stands for an unknown word."""
     symbols, begins, order = _layers(sequences)
     emits = np.concatenate([model.emits, np.full((1, model.emits.shape[1]), model.unknown)])
-    out = np.zeros(begins[1])
+    out, ones = np.zeros(begins[1]), np.ones(emits.shape[1])
     last = None
     for t in range(len(begins) - 1):
         a, b = begins[t], begins[t + 1]
         now = (model.first if t == 0 else last[: b - a] @ model.moves) * emits[symbols[a:b]]
-        scale = now.sum(axis=1)
+        scale = now @ ones
         out[: b - a] += np.log(scale)
         last = now / scale[:, None]
     found = np.empty(len(out))
@@ -444,19 +456,22 @@ def score(coded: DataFrame, vocabulary: Vocabulary, model: Model | None) -> Data
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, model = shared.value
-        words, size = len(coder.vocabulary.symbols), coder.vocabulary.size
+        words, size, unseen = len(coder.vocabulary.symbols), coder.vocabulary.size, math.log(0.5 / coder.vocabulary.total)
+        with np.errstate(divide="ignore"):
+            masses = np.log(coder.vocabulary.base) if model else None
         held, tokens = [], 0
         for batch in batches:
             part = []
             for coded, others, known in zip(*(batch[c].to_pylist() for c in ("coded", "others", "known"))):
-                count = coder.counts(coded, known or [])
-                base = np.log((count + 0.5) / coder.vocabulary.total)
+                base = coder.logs(coded, known or [])
                 x, share = coder.symbols(coded, others), 0.0
+                new = base <= unseen
                 if model:
                     # a class's word has its share of the class in any state
-                    split = (x >= words) & (count > 0)
-                    share = (base[split] - np.log(coder.vocabulary.base[x[split]])).sum()
-                part.append((np.where(count > 0, x, size), (count > 0).sum(), base.sum(), share))
+                    split = np.flatnonzero((x >= words) & ~new)
+                    share = (base[split] - masses[x[split]]).sum()
+                    x[new] = size
+                part.append((x, len(x) - np.count_nonzero(new), base.sum(), share))
                 tokens += len(x)
             held.append((batch, part))
             if tokens >= SCORED:
