@@ -1,5 +1,6 @@
 """Site style trees on labelled pages: hosts with templates of their own."""
 
+import math
 import random
 import time
 
@@ -83,7 +84,7 @@ def labelled(hosts=12, pages=12, seed=5):
     return out
 
 
-@pytest.mark.parametrize("prior", [0.0, 0.95])
+@pytest.mark.parametrize("prior", [0.0, 0.9])
 def test_labelled_hosts(spark, prior):
     made = labelled()
     rows = [(k, f"https://host{h}.org/{k}", page) for k, (h, page, _, _) in enumerate(made)]
@@ -111,3 +112,90 @@ def test_blocks_of_a_page():
     assert body('<p hidden>x<p>y<div style="display: none"><b>z</b></div>') == ["y"]
     assert body("1 < 2 <3 > x <b>y") == ["1 < 2 <3 > x y"]
     assert body("<script>a</script>b<title>c") == ["b"]
+
+
+def host(inner, before="", n=12, seed=3):
+    """Pages of one host, ``inner(rng)`` in each article, and their paragraphs."""
+    pages, paras = [], []
+    for k in range(n):
+        rng = random.Random(seed * 100 + k)
+        own = [words(rng, rng.randint(25, 60)) for _ in range(4)]
+        pages.append((k, f"http://host/{k}", f"<html><body>{before}<article><h1>{words(rng, 5)}</h1><p>{own[0]}</p><p>{own[1]}</p>{inner(rng)}<p>{own[2]}</p><p>{own[3]}</p></article></body></html>"))
+        paras.append(own)
+    return pages, paras
+
+
+def lines_of(spark, pages, **options):
+    return {r["page_id"]: r["text"].split("\n") for r in extract(spark, pages, **options)}
+
+
+@pytest.mark.parametrize("prior", [0.0, 0.9])
+def test_an_unnamed_box_of_an_article_goes(spark, prior):
+    pages, paras = host(lambda rng: '<div class="k1">Buy our great product here today</div>')
+    got = lines_of(spark, pages, prior=prior)
+    assert all(set(own) <= set(got[k]) and "Buy our great product here today" not in got[k] for k, own in enumerate(paras))
+
+
+def test_a_named_block_of_an_article_stays(spark):
+    said = []
+
+    def answers(rng):
+        said.append(words(rng, 30))
+        return f'<div class="reply"><p>{said[-1]}</p></div>'
+
+    pages, paras = host(answers)
+    got = lines_of(spark, pages)
+    assert all({*own, said[k]} <= set(got[k]) for k, own in enumerate(paras))
+
+
+@pytest.mark.parametrize("size", [8, 400])
+def test_a_common_notice_goes_however_long(spark, size):
+    notice = words(random.Random(1), size)
+    pages, paras = host(lambda rng: "", f'<div class="n1">{notice}</div>')
+    got = lines_of(spark, pages)
+    assert all(set(own) <= set(got[k]) and notice not in got[k] for k, own in enumerate(paras))
+
+
+def test_formulas_and_deep_nesting(spark):
+    text = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold in all that follows here</p></article>"
+    assert one(spark, text) == "Let x=2 hold in all that follows here"
+    deep = "<div>" * 60
+    pages, paras = host(lambda rng: f'{deep}<div class="ad1">same offer on each page</div><p>{words(rng, 40)}</p>{"</div>" * 60}')
+    got = lines_of(spark, pages)
+    assert all(set(own) <= set(got[k]) and "same offer on each page" not in got[k] and len(got[k]) == 6 for k, own in enumerate(paras))
+
+
+def test_trees_against_a_plain_merge(spark):
+    made = [(k, f"https://host{h}.org/{k}", page) for k, (h, page, _, _) in enumerate(labelled(4, 6))]
+    made += [(100, "https://host0.org/again", made[0][2])]
+    df = spark.createDataFrame([(i, u, p, 1, "x", 2) for i, u, p in made], SCHEMA)
+    got = {(r["host"], r["path"]): r for r in sitetree.worth(df, 0.1, 0.9).collect()}
+    seen, pages, blocks, up, chars = {}, {}, {}, {}, {}
+    for (name, _), row in {(u.split("/")[2], sitetree.page_row(p)[0]): sitetree.page_row(p) for _, u, p in made}.items():
+        _, total, nodes, texts = row
+        pages[name] = pages.get(name, 0) + 1
+        for path, parents, _, children, _, _ in nodes:
+            seen.setdefault((name, path), []).append(children)
+            up[name, path] = parents
+            chars[name, path] = chars.get((name, path), 0) + total
+        for path, content, n, links in texts:
+            blocks.setdefault((name, path), {}).setdefault(content, []).append((n, links))
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    own = {}
+    for (name, path), found in blocks.items():
+        part = {c: max(0.0, 1 - math.log(len(x)) / math.log(pages[name])) for c, x in found.items()}
+        own[name, path] = (sum(n for x in found.values() for n, _ in x), sum(k for x in found.values() for _, k in x), sum(part[c] * n for c, x in found.items() for n, _ in x))
+
+    def entropy(children):
+        n = len(children)
+        shares = [children.count(c) / n for c in set(children)]
+        return -sum(s * math.log(s) for s in shares) / math.log(n) if n > 1 else 0.0
+
+    assert {(h, signed(p)) for h, p in seen} == set(got)
+    for (name, path), children in seen.items():
+        below = [(h, p) for h, p in seen if h == name and (p == path or path in up[h, p])]
+        sums = [sum(own.get(b, (0, 0, 0.0))[k] for b in below) for k in range(3)]
+        r = got[name, signed(path)]
+        assert r["presentation"] == pytest.approx(max(entropy(seen[b]) for b in below), abs=1e-9)
+        assert r["content"] == pytest.approx(sums[2] / sums[0] if sums[0] else 0.0, abs=1e-9)
+        assert r["share"] == pytest.approx(sums[0] / max(1, chars[name, path]), abs=1e-9)

@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -49,7 +49,7 @@ _DIGITS = re.compile(r"[0-9]+")
 # Fixed values of HTML: elements without content, with raw content, that start
 # a new block, and whose start ends an open paragraph or item.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th"
@@ -92,7 +92,7 @@ FRAME_WORDS = frozenset(
     " outer page panel post primary reader right section secondary site slot top user wrap wrapper".split()
 )
 #: Elements nested more deeply belong to the style node at this depth.
-DEPTH = 48
+DEPTH = 512
 NEUTRAL, NOISE, HEADER, FORM, MAIN, INSIDE = range(6)
 
 
@@ -305,15 +305,15 @@ def host_of(url: Column) -> Column:
 
 NODE = "struct<path:long,parents:array<long>,near:array<long>,children:long,kind:int,place:int>"
 TEXT = "struct<path:long,content:long,chars:long,links:long>"
-PAGE_SCHEMA = f"host string, page long, shape long, chars long, nodes array<{NODE}>, texts array<{TEXT}>"
+PAGE_SCHEMA = f"host string, page long, chars long, nodes array<{NODE}>, texts array<{TEXT}>"
 #: Where a style node stands: a block in a text container, a block in the
 #: body, a heading, the page itself.
 _ROOT, _FLOW, _HEADING = 1, 2, 4
 
 
-def page_row(page: str) -> tuple[int, int, int, list, list] | None:
-    """A page's part of the style tree: its longest block, a hash of it all,
-    its characters, its style nodes and its blocks."""
+def page_row(page: str) -> tuple[int, int, list, list] | None:
+    """A page's part of the style tree: a hash of all its blocks, its
+    characters, its style nodes and its blocks."""
     blocks, elements = parse(page)
     if not blocks:
         return None
@@ -339,9 +339,8 @@ def page_row(page: str) -> tuple[int, int, int, list, list] | None:
             merged[node.path] = [node.path, parents, near, node.children, node.kind, place]
         else:
             own[3] = xxhash.xxh3_64_intdigest(node.children.to_bytes(8), own[3])
-    longest = xxhash.xxh3_64_intdigest(max((t for _, t, _ in blocks), key=lambda t: (len(t), t)))
     shape = xxhash.xxh3_64_intdigest(np.array([x[:2] for x in texts], np.uint64).tobytes())
-    return longest, shape, total, list(merged.values()), texts
+    return shape, total, list(merged.values()), texts
 
 
 def _lists(rows: list[list], build) -> pa.ListArray:
@@ -374,10 +373,10 @@ def style_rows(pages: DataFrame) -> DataFrame:
                     hosts.append(_host(url))
                     rows.append(row)
             if rows:
-                head = [pa.array(hosts, pa.string()), _longs(r[0] for r in rows), _longs(r[1] for r in rows), pa.array([r[2] for r in rows], pa.int64())]
+                head = [pa.array(hosts, pa.string()), _longs(r[0] for r in rows), pa.array([r[1] for r in rows], pa.int64())]
                 yield pa.RecordBatch.from_arrays(
-                    [*head, _lists([r[3] for r in rows], nodes), _lists([r[4] for r in rows], texts)],
-                    names=["host", "page", "shape", "chars", "nodes", "texts"],
+                    [*head, _lists([r[2] for r in rows], nodes), _lists([r[3] for r in rows], texts)],
+                    names=["host", "page", "chars", "nodes", "texts"],
                 )
 
     return pages.mapInArrow(task, PAGE_SCHEMA)
@@ -387,22 +386,21 @@ def merged_trees(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The style tree of every host: ``(host, path, page_chars, presentation,
     parents, near, kind, place)`` per style node, and ``(host, path, chars,
     links, content)`` per style node that holds text itself."""
-    page = F.struct("chars", "nodes", "texts")
-    once = style_rows(pages).groupBy("host", "page").agg(F.min_by(page, "shape").alias("x")).select("host", "x.*")
+    # pages alike in all their blocks count once, so that copies make nothing common
+    once = style_rows(pages).dropDuplicates(["host", "page"]).select("host", "chars", "nodes", "texts")
     once = common.stage_table(once, "sitetree-pages")
     hosts = once.groupBy("host").agg(F.count("*").alias("all_pages"))
     seen = once.select("host", "chars", F.explode("nodes").alias("node")).select("host", "chars", "node.*")
     shapes = seen.groupBy("host", "path", "children").agg(
         F.count("*").alias("n"), F.sum("chars").alias("page_chars"), F.min(F.struct("parents", "near", "kind", "place")).alias("as")
     )
-    share = F.col("n") / F.col("pages")
-    styles = (
-        shapes.withColumn("pages", F.sum("n").over(Window.partitionBy("host", "path")))
-        .groupBy("host", "path")
-        .agg(F.max("pages").alias("pages"), F.sum("page_chars").alias("page_chars"), F.sum(-share * F.log(share)).alias("entropy"), F.min("as").alias("as"))
+    # the entropy of a node's child sequences from two sums
+    styles = shapes.groupBy("host", "path").agg(
+        F.sum("n").alias("pages"), F.sum("page_chars").alias("page_chars"), F.sum(F.col("n") * F.log("n")).alias("within"), F.min("as").alias("as")
     )
-    presentation = F.when(F.col("pages") > 1, F.col("entropy") / F.log("pages")).otherwise(0.0)
-    styles = styles.select("host", "path", "page_chars", presentation.alias("presentation"), "as.*")
+    entropy = F.greatest(F.lit(0.0), F.log("pages") - F.col("within") / F.col("pages"))
+    presentation = F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(0.0)
+    styles = styles.select("host", "path", "pages", "page_chars", presentation.alias("presentation"), "as.*")
     texts = once.select("host", F.explode("texts").alias("t")).select("host", "t.*")
     held = texts.groupBy("host", "path", "content").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     part = F.when(F.col("all_pages") > 1, F.greatest(F.lit(0.0), 1 - F.log("n") / F.log("all_pages"))).otherwise(1.0)
@@ -428,7 +426,7 @@ def worth(pages: DataFrame, least: float, prior: float) -> DataFrame:
     direct = direct.groupBy("host", "path").agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("direct"))
     has = lambda bit: F.col("place").bitwiseAND(bit) > 0
     nodes = (
-        styles.select("host", "path", "page_chars", "kind", "place", F.get("parents", F.lit(0)).alias("up"))
+        styles.select("host", "path", "pages", "page_chars", "kind", "place", F.get("parents", F.lit(0)).alias("up"))
         .join(branches, ["host", "path"]).join(direct, ["host", "path"])
         .withColumn("chars", F.coalesce("chars", F.lit(0)))
     )
@@ -440,27 +438,29 @@ def worth(pages: DataFrame, least: float, prior: float) -> DataFrame:
     share = F.col("chars") / F.greatest("page_chars", F.lit(1))
     contained = F.coalesce(F.col("container"), F.lit(False)) & ((F.col("direct") == F.col("chars")) | has(_FLOW))
     value = content * (1 - links) * F.when(contained | has(_HEADING), 1.0).otherwise(F.greatest("varied", share))
-    value = F.when(contained & ~F.col("in_body"), 1.0).otherwise(value)
+    # in an article, headings recur; any other block has to differ from page to page
+    value = F.when(contained & ~F.col("in_body"), F.when(has(_HEADING), 1.0).otherwise(content)).otherwise(value)
     lowered = (F.col("kind").isin(NOISE, HEADER) & ~F.col("holds_main")) | ((F.col("kind") == FORM) & (share < 0.5) & ~F.col("holds_main"))
-    value = (
-        F.when(lowered, value * (1 - prior))
-        .when(F.col("kind").isin(MAIN, INSIDE), 1 - (1 - value) * (1 - prior))
-        .otherwise(value)
-    )
+    # what an element says it is multiplies the odds.  Pages are evidence for a
+    # block of an article, so they can outvote its name; elsewhere names count more
+    most = F.when(contained & ~F.col("in_body"), F.col("pages").cast("double")).otherwise(2.0)
+    odds, factor = F.least(value / F.greatest(1 - value, F.lit(1e-9)), most), (1 + prior) / (1 - prior)
+    odds = F.when(lowered, odds / factor).when(F.col("kind").isin(MAIN, INSIDE), odds * factor).otherwise(odds)
+    value = odds / (1 + odds)
     return placed.select(
         "host", "path", "kind", content.alias("content"), links.alias("links"), share.alias("share"), F.col("varied").alias("presentation"),
         contained.alias("contained"), value.alias("value"), (~has(_ROOT) & ~empty & (value < least)).alias("cut"),
     )
 
 
-def extract(pages: DataFrame, least: float = 0.1, prior: float = 0.95) -> DataFrame:
+def extract(pages: DataFrame, least: float = 0.1, prior: float = 0.9) -> DataFrame:
     """The main text of every page.
 
     ``pages`` needs ``page_id, url, html``; other columns are ignored.
     Character references are decoded, white space in a block becomes one
     space, and blocks are joined by a line feed in page order.  Branches worth
-    less than ``least`` are cut; ``prior`` is the weight of what elements say
-    they are.  Returns ``page_id, url, text, n_chars``.  A null or empty html
+    less than ``least`` are cut; what elements say they are multiplies or
+    divides the odds of their worth by (1 + ``prior``) / (1 - ``prior``).  Returns ``page_id, url, text, n_chars``.  A null or empty html
     has an empty text; pages without a url are a host of their own; repeated
     rows and copies of a page count once in the tree, and each has its text.
     Texts of any length are taken whole.  An empty table gives an empty
