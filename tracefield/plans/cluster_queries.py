@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import aggs, clustering
+from ..operators import aggs, clustering, graph
 from .association_queries import observed
-from .join_queries import SEGMENTS, segments
+from .join_queries import FRAGMENTS, SEGMENTS, fragments, segments
 from .registry import normals, query, r6
 
 MOST, ROUNDS = 4, 6
@@ -126,3 +126,26 @@ def linked_sets(spark: SparkSession, d: str) -> DataFrame:
     units = means.select(F.col("unit").alias("id"), vec.vec(F.col("mx"), F.col("my"), F.col("mz")).alias("n"))
     names = clustering.linkage_cut(units, 30.0, []).join(means.select(F.col("unit").alias("id"), F.col("n").alias("n_traces")), "id")
     return clustering.numbered(names).select(F.split("id", "/")[0].cast("int").alias("face_id"), F.split("id", "/")[1].alias("source_set"), "n_traces", "set_number")
+
+
+@query(f"""
+WITH RECURSIVE s AS MATERIALIZED (SELECT * FROM {SEGMENTS} x), f AS MATERIALIZED ({FRAGMENTS}), e AS (SELECT i AS a, j AS b FROM f UNION ALL SELECT j, i FROM f),
+r AS (SELECT trace_id AS id, trace_id AS c FROM s UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b), g AS MATERIALIZED (SELECT id AS trace_id, min(c) AS component FROM r GROUP BY id),
+k AS MATERIALIZED (SELECT component, y0, z0, y1, z1, face_id FROM s JOIN g USING (trace_id)),
+m AS (SELECT component, any_value(face_id) AS face_id, count(*) AS n_fragments, sum(hypot(y1 - y0, z1 - z0) * cos(2 * atan2(z1 - z0, y1 - y0))) AS c, sum(hypot(y1 - y0, z1 - z0) * sin(2 * atan2(z1 - z0, y1 - y0))) AS s,
+  sum(hypot(y1 - y0, z1 - z0)) AS total FROM k GROUP BY component),
+p AS (SELECT x.component, y, z, y * cos(atan2(s, c) / 2) + z * sin(atan2(s, c) / 2) AS w FROM (SELECT component, y0 AS y, z0 AS z FROM k UNION ALL SELECT component, y1, z1 FROM k) x JOIN m USING (component)),
+o AS (SELECT component, arg_min(y, w) AS ya, arg_min(z, w) AS za, arg_max(y, w) AS yb, arg_max(z, w) AS zb FROM p GROUP BY component)
+SELECT component, face_id, n_fragments, round(hypot(yb - ya, zb - za), 5) AS length, round(total, 5) AS fragment_length FROM o JOIN m USING (component) WHERE n_fragments > 1
+""")
+def fragment_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments that are one trace as one: nearly collinear fragments of a set
+    on a face with ends close together, all that such pairs connect, and the
+    trace from the first to the last end along their main direction."""
+    rows = graph.cut_lineage(segments(spark, d))
+    pairs = fragments(rows, ["set_id", "face_id"], 2.0, 0.5, 0.3)
+    links = pairs.select(F.col("a.trace_id").alias("a"), F.col("b.trace_id").alias("b"))
+    groups = graph.cut_lineage(graph.components(rows.select(F.col("trace_id").alias("id")), links))
+    each = rows.join(groups.withColumnRenamed("id", "trace_id"), "trace_id").groupBy("component").agg(F.min("face_id").alias("face_id"), F.sum(F.hypot(F.col("y1") - F.col("y0"), F.col("z1") - F.col("z0"))).alias("total"))
+    found = graph.relink(rows, groups).filter("n_fragments > 1").join(each, "component")
+    return found.select("component", "face_id", "n_fragments", F.round("length", 5).alias("length"), F.round("total", 5).alias("fragment_length"))
