@@ -33,6 +33,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """``df`` over all shuffle partitions: for short rows that each make much
+    work, which their size doesn't tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
+#: Tables of at most so many rows go to every task.
+FEW = 300_000
+
+
+def join_dealt(few: DataFrame, dealt: DataFrame, on: list[str], most: int = FEW) -> DataFrame:
+    """Inner join of a table that is small as a rule with ``dealt``, whose rows
+    a generator made.
+
+    The planner takes a generator's rows for as many as went in, and would
+    gather them in the driver for a broadcast.  So ``few`` is written and
+    counted: up to ``most`` rows it goes to every task, and ``dealt`` is neither
+    gathered nor shuffled; above that both are shuffled.
+    """
+    few = cut_lineage(few)
+    return few.hint("merge").join(dealt, on) if few.count() > most else dealt.join(F.broadcast(few), on)
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)`` for all ``nodes(id)``: the least id that ``edges(a,
     b)`` reach.

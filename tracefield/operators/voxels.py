@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vec
+from . import graph
 
 CELL = ["ix", "iy", "iz"]
 
@@ -80,20 +80,23 @@ def plane_owners(centres: DataFrame, discs: DataFrame, tolerance: float, block:
     least distance (``off``), the least id of ties.
 
     A disc is dealt to the cubes of side ``block`` that come so near its plane
-    within its reach, so a cell meets only the discs that pass its cube.
+    within its reach, so a cell meets only the discs that pass its cube; each
+    task takes the least of its own discs before any shuffle.
     """
-    dealt = discs.select("disc_id", "c", "n", "radius")
+    plain = [F.col(f"{v}.{c}").alias(f"_{v}{c}") for v in ("c", "n") for c in "xyz"]
+    dealt = graph.spread(discs.select("disc_id", "radius", *plain), "disc_id")
     for c in "xyz":
         reach = F.col("radius") + tolerance
-        cubes = F.sequence(*[F.floor((F.col(f"c.{c}") + s * reach) / block) for s in (-1, 1)])
+        cubes = F.sequence(*[F.floor((F.col(f"_c{c}") + s * reach) / block) for s in (-1, 1)])
         dealt = dealt.withColumn(f"_{c}", F.explode(cubes))
-    middle = vec.vec(*[(F.col(f"_{c}") + 0.5) * block for c in "xyz"])
-    width = sum((F.abs(F.col(f"n.{c}")) for c in "xyz"), F.lit(0.0)) * (block / 2) + tolerance
-    dealt = dealt.filter(F.abs(vec.dot(vec.sub(middle, F.col("c")), F.col("n"))) <= width)
-    cells = centres.select(*CELL, "p", *[F.floor(F.col(f"p.{c}") / block).alias(f"_{c}") for c in "xyz"])
-    step = vec.sub(F.col("p"), F.col("c"))
-    pairs = cells.join(dealt, ["_x", "_y", "_z"]).withColumn("off", F.abs(vec.dot(step, F.col("n")))).withColumn("far", vec.dot(step, step) - F.col("off") * F.col("off"))
-    hits = pairs.filter((F.col("off") <= tolerance) & (F.col("far") <= F.col("radius") * F.col("radius")))
+    total = lambda parts: parts[0] + parts[1] + parts[2]
+    middle = total([((F.col(f"_{c}") + 0.5) * block - F.col(f"_c{c}")) * F.col(f"_n{c}") for c in "xyz"])
+    dealt = dealt.filter(F.abs(middle) <= total([F.abs(F.col(f"_n{c}")) for c in "xyz"]) * (block / 2) + tolerance)
+    cells = centres.select(*CELL, *[F.col(f"p.{c}").alias(f"_p{c}") for c in "xyz"], *[F.floor(F.col(f"p.{c}") / block).alias(f"_{c}") for c in "xyz"])
+    step = [F.col(f"_p{c}") - F.col(f"_c{c}") for c in "xyz"]
+    pairs = graph.join_dealt(cells, dealt, ["_x", "_y", "_z"])
+    pairs = pairs.withColumn("off", F.abs(total([x * F.col(f"_n{c}") for x, c in zip(step, "xyz")]))).filter(F.col("off") <= tolerance)
+    hits = pairs.filter(total([x * x for x in step]) - F.col("off") * F.col("off") <= F.col("radius") * F.col("radius"))
     return hits.groupBy(*CELL).agg(F.min(F.struct("off", F.col("disc_id").alias("owner"))).alias("m")).select(*CELL, "m.owner", "m.off")
 
 
