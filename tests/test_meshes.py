@@ -85,3 +85,39 @@ def test_rings_clipped_to_half_spaces(spark):
     assert areas(none) == pytest.approx([0.0, 2 * whole])
     gone = geom.with_clipped_ring(none, "ring", "z", 4.0, 1)
     assert [r["n"] for r in gone.select(F.size("ring").alias("n")).collect()] == [0, 0] and areas(gone) == [0.0, 0.0]
+
+
+def test_dealt_discs_are_not_gathered_for_a_broadcast(spark):
+    """The planner takes exploded rows for as many as went in."""
+    from tracefield.operators import diagnostics, voxels
+
+    grid = spark.range(1000).select(*[(F.floor(F.col("id") / 10**k) % 10).cast("int").alias(c) for k, c in enumerate(("ix", "iy", "iz"))])
+    turn = F.struct(F.cos("id").alias("x"), F.sin("id").alias("y"), F.lit(0.0).alias("z"))
+    place = F.struct(*[(F.col("id") * k % 10).cast("double").alias(c) for k, c in ((3, "x"), (7, "y"), (1, "z"))])
+    discs = spark.range(300).select(F.col("id").alias("disc_id"), place.alias("c"), turn.alias("n"), (F.col("id") % 6 + 0.5).alias("radius"))
+    centres = grid.select("*", F.struct(*[(F.col(f"i{c}") + 0.5).alias(c) for c in "xyz"]).alias("p"))
+    owners = voxels.plane_owners(centres, discs, 0.6, 4.0)
+    edges = diagnostics.cut_edges(grid.select("*", *[F.col(f"i{c}").cast("double").alias(c) for c in "xyz"]), discs)
+    for found in (owners, edges):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan
+        for part in plan.split("BroadcastExchange")[1:]:
+            assert "Generate" not in part.split("+- Exchange")[0]
+
+    discs, cells = discs.collect(), [(r.ix, r.iy, r.iz) for r in grid.collect()]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    best, cuts = {}, set()
+    for i in cells:
+        for d in discs:
+            step = [v + 0.5 - c for v, c in zip(i, d.c)]
+            off = abs(dot(step, d.n))
+            if off <= 0.6 and dot(step, step) - off * off <= d.radius**2:
+                best[i] = min(best.get(i, (9.0, 0)), (off, d.disc_id))
+            at = [v - c for v, c in zip(i, d.c)]
+            for k in range(3):
+                a, b = dot(at, d.n), dot(at, d.n) + d.n[k]
+                hit = [x + (a / (a - b) if e == k else 0) for e, x in enumerate(at)] if a * b < 0 else None
+                if hit and math.sqrt(dot(hit, hit)) <= d.radius:
+                    cuts.add((*i, k, d.disc_id))
+    assert {(r.ix, r.iy, r.iz): r.owner for r in owners.collect()} == {k: v[1] for k, v in best.items()}
+    assert {tuple(r) for r in edges.collect()} == cuts

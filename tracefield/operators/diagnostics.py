@@ -89,21 +89,25 @@ def cut_edges(cells: DataFrame, discs: DataFrame, block: int = 4) -> DataFrame:
     one step along an axis that a disc cuts.  A disc is dealt to the blocks of
     ``block`` steps that its plane crosses within its radius, so cells meet the
     discs near them only."""
-    reach = lambda c: F.explode(F.sequence(*[F.floor((F.col(f"c.{c}") + k * (F.col("radius") + 1)) / block) for k in (-1, 1)]))
-    dealt = discs.select("disc_id", "c", "n", "radius")
+    plain = [F.col(f"{v}.{c}").alias(f"_{v}{c}") for v in ("c", "n") for c in "xyz"]
+    dealt = graph.spread(discs.select("disc_id", "radius", *plain), "disc_id")
     for c in "xyz":
-        dealt = dealt.withColumn(f"b{c}", reach(c))
-    middle = vec.vec(*[(F.col(f"b{c}") + 0.5) * block - F.col(f"c.{c}") for c in "xyz"])
-    slack = block * math.sqrt(3) / 2 + 1
-    dealt = dealt.filter((F.abs(vec.dot(middle, F.col("n"))) <= slack) & (vec.norm(middle) <= F.col("radius") + slack))
-    rows = cells.select("*", *[F.floor(F.col(c) / block).alias(f"b{c}") for c in "xyz"]).join(dealt, ["bx", "by", "bz"])
-    axes = F.explode(F.sequence(F.lit(0), F.lit(2)))
-    rows = rows.withColumn("axis", axes)
-    at = vec.vec(*[F.col(k) - F.col(f"c.{k}") for k in "xyz"])
-    step = F.element_at(F.array("n.x", "n.y", "n.z"), F.col("axis") + 1)
-    rows = rows.withColumn("_a", vec.dot(at, F.col("n"))).withColumn("_b", F.col("_a") + step).filter(F.col("_a") * F.col("_b") < 0)
+        ends = [F.floor((F.col(f"_c{c}") + k * (F.col("radius") + 1)) / block) for k in (-1, 1)]
+        dealt = dealt.withColumn(f"b{c}", F.explode(F.sequence(*ends)))
+    middle = {c: (F.col(f"b{c}") + 0.5) * block - F.col(f"_c{c}") for c in "xyz"}
+    off, far, wide = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+    for c in "xyz":
+        off, far, wide = off + middle[c] * F.col(f"_n{c}"), far + middle[c] * middle[c], wide + F.abs(F.col(f"_n{c}"))
+    dealt = dealt.filter((F.abs(off) <= wide * (block / 2) + 1.001) & (F.sqrt(far) <= F.col("radius") + block * math.sqrt(3) / 2 + 1))
+    rows = graph.join_dealt(cells.select("*", *[F.floor(F.col(c) / block).alias(f"b{c}") for c in "xyz"]), dealt, ["bx", "by", "bz"])
+    at = {c: F.col(c) - F.col(f"_c{c}") for c in "xyz"}
+    # a step can't cross a plane that is farther than the normal's longest part
+    rows = rows.withColumn("_a", at["x"] * F.col("_nx") + at["y"] * F.col("_ny") + at["z"] * F.col("_nz"))
+    rows = rows.filter(F.abs("_a") <= F.greatest(*[F.abs(f"_n{c}") for c in "xyz"]))
+    rows = rows.withColumn("axis", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    rows = rows.withColumn("_b", F.col("_a") + F.element_at(F.array("_nx", "_ny", "_nz"), F.col("axis") + 1)).filter(F.col("_a") * F.col("_b") < 0)
     s = F.col("_a") / (F.col("_a") - F.col("_b"))
-    hit = vec.vec(*[F.col(k) + F.when(F.col("axis") == i, s).otherwise(0.0) - F.col(f"c.{k}") for i, k in enumerate("xyz")])
+    hit = vec.vec(*[at[c] + F.when(F.col("axis") == i, s).otherwise(0.0) for i, c in enumerate("xyz")])
     return rows.filter(vec.norm(hit) <= F.col("radius")).select("ix", "iy", "iz", "axis", "disc_id")
 
 
