@@ -121,3 +121,13 @@ def test_dealt_discs_are_not_gathered_for_a_broadcast(spark):
                     cuts.add((*i, k, d.disc_id))
     assert {(r.ix, r.iy, r.iz): r.owner for r in owners.collect()} == {k: v[1] for k, v in best.items()}
     assert {tuple(r) for r in edges.collect()} == cuts
+
+
+def test_mesh_cuts_do_not_gather_the_dealt_discs(spark):
+    rows = [(0, i, j, (0.1 * (i % 2), float(i), float(j))) for i in range(6) for j in range(6)]
+    nodes = spark.createDataFrame(rows, "mesh long, i long, j long, p struct<x double, y double, z double>")
+    discs = spark.createDataFrame([(k, (0.0, 2.5, 2.5), (0.6, 0.8, 0.0), 2.0) for k in range(50)], "disc_id long, c struct<x double, y double, z double>, n struct<x double, y double, z double>, radius double")
+    cuts = meshes.mesh_cuts(meshes.grid_triangles(nodes, ["mesh"]), discs)
+    plan = cuts._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Generate" not in plan.split("BroadcastExchange")[1].split("+- Exchange")[0]
+    assert cuts.groupBy("disc_id").count().select("count").distinct().count() == 1 and cuts.count() >= 50
