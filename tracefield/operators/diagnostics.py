@@ -117,12 +117,12 @@ def three_point_normal(rows: DataFrame, polyline: str, least: float = 0.005) ->
     them; quality is that distance as a share of the line's length."""
     v = F.col(polyline)
     rows = rows.withColumn("_p", F.element_at(v, 1)).withColumn("_q", vec.sub(F.element_at(v, -1), F.element_at(v, 1)))
-    rows = rows.withColumn("_size", vec.norm(F.col("_q")))
+    rows = rows.withColumn("_size", vec.norm(F.col("_q"))).withColumn("_q", vec.normalize(F.col("_q")))
     far = F.transform(v, lambda x: F.struct(vec.norm(vec.cross(vec.sub(x, F.col("_p")), F.col("_q"))).alias("off"), vec.sub(x, F.col("_p")).alias("to")))
     first = F.aggregate(far, F.element_at(far, 1), lambda best, x: F.when(x["off"] > best["off"], x).otherwise(best))
     rows = rows.withColumn("_far", first)
     size = F.col("_size")
-    quality = F.coalesce(F.try_divide(F.col("_far.off"), size * size), F.lit(0.0))
+    quality = F.coalesce(F.try_divide(F.col("_far.off"), size), F.lit(0.0))
     reason = (
         F.when(F.size(v) < 3, "not_enough_points").when(size < 1e-12, "zero_chord_length").when(quality < 1e-12, "collinear_points")
         .when(quality < least, "low_noncollinearity").otherwise("ok")
