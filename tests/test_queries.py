@@ -15,6 +15,10 @@ WITHOUT_SQL = {
 }
 
 
+SIZES = "[12, 18, 29, 23]"
+VALUES = "[0.0, 11.52, 0.0, 0.0, 50.91]"
+
+
 def plain(v):
     if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return None
@@ -55,6 +59,21 @@ def test_query(spark, sf_dir, duck, name):
     assert rows(got.toPandas()) == rows(expected)
 
 
+@pytest.mark.parametrize(
+    "name, table, keep",
+    [
+        ("disc_face_traces", "part", "SELECT unnest([15440, 100769, 101643, 7])::BIGINT AS p_partkey, unnest({sizes})::INT AS p_size, 'Brand#11' AS p_brand"),
+        ("three_point_normals", "events", "SELECT unnest([21488, 28999, 52979, 63606, 5])::BIGINT AS event_id, 'a' AS event_type, 7::BIGINT AS user_id, unnest({values})::DOUBLE AS value"),
+    ],
+)
+def test_corners_ties_and_lines_without_length(spark, tmp_path, name, table, keep):
+    con = duckdb.connect()
+    keep = keep.replace("{sizes}", SIZES).replace("{values}", VALUES)
+    con.execute(f"COPY ({keep}) TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    assert rows(plans.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(plans.ORACLES[name]).df())
+
+
 def test_entry(spark):
     import __spark_entry__
 

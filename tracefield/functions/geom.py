@@ -59,8 +59,9 @@ def with_clip(df: DataFrame, ends: list[Column], polygon: Polygon, name: str = "
     df = df.withColumns({"_y0": y0, "_z0": z0, "_dy": y1 - y0, "_dz": z1 - z0})
     dy, dz = F.col("_dy"), F.col("_dz")
     edges = _edges(counter_clockwise(polygon))
-    # (ny, nz): inward normal of a counter-clockwise edge
-    normals = [(-(d - b), c - a) for a, b, c, d in edges]
+    # (ny, nz): inward unit normal of a counter-clockwise edge; those of a box
+    # are exact, so a segment through its corner alone leaves nothing
+    normals = [(-(d - b) / (math.hypot(c - a, d - b) or 1.0), (c - a) / (math.hypot(c - a, d - b) or 1.0)) for a, b, c, d in edges]
     steps = {f"_into{k}": dy * ny + dz * nz for k, (ny, nz) in enumerate(normals)}
     steps |= {f"_rest{k}": (F.col("_y0") - e[0]) * ny + (F.col("_z0") - e[1]) * nz for k, (e, (ny, nz)) in enumerate(zip(edges, normals))}
     df = df.withColumns(steps)
@@ -100,7 +101,7 @@ def with_chord(df: DataFrame, center: Column, normal: Column, radius: Column, fa
     The chord's middle is the centre moved in the disc's plane along the
     steepest line towards the face; its direction is normal to both planes.
     """
-    df = df.withColumns({"_flat": F.hypot(normal["y"], normal["z"]), "_gap": face_x - center["x"]})
+    df = df.withColumns({"_flat": F.sqrt(normal["y"] * normal["y"] + normal["z"] * normal["z"]), "_gap": face_x - center["x"]})
     flat, gap = F.col("_flat"), F.col("_gap")
     df = df.filter((flat > 1e-9) & (F.abs(F.try_divide(gap, flat)) < radius)).withColumn("_reach", gap / flat)
     # in-plane direction towards x: (flat, -nx ny / flat, -nx nz / flat)
