@@ -252,3 +252,18 @@ def test_nothing_to_learn(spark, odd):
     i = next(k for k in range(100) if held(k))
     r = hmm.score_corpus(make(spark, [(i, "some words", "en"), (i, None, None)])).collect()
     assert all(x["score"] == x["base_score"] == 0.0 and x["train_tokens"] == 0 and x["n_known"] == 0 for x in r)
+
+
+def test_audit_sends_texts_on_before_they_fill_a_worker():
+    from tracefield.llm import filteraudit
+
+    read = []
+
+    def rows():
+        for k in range(40):
+            read.append(k)
+            yield {"doc_id": k, "lang": "en", "text": f"{k} " + "x" * (1 << 20)}
+
+    found = filteraudit._entries(rows())
+    next(found)
+    assert len(read) < 10 and len(list(found)) == 39

@@ -26,7 +26,7 @@ LETTERS = "ABCDE"
 DUPLICATE = 1 << 4
 #: Bytes of text a task holds before it sends its entries on, and bytes that
 #: a partition of the routed texts should hold.
-HELD_BYTES, ROUTED_BYTES = 32 << 20, 48 << 20
+HELD_BYTES, ROUTED_BYTES = 8 << 20, 48 << 20
 _CAPITALS = bytes(range(65, 91))
 _SIGNS = b"#$%&*|"
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
