@@ -131,3 +131,31 @@ def test_nearest_makes_no_pairs_and_keeps_ties(spark):
             second = near[1][0] if len(near) > 1 else None
             want[i] = (near[0][1], near[0][2], near[0][0], near[0][0] / second if second else None)
     assert {r.id: (r.o_id, r.o_at, r.distance, r.ratio) for r in got.collect()} == want
+
+
+def test_widening_search_finds_the_cheapest(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, i % 2, rng.randrange(8) * 1.0, rng.random() * 8) for i in range(240)] + [(240, 0, 300.0, 1.0), (241, 1, None, 1.0)]
+    frame = spark.createDataFrame(rows, "id long, k int, x double, y double")
+    apart = F.abs(F.col("a.x") - F.col("b.x")) + F.floor(F.abs(F.col("a.y") - F.col("b.y")) * 4) / 4
+    cost = F.when(F.col("a.id") != F.col("b.id"), apart)
+    reach = {"x": lambda c: c, "y": lambda c: c + 0.25}
+    want = {}
+    for i, k, x, y in rows[:-1]:
+        near = [(abs(x - p) + math.floor(abs(y - q) * 4) / 4, j) for j, m, p, q in rows[:-1] if m == k and j != i]
+        if min(near)[0] <= 6:
+            want[i] = min(near)
+    for levels in (0, 4):
+        got = joins.cheapest(frame, frame, ["k"], "id", reach, cost, 6.0, levels).collect()
+        assert {r["id"]: (r["cost"], r["other"]) for r in got} == want and len(got) == len(want) < len(rows)
+
+
+def test_pairs_are_made_on_all_partitions(spark):
+    """A few rows of a file that one task reads, which the planner would send
+    to every task or read in one."""
+    rows = spark.range(400).select("id", (F.col("id") % 3).alias("k"), (F.col("id") % 20).cast("double").alias("x")).coalesce(1)
+    pairs = joins.grid_pairs(rows, rows, ["k"], {"x": 1.0})
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

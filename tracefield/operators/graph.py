@@ -33,10 +33,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, by: str) -> DataFrame:
+def spread(df: DataFrame, *by: str) -> DataFrame:
     """``df`` over all shuffle partitions: for short rows that each make much
     work, which their size doesn't tell."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 #: Tables of at most so many rows go to every task.
