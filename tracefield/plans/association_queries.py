@@ -6,7 +6,9 @@ window; the disc is the truth.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec
@@ -181,14 +183,14 @@ LINKS = f"""l AS (SELECT b.trace_id AS cur, a.trace_id AS prev, {COST} AS cost F
 
 
 def _predecessors(spark: SparkSession, d: str) -> DataFrame:
-    rows = observed(spark, d).withColumn("at", F.col("face_id") + 1)
-    later = observed(spark, d).withColumn("at", F.col("face_id"))
-    pairs = joins.grid_pairs(rows, later, ["set_id", "at"], {"y": 3.2, "z": 3.2})
+    rows = observed(spark, d).select("trace_id", "set_id", "y", "z", "h", "dy", "dz", F.col("face_id").alias("at"))
+    before = rows.withColumn("at", F.col("at") + 1)
     step = lambda c, k=1.0: (k * (F.col(f"a.{c}") - F.col(f"b.{c}"))) * (k * (F.col(f"a.{c}") - F.col(f"b.{c}")))
     turned = F.abs(F.col("a.dy") * F.col("b.dz") - F.col("a.dz") * F.col("b.dy"))
     cost = step("y") + step("z") + step("h", 2.0) / 2 + turned
-    near = pairs.select(F.col("b.trace_id").alias("cur"), F.col("a.trace_id").alias("prev"), cost.alias("cost")).filter("cost < 10")
-    return near.groupBy("cur").agg(F.min(F.struct("cost", "prev")).alias("m")).select("cur", "m.prev", "m.cost")
+    reach = {"y": math.sqrt, "z": math.sqrt, "h": lambda x: math.sqrt(x / 2)}
+    found = joins.cheapest(rows, before, ["set_id", "at"], "trace_id", reach, F.when(cost < 10, cost), 10.0)
+    return found.select(F.col("trace_id").alias("cur"), F.col("other").alias("prev"), "cost")
 
 
 @query(f"WITH {LINKS} SELECT cur, prev, round(cost, 6) AS cost FROM l")
