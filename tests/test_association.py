@@ -159,3 +159,15 @@ def test_pairs_are_made_on_all_partitions(spark):
     pairs = joins.grid_pairs(rows, rows, ["k"], {"x": 1.0})
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_end_pairs_are_not_shuffled_and_meet_once(spark):
+    rows = [(i, 0, float(i % 5), float(i % 3), float((i * 2) % 5), float((i * 7) % 3)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "trace_id long, k int, y0 double, z0 double, y1 double, z1 double")
+    pairs = joins.end_pairs(frame, ["k"], 1.0, "trace_id")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
+    ends = {r[0]: ((r[2], r[3]), (r[4], r[5])) for r in rows}
+    near = {(i, j): min(math.hypot(p[0] - q[0], p[1] - q[1]) for p in ends[i] for q in ends[j]) for i in ends for j in ends if i < j}
+    got = [(r.a.trace_id, r.b.trace_id, r.gap) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and {(i, j): g for i, j, g in got} == {k: g for k, g in near.items() if g <= 1.0}
