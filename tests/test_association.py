@@ -171,3 +171,17 @@ def test_end_pairs_are_not_shuffled_and_meet_once(spark):
     near = {(i, j): min(math.hypot(p[0] - q[0], p[1] - q[1]) for p in ends[i] for q in ends[j]) for i in ends for j in ends if i < j}
     got = [(r.a.trace_id, r.b.trace_id, r.gap) for r in pairs.collect()]
     assert len(got) == len(set(got)) and {(i, j): g for i, j, g in got} == {k: g for k, g in near.items() if g <= 1.0}
+
+
+def test_forest_is_small_and_connects_the_same(spark):
+    from tracefield.operators import graph
+
+    # a ring of 50, and all pairs of 300 others
+    ring = spark.range(50).select(F.col("id").alias("a"), ((F.col("id") + 1) % 50).alias("b"))
+    many = spark.range(300).select((F.col("id") + 100).alias("a")).crossJoin(spark.range(300).select((F.col("id") + 100).alias("b")))
+    edges = ring.unionByName(many).repartition(4)
+    thin = graph.forest(edges)
+    assert thin.count() <= 4 * 350 and thin.filter("a >= b").count() == 0
+    found = graph.components(spark.range(401), edges).collect()
+    assert {r.id: r.component for r in found} == {k: 0 if k < 50 else 100 if 100 <= k < 400 else k for k in range(401)}
+    assert graph.forest(edges.limit(0)).count() == 0

@@ -56,6 +56,45 @@ def join_dealt(few: DataFrame, dealt: DataFrame, on: list[str], most: int = FEW)
     return few.hint("merge").join(dealt, on) if few.count() > most else dealt.join(F.broadcast(few), on)
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` that connect what ``edges`` do, ``a < b``: each task
+    sends on a star for every component of its own edges, so no more rows than
+    it has ends, however many pairs connect them.  Ids are whole numbers."""
+    import numpy as np
+    import pandas as pd
+
+    def least(a, b, n):
+        """The least number that each of ``n`` reaches, by hooks and jumps."""
+        root = np.arange(n)
+        while True:
+            x, y = root[a], root[b]
+            apart = x != y
+            if not apart.any():
+                return root
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root != root[root]).any():
+                root = root[root]
+
+    def star(a, b):
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = ids[least(at[: len(a)], at[len(a) :], len(ids))]
+        return root[root != ids], ids[root != ids]
+
+    def thinned(frames):
+        held, waiting, n = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
+        for frame in frames:
+            waiting.append((frame["a"].to_numpy(), frame["b"].to_numpy()))
+            n += len(frame)
+            if n > max(500_000, len(held[0])):
+                held, waiting, n = star(*map(np.concatenate, zip(held, *waiting))), [], 0
+        held = star(*map(np.concatenate, zip(held, *waiting)))
+        yield pd.DataFrame({"a": held[0], "b": held[1]})
+
+    whole = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a IS NOT NULL AND b IS NOT NULL")
+    return whole.mapInPandas(thinned, "a long, b long")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)`` for all ``nodes(id)``: the least id that ``edges(a,
     b)`` reach.
@@ -63,8 +102,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     In a round every node hooks to its least lesser neighbour, chains of hooks
     are doubled until they are flat, and edges are contracted to the roots.  A
     path of random ids shrinks to a third, so rounds are few, and as edges are
-    contracted no key collects a large component.
+    contracted no key collects a large component.  Edges between whole numbers
+    are thinned in the tasks that make them (see ``forest``).
     """
+    if all(t == "bigint" for _, t in edges.select("a", "b").dtypes):
+        edges = forest(edges)
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     current = cut_lineage(edges.select(low, high).filter("a < b").distinct())
     found: DataFrame | None = None
