@@ -185,3 +185,29 @@ def test_forest_is_small_and_connects_the_same(spark):
     found = graph.components(spark.range(401), edges).collect()
     assert {r.id: r.component for r in found} == {k: 0 if k < 50 else 100 if 100 <= k < 400 else k for k in range(401)}
     assert graph.forest(edges.limit(0)).count() == 0
+
+
+def test_dense_points_are_linked_by_few_edges(spark):
+    import random
+
+    from tracefield.operators import graph
+
+    rng = random.Random(8)
+    dense = [(i, 0, rng.random() * 3, rng.random() * 3) for i in range(300)]
+    sparse = [(300 + i, i % 2, 5 + rng.random() * 12, rng.random() * 12) for i in range(160)]
+    odd = [(460, None, 1.0, 1.0), (461, 0, None, 1.0), (462, 0, float("nan"), 1.0), (463, 0, 1.0, 1.0)]
+    rows = dense + sparse + odd
+    near = lambda p, q: p[1] is not None and p[1] == q[1] and None not in (p[2], q[2]) and math.hypot(p[2] - q[2], p[3] - q[3]) <= 1.0
+    pairs = {(p[0], q[0]) for p in rows for q in rows if near(p, q)}
+    cores = {i for i in range(464) if sum((i, j) in pairs for j in range(464)) >= 3}
+    want = {i: i for i in cores}
+    while True:
+        moved = {i: min(want[j] for j in cores if (i, j) in pairs) for i in cores}
+        if moved == want:
+            break
+        want = moved
+    points = spark.createDataFrame(rows, "id long, k int, x double, y double")
+    found, links = graph.core_points(points, ["k"], 1.0, 3)
+    assert {r.id: r.component for r in graph.components(found, links).collect()} == want
+    # all pairs of cores would be thousands
+    assert links.count() < 1500 < len(pairs) / 2
