@@ -244,3 +244,26 @@ def test_dense_points_are_linked_by_few_edges(spark):
     assert {r.id: r.component for r in graph.components(found, links).collect()} == want
     # all pairs of cores would be thousands
     assert links.count() < 1500 < len(pairs) / 2
+
+
+def test_pairs_meet_by_their_planes(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for k in range(260):
+        v = np.array([1.0, 0.3, 0.2] if k % 2 else [0.0, 0.1, 1.0]) + [rng.gauss(0, 0.25) for _ in range(3)]
+        v *= (1 if rng.random() < 0.5 else -1) / np.linalg.norm(v)
+        rows.append((k, str(k % 2), 3.0 * rng.randrange(12), rng.random() * 60 - 30, rng.random() * 6 - 3, tuple(map(float, v))))
+    frame = spark.createDataFrame(rows, "trace_id long, set_id string, x double, y double, z double, n struct<x:double,y:double,z:double>").cache()
+    for separation in (5.0, 12.0):
+        want = set()
+        for i, s, *p, n in rows:
+            for j, t, *q, m in rows:
+                step = np.subtract(q, p)
+                if i < j and s == t and np.linalg.norm(step) <= separation and abs(np.dot(n, m)) >= math.cos(math.radians(12)) and max(abs(step @ n), abs(step @ m)) <= 0.5:
+                    want.add((i, j))
+        got = [(r.i, r.j) for r in association.coplanar_pairs(frame, 12.0, 0.5, separation).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+        met = association._met(frame, dict.fromkeys("xyz", separation), 12.0, 0.5, separation).count()
+        near = joins.grid_pairs(frame, frame, ["set_id"], dict.fromkeys("xyz", separation)).count()
+        assert met < near / 2

@@ -18,10 +18,55 @@ from . import graph, joins
 POSITION = ("x", "y", "z")
 
 
-def _pairs(traces: DataFrame, sizes: dict[str, float], angle: float, coplanar: float, gate: Column, x_most: float | None = None) -> DataFrame:
-    """Pairs ``i < j`` of a set within ``gate``, nearly parallel, and each
-    middle near the other's plane; ``off`` is the larger distance from it."""
-    pairs = joins.grid_pairs(traces, traces, ["set_id"], sizes).filter("a.trace_id < b.trace_id")
+#: Side of the cells of normals, in each coordinate.
+NORMAL_CELL = 0.08
+
+
+def _met(traces: DataFrame, sizes: dict[str, float], angle: float, coplanar: float, far: float) -> DataFrame:
+    """Pairs ``a``, ``b`` of a set among which are all that are within
+    ``sizes`` and ``far`` of each other, nearly parallel and nearly in a plane.
+
+    A trace ``a`` has one cell of normals, and a slab across that cell's
+    direction; ``b`` goes to the cells that its axis is near to and to the slabs
+    there that its plane's distance allows.  Positions get cells only along the
+    coordinates in which the traces reach much farther than a pair.
+    """
+    rows = graph.cut_lineage(traces.select("trace_id", "set_id", *POSITION, "n"))
+    reaches = rows.agg(*[(F.max(c) - F.min(c)).alias(c) for c in POSITION]).first()
+    wide = [c for c in POSITION if (reaches[c] or 0.0) > 4 * sizes[c]]
+    own = [F.floor(F.col(f"n.{c}") / NORMAL_CELL).alias(f"_n{c}") for c in POSITION]
+    apart = math.sqrt(3) / 2 * NORMAL_CELL + 1e-9
+    turned = 2 * math.sin(math.radians(min(angle, 90.0)) / 2) + 1e-9
+    reach = coplanar + apart * far + 1e-9
+    direction = vec.vec(*[(F.col(f"_n{c}") + 0.5) * NORMAL_CELL for c in POSITION])
+    # unit normals have no more cells than a sphere of radius one
+    cells = graph.cut_lineage(rows.select(*own).distinct()).withColumn("q", direction)
+    other = cells.select(F.col("q").alias("p"), *[F.col(f"_n{c}").alias(f"_o{c}") for c in POSITION])
+
+    def gap(p: Column, q: Column) -> Column:
+        """Distance of the nearer end of an axis."""
+        ends = [vec.norm(vec.vec(*[p[c] * s - q[c] for c in POSITION])) for s in (1.0, -1.0)]
+        return F.least(*ends)
+
+    close = other.crossJoin(F.broadcast(cells)).filter(gap(F.col("p"), F.col("q")) <= turned + 2 * apart)
+    along = lambda side: F.col(f"{side}.x") * F.col("q.x") + F.col(f"{side}.y") * F.col("q.y") + F.col(f"{side}.z") * F.col("q.z")
+    keys = ["set_id", *[f"_n{c}" for c in POSITION], "_slab", *[f"_{c}" for c in wide]]
+    at = {c: F.floor(F.col(c) / sizes[c]) for c in wide}
+    a = rows.select(F.struct("trace_id", *POSITION, "n").alias("a"), "set_id", *own, *[x.alias(f"_{c}") for c, x in at.items()]).withColumn("q", direction)
+    a = a.withColumn("_slab", F.floor(along("a") / (2 * reach)))
+    for c in wide:
+        a = a.withColumn(f"_{c}", F.explode(F.array(*[F.col(f"_{c}") + k for k in (-1, 0, 1)])))
+    b = rows.select(F.struct("trace_id", *POSITION, "n").alias("b"), "set_id", *[x.alias(f"_o{c}") for x, c in zip(own, POSITION)], *[x.alias(f"_{c}") for c, x in at.items()])
+    b = b.join(F.broadcast(close), [f"_o{c}" for c in POSITION]).filter(gap(F.col("b.n"), F.col("q")) <= turned + apart)
+    b = b.withColumn("_slab", F.explode(F.sequence(F.floor((along("b") - reach) / (2 * reach)), F.floor((along("b") + reach) / (2 * reach)))))
+    return joins.meet(a.select("a", *keys), b.select("b", *keys), keys).select("a", "b")
+
+
+def _pairs(traces: DataFrame, sizes: dict[str, float], angle: float, coplanar: float, gate: Column, far: float, x_most: float | None = None) -> DataFrame:
+    """Pairs ``i < j`` of a set within ``gate``, at most ``far``, nearly
+    parallel, and each middle near the other's plane; ``off`` is the larger
+    distance from it."""
+    pairs = _met(traces, sizes, angle, coplanar, far).filter("a.trace_id < b.trace_id")
     step = vec.vec(*[F.col(f"b.{c}") - F.col(f"a.{c}") for c in POSITION])
     pairs = pairs.withColumn("step", step).withColumn("apart", vec.norm(F.col("step")))
     if x_most is not None:
@@ -34,7 +79,7 @@ def _pairs(traces: DataFrame, sizes: dict[str, float], angle: float, coplanar: f
 
 def coplanar_pairs(traces: DataFrame, angle: float, coplanar: float, separation: float) -> DataFrame:
     """Pairs within a fixed separation."""
-    return _pairs(traces, dict.fromkeys(POSITION, separation), angle, coplanar, F.lit(separation))
+    return _pairs(traces, dict.fromkeys(POSITION, separation), angle, coplanar, F.lit(separation), separation)
 
 
 def gated_pairs(traces: DataFrame, angle: float, coplanar: float, x_most: float = 3.2, safety: float = 1.4, least: float = 2.0, most: float = 8.0) -> DataFrame:
@@ -42,7 +87,7 @@ def gated_pairs(traces: DataFrame, angle: float, coplanar: float, x_most: float
     the faces' distance as the discs turn towards the faces."""
     nx = F.least(F.lit(0.97), F.greatest(F.abs("a.n.x"), F.abs("b.n.x")))
     gate = F.least(F.lit(most), F.greatest(F.lit(least), safety * F.abs(F.col("step.x")) / F.sqrt(F.greatest(1 - nx * nx, F.lit(1e-6)))))
-    return _pairs(traces, {"x": x_most, "y": most, "z": most}, angle, coplanar, gate, x_most)
+    return _pairs(traces, {"x": x_most, "y": most, "z": most}, angle, coplanar, gate, most, x_most)
 
 
 def connected(traces: DataFrame, pairs: DataFrame) -> DataFrame:
