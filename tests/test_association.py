@@ -267,3 +267,24 @@ def test_pairs_meet_by_their_planes(spark):
         met = association._met(frame, dict.fromkeys("xyz", separation), 12.0, 0.5, separation).count()
         near = joins.grid_pairs(frame, frame, ["set_id"], dict.fromkeys("xyz", separation)).count()
         assert met < near / 2
+
+
+def test_greedy_near_takes_the_pairs_of_greedy_match(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    side = lambda n: [(i, i % 2, round(rng.random() * 9, 1), round(rng.random() * 9, 1)) for i in range(n)]
+    left, right = side(150), side(120)
+    a, b = (spark.createDataFrame(r, "id long, k int, y double, z double") for r in (left, right))
+    cost = F.round(F.hypot(F.col("a.y") - F.col("b.y"), F.col("a.z") - F.col("b.z")), 6)
+    every = sorted((round(math.hypot(y - p, z - q), 6), i, j) for i, k, y, z in left for j, m, p, q in right if k == m and math.hypot(y - p, z - q) <= 2)
+    want, seen, made, match = set(), (set(), set()), [], joins.greedy_match
+    for c, i, j in every:
+        if i not in seen[0] and j not in seen[1]:
+            want.add((i, j, c))
+            seen[0].add(i)
+            seen[1].add(j)
+    monkeypatch.setattr(joins, "greedy_match", lambda pairs, *rest: made.append(pairs.count()) or match(pairs, *rest))
+    got = joins.greedy_near(a, b, ["k"], "id", ["y", "z"], cost, 2.0, 3).collect()
+    assert {(r.i, r.j, r.cost) for r in got} == want and len(got) == len(want)
+    assert len(made) == 4 and sum(made) < len(every) / 2

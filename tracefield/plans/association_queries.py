@@ -242,10 +242,9 @@ def greedy_links(spark: SparkSession, d: str) -> DataFrame:
     sequential, so without SQL."""
     rows = observed(spark, d).withColumn("at", F.col("face_id") + 1)
     later = observed(spark, d).withColumn("at", F.col("face_id"))
-    pairs = joins.grid_pairs(rows, later, ["set_id", "at"], {"y": 2.0, "z": 2.0})
     apart = F.hypot(F.col("a.y") - F.col("b.y"), F.col("a.z") - F.col("b.z"))
-    near = pairs.select(F.col("a.trace_id").alias("i"), F.col("b.trace_id").alias("j"), F.round(apart, 6).alias("cost")).filter("cost <= 2")
-    return joins.greedy_match(near, "i", "j", "cost")
+    needed = ["trace_id", "set_id", "at", "y", "z"]
+    return joins.greedy_near(rows.select(needed), later.select(needed), ["set_id", "at"], "trace_id", ["y", "z"], F.round(apart, 6), 2.0)
 
 
 def _stage(k: int) -> str:
