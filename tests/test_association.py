@@ -288,3 +288,16 @@ def test_greedy_near_takes_the_pairs_of_greedy_match(spark, monkeypatch):
     got = joins.greedy_near(a, b, ["k"], "id", ["y", "z"], cost, 2.0, 3).collect()
     assert {(r.i, r.j, r.cost) for r in got} == want and len(got) == len(want)
     assert len(made) == 4 and sum(made) < len(every) / 2
+
+
+def test_bootstrap_hashes_once_on_all_partitions(spark):
+    rows = spark.range(300).coalesce(1)
+    drawn = sampling.bootstrap(rows, 20, 7, "id")
+    assert drawn.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert drawn._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 1
+    u = sampling.uniform(7, "bootstrap", F.col("id").cast("string"), F.col("draw"))
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+    draws = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("u", u).collect()
+    want = {(r.id, r.draw): int((r.u > steps).sum()) for r in draws}
+    got = {(r.id, r.draw): r.weight for r in drawn.collect()}
+    assert got == {k: w for k, w in want.items() if w} and len(draws) == 6000

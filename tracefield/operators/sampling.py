@@ -11,7 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vec
+from ..functions import geom, vec
+from . import graph
 
 
 def uniform(seed: int, stream: str, *keys: Column) -> Column:
@@ -63,11 +64,16 @@ def bootstrap(rows: DataFrame, draws: int, seed: int, key: str) -> DataFrame:
     """Every row with a Poisson(1) weight per draw; rows of weight 0 go.
     Sums over ``draw`` are bootstrap replicates.  Weights above eighteen, of
     probability below 1e-17, are less than a step of the uniform."""
-    u = uniform(seed, "bootstrap", F.col(key).cast("string"), F.col("draw"))
+    rows = graph.spread(rows).withColumn("_key", F.col(key).cast("string"))
+    rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    # behind a generator, or else each step and the filter would hash again
+    rows = geom.settled(rows, "_u", uniform(seed, "bootstrap", F.col("_key"), F.col("draw")))
     steps, total, p = [], 0.0, math.exp(-1)
-    for k in range(1, 19):
+    for k in range(18):
         total += p
-        steps.append((u > total).cast("int"))
-        p /= k
-    weight = sum(steps[1:], steps[0])
-    return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("weight", weight).filter("weight > 0")
+        steps.append((F.col("_u") <= total, k))
+        p /= k + 1
+    weight = F.when(*steps[0])
+    for step in steps[1:]:
+        weight = weight.when(*step)
+    return rows.withColumn("weight", weight.otherwise(18)).filter("weight > 0").drop("_key", "_u")
