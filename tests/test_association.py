@@ -301,3 +301,7 @@ def test_bootstrap_hashes_once_on_all_partitions(spark):
     want = {(r.id, r.draw): int((r.u > steps).sum()) for r in draws}
     got = {(r.id, r.draw): r.weight for r in drawn.collect()}
     assert got == {k: w for k, w in want.items() if w} and len(draws) == 6000
+
+
+def test_discs_are_clipped_on_all_partitions(spark, sf_dir):
+    assert QUERIES["clipped_discs"](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

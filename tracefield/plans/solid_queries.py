@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geom, vec
-from ..operators import voxels
+from ..operators import graph, voxels
 from .graph_queries import VOXELS, _voxels
 from .registry import discs, query, r6, read
 
@@ -99,8 +99,9 @@ area AS (SELECT disc_id, any_value(n) AS n_points, sqrt(sum((l.y - o.y) * (p.z -
 @query(f"WITH {_sql_clips()} SELECT disc_id, coalesce(n_points, 0)::INT AS n_points, round(coalesce(CASE WHEN n_points >= 3 THEN area END, 0), 5) AS area FROM {{d}} d LEFT JOIN area USING (disc_id)")
 def clipped_discs(spark: SparkSession, d: str) -> DataFrame:
     """What of each disc, as a ring of 16 points, lies in a box: the points and
-    the area that six half spaces leave."""
-    rows = geom.with_disc_ring(discs(spark, d), "ring", F.col("c"), F.col("n"), F.col("radius"), 16).select("disc_id", "ring")
+    the area that six half spaces leave.  Discs are short rows of a small file
+    that make much work, so they are dealt to all tasks."""
+    rows = geom.with_disc_ring(graph.spread(discs(spark, d)), "ring", F.col("c"), F.col("n"), F.col("radius"), 16).select("disc_id", "ring")
     for c, at, s in WALLS:
         rows = geom.with_clipped_ring(rows, "ring", c, at, s)
     rows = geom.with_ring_area(rows, "area", "ring")
