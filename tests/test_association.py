@@ -49,6 +49,9 @@ def test_verified_clusters(spark, sf_dir):
     got = {r["trace_id"]: r["cluster"] for r in association.agglomerate(traces, pairs).collect()}
     assert got == expected and 1 < len(set(got.values())) < len(got)
     assert association.agglomerate(traces.limit(0), pairs.limit(0)).count() == 0
+    # a component in several levels of pairs, none of them whole in a task
+    levels = association.agglomerate(traces, pairs, at_once=max(1, pairs.count() // 4))
+    assert {r["trace_id"]: r["cluster"] for r in levels.collect()} == expected
 
 
 def test_exponent_is_recovered(spark):

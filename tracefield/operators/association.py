@@ -96,82 +96,154 @@ def connected(traces: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("trace_id"), F.col("component").alias("cluster"))
 
 
-def agglomerate(traces: DataFrame, pairs: DataFrame, residual: float = 0.08, spread: float = 0.25) -> DataFrame:
+#: Pairs that are merged along before the rest is looked at again.
+PAIRS_AT_ONCE = 10_000_000
+#: A component with more pairs than this has a task of its own.
+PAIRS_A_TASK = 50_000
+
+
+def agglomerate(traces: DataFrame, pairs: DataFrame, residual: float = 0.08, spread: float = 0.25, at_once: int = PAIRS_AT_ONCE) -> DataFrame:
     """``(trace_id, cluster)`` by merging along ``pairs``, least ``off`` first,
     where the joint plane of both clusters' end points has a root mean square
     residual of at most ``residual`` and no face has chords that lie farther
     apart than ``spread`` across their direction.
 
-    Merges never cross components of the pairs, so each component is merged on
-    its own, from its pairs and traces; candidates have to be local for
-    components to stay small.  Tasks take components in buckets of about 2,000
-    traces.
+    Pairs are taken in levels of ``off`` with about ``at_once`` pairs each (more
+    only where that many have one ``off``), so what a task holds does not grow
+    with the pairs.  A level's pairs connect clusters of the levels before;
+    merges never cross the components of these, so tasks take components.
+    """
+    chords = graph.cut_lineage(traces.select("trace_id", *POSITION, "h", "dy", "dz"))
+    links = graph.cut_lineage(pairs.select("i", "j", "off"))
+    levels = -(-links.count() // at_once)
+    cuts = sorted(set(links.approxQuantile("off", [k / levels for k in range(1, levels)], 0.1 / levels))) if levels > 1 else []
+    owners = chords.select("trace_id", F.col("trace_id").alias("cluster"))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        level = links if low is None else links.filter(F.col("off") > low)
+        level = level if high is None else level.filter(F.col("off") <= high)
+        level = level.withColumns({"a": F.col("i"), "b": F.col("j")})
+        if low is not None:
+            for end, trace in (("a", "i"), ("b", "j")):
+                level = level.drop(end).join(owners.select(F.col("trace_id").alias(trace), F.col("cluster").alias(end)), trace)
+        level = graph.cut_lineage(level.filter("a != b"))
+        renamed = graph.cut_lineage(_merged(chords.join(owners, "trace_id"), level, residual, spread))
+        to = F.coalesce("to", "cluster").alias("cluster")
+        owners = graph.cut_lineage(owners.join(renamed, "cluster", "left").select("trace_id", to))
+    return owners
+
+
+def _merged(chords: DataFrame, level: DataFrame, residual: float, spread: float) -> DataFrame:
+    """``(cluster, to)`` of the clusters that merge into another, ``to``, along
+    the pairs ``level(i, j, off, a, b)`` of clusters ``a`` and ``b``."""
+    ends = level.select("a", "b").distinct()
+    parts = graph.components(ends.select(F.explode(F.array("a", "b")).alias("id")), ends)
+    parts = graph.cut_lineage(parts.select(F.col("id").alias("a"), "component"))
+    links = level.join(parts, "a")
+    sizes = links.groupBy("component").agg(F.count("*").alias("n"))
+    buckets = F.lit(max(1, level.count() // PAIRS_A_TASK))
+    shared = -1 - F.pmod(F.xxhash64("component"), buckets)
+    tasks = graph.cut_lineage(parts.join(sizes, "component").select("a", F.when(F.col("n") > PAIRS_A_TASK, F.col("component")).otherwise(shared).alias("task")))
+    links = graph.spread(level.join(tasks, "a").select("task", "i", "j", "off", "a", "b"), "task")
+    nodes = graph.spread(chords.join(tasks.select(F.col("a").alias("cluster"), F.col("task").alias("task")), "cluster").select("task", "cluster", *POSITION, "h", "dy", "dz"), "task")
+    solve = lambda n, p: merge_chords(n, p, residual, spread)
+    return nodes.groupBy("task").cogroup(links.groupBy("task")).applyInPandas(solve, "cluster long, to long")
+
+
+def merge_chords(nodes, links, residual: float, spread: float):
+    """``cluster, to`` of the clusters of chords ``nodes`` that merge into
+    another along ``links``, as merging along one link after the other would.
+
+    A link can be decided once no link before it has an end in its clusters.
+    All such links are decided together, among some links at a time, so that
+    few clusters have several.
     """
     import numpy as np
     import pandas as pd
 
-    alone = graph.cut_lineage(connected(traces, pairs))
-    numbers = ("x", "y", "z", "h", "dy", "dz")
-    parts = alone.join(traces.select("trace_id", *numbers), "trace_id")
-    sizes = alone.groupBy("cluster").agg(F.count("*").alias("n"))
-    both = parts.join(sizes.filter("n > 1").select("cluster"), "cluster")
-    edges = pairs.select(F.col("i").alias("trace_id"), "j", "off").join(alone, "trace_id")
-    columns = ["cluster", "trace_id", "j", "off", *numbers]
-    rows = both.select("cluster", "trace_id", F.lit(None).cast("long").alias("j"), F.lit(None).cast("double").alias("off"), *numbers)
-    rows = rows.unionByName(edges.select("cluster", "trace_id", "j", "off", *[F.lit(None).cast("double").alias(c) for c in numbers])).select(columns)
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([merge(part) for _, part in frame.groupby("cluster", sort=False)])
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        nodes = frame[frame["j"].isna()]
-        ids = nodes["trace_id"].to_numpy()
-        index = {t: k for k, t in enumerate(ids)}
-        middle = nodes[["x", "y", "z"]].to_numpy()
-        reach = nodes["h"].to_numpy()[:, None] * np.stack([np.zeros(len(ids)), nodes["dy"], nodes["dz"]], axis=1)
-        members = {k: [k] for k in range(len(ids))}
-        owner = list(range(len(ids)))
-        # sums over both ends, which add up when clusters merge
-        moments = 2 * (middle[:, :, None] * middle[:, None, :] + reach[:, :, None] * reach[:, None, :])
-        sums = {k: (2, 2 * middle[k], moments[k]) for k in range(len(ids))}
-        links = frame[frame["j"].notna()].sort_values(["off", "trace_id", "j"])
-        for i, j in zip(links["trace_id"], links["j"]):
-            a, b = owner[index[i]], owner[index[int(j)]]
-            if a == b:
-                continue
-            joint = tuple(x + y for x, y in zip(sums[a], sums[b]))
-            if one_plane(joint, middle, members[a] + members[b], residual, spread):
-                members[a] += members.pop(b)
-                sums[a] = joint
-                for k in members[a]:
-                    owner[k] = a
-        first = {k: ids[m].min() for k, m in members.items()}
-        return pd.DataFrame({"trace_id": ids, "cluster": [first[o] for o in owner]})
-
-    buckets = max(1, alone.count() // 2000)
-    dealt = rows.groupBy(F.pmod(F.xxhash64("cluster"), F.lit(buckets)))
-    merged = dealt.applyInPandas(solve, "trace_id long, cluster long")
-    single = alone.join(sizes.filter("n = 1").select("cluster"), "cluster").select("trace_id", "cluster")
-    return merged.unionByName(single)
-
-
-def one_plane(sums: tuple, middle, members: list[int], residual: float, spread: float) -> bool:
-    """Whether chords can be one disc's, from the number, sum and second
-    moments of their ends, and their middles."""
+    ids, of = np.unique(nodes["cluster"].to_numpy(), return_inverse=True)
+    middle = nodes[list(POSITION)].to_numpy(float)
+    reach = nodes["h"].to_numpy(float)[:, None] * np.stack([np.zeros(len(of)), nodes["dy"], nodes["dz"]], axis=1)
+    faces = np.unique(np.round(middle[:, 0], 3), return_inverse=True)[1]
+    order = np.argsort(of, kind="stable")
+    members = np.split(order, np.cumsum(np.bincount(of, minlength=len(ids)))[:-1])
+    # sums over both ends, which add up when clusters merge
+    sums = [np.zeros(len(ids)), np.zeros((len(ids), 3)), np.zeros((len(ids), 3, 3))]
+    each = (np.full(len(of), 2.0), 2 * middle, 2 * (middle[:, :, None] * middle[:, None, :] + reach[:, :, None] * reach[:, None, :]))
+    for total, x in zip(sums, each):
+        np.add.at(total, of, x)
+
+    root = np.arange(len(ids))
+    links = links.sort_values(["off", "i", "j"])
+    ends = [np.searchsorted(ids, links[c].to_numpy()) for c in ("a", "b")]
+    first = np.zeros(len(ids), np.int64)
+    live, at = len(ids), 0
+    while at < len(links):
+        while (root != root[root]).any():
+            root = root[root]
+        some = slice(at, at + max(1000, live // 4))
+        at = some.stop
+        a, b = root[ends[0][some]], root[ends[1][some]]
+        while len(a):
+            while True:
+                up, across = root[a], root[b]
+                if (up == a).all() and (across == b).all():
+                    break
+                a, b = up, across
+            apart = a != b
+            a, b = a[apart], b[apart]
+            place = np.arange(len(a))
+            first[a] = first[b] = len(a)
+            # the last of equal ends counts, so backwards the least place
+            both = np.stack([a, b], axis=1).ravel()[::-1]
+            first[both] = np.repeat(place, 2)[::-1]
+            ready = (first[a] == place) & (first[b] == place)
+            x, y = a[ready], b[ready]
+            joint = [t[x] + t[y] for t in sums]
+            fits = one_plane(joint, middle, faces, [(members[p], members[q]) for p, q in zip(x, y)], residual, spread)
+            x, y = x[fits], y[fits]
+            for total, t in zip(sums, joint):
+                total[x] = t[fits]
+            for p, q in zip(x, y):
+                members[p] = np.concatenate([members[p], members[q]])
+                members[q] = None
+            root[y] = x
+            live -= len(x)
+            a, b = a[~ready], b[~ready]
+    while (root != root[root]).any():
+        root = root[root]
+    least = np.full(len(ids), ids.max(initial=0))
+    np.minimum.at(least, root, ids)
+    to = least[root]
+    return pd.DataFrame({"cluster": ids[to != ids], "to": to[to != ids]})
+
+
+def one_plane(joint: list, middle, faces, members: list, residual: float, spread: float):
+    """For each of some pairs of clusters whether their chords can be one
+    disc's, from the number, sum and second moments of their ends, and the
+    middles and faces of their ``members``."""
     import numpy as np
 
-    n, total, moment = sums
-    mean = total / n
-    values, vectors = np.linalg.eigh(moment / n - np.outer(mean, mean))
-    if math.sqrt(max(values[0], 0.0)) > residual:
-        return False
-    normal = vectors[:, 0]
-    along = np.array([0.0, normal[2], -normal[1]])
-    if np.linalg.norm(along) < 1e-6:
-        return True
-    across = np.cross(normal, along / np.linalg.norm(along))
-    at, face = middle[members] @ across, np.round(middle[members][:, 0], 3)
-    return all(np.ptp(at[face == x]) <= spread for x in np.unique(face))
+    n, total, moment = joint
+    mean = total / n[:, None]
+    values, vectors = np.linalg.eigh(moment / n[:, None, None] - mean[:, :, None] * mean[:, None, :])
+    fits = np.sqrt(np.maximum(values[:, 0], 0.0)) <= residual
+    normal = vectors[:, :, 0]
+    along = np.stack([np.zeros(len(n)), normal[:, 2], -normal[:, 1]], axis=1)
+    size = np.linalg.norm(along, axis=1)
+    checked = np.flatnonzero(fits & (size >= 1e-6))
+    if not len(checked):
+        return fits
+    across = np.cross(normal[checked], along[checked] / size[checked, None])
+    chords = np.concatenate([part for k in checked for part in members[k]])
+    pair = np.repeat(np.arange(len(checked)), [len(members[k][0]) + len(members[k][1]) for k in checked])
+    at = (middle[chords] * across[pair]).sum(axis=1)
+    groups, group = np.unique(pair * (faces.max() + 1) + faces[chords], return_inverse=True)
+    low, high = np.full(len(groups), np.inf), np.full(len(groups), -np.inf)
+    np.minimum.at(low, group, at)
+    np.maximum.at(high, group, at)
+    wide = high - low > spread
+    fits[checked[groups[wide] // (faces.max() + 1)]] = False
+    return fits
 
 
 def plane_fit(points: DataFrame, by: str) -> DataFrame:
