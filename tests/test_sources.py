@@ -30,6 +30,24 @@ def test_outline_cloud_and_documents(spark, tmp_path):
     assert [r["id"] for r in source.read_domain(spark, str(tmp_path / "d.json"), 1, [1]).collect()] == [2]
 
 
+def test_domain_of_many_discs_is_several_documents(spark, tmp_path):
+    axis = F.array(*[F.col("id") * 1.0] * 3)
+    rows = spark.range(1000).select(
+        "id", (F.col("id") % 3).cast("int").alias("set_id"), F.lit("s").alias("label"), axis.alias("center_xyz_m"), axis.alias("normal_xyz"),
+        (F.col("id") % 7 + 0.5).alias("radius_m"), F.lit("none").alias("reconstruction"), F.lit("lower").alias("radius_status"),
+    )
+    counts = {}
+    for name, some in (("many", rows), ("few", rows.filter("id < 90")), ("none", rows.filter("id < 0"))):
+        path = str(tmp_path / name)
+        source.write_domain(some, path, F.struct(F.lit(1).alias("seed")), most=100)
+        assert source.read_domain(spark, path).exceptAll(some).count() == 0 and source.read_domain(spark, path).count() == some.count()
+        documents = spark.read.text(path).select(F.get_json_object("value", "$.meta.seed").alias("seed"), F.size(F.from_json("value", source.DOMAIN_SCHEMA)["fractures"]).alias("n")).collect()
+        assert {r["seed"] for r in documents} == {"1"}
+        counts[name] = [r["n"] for r in documents]
+    assert len(counts["many"]) == 10 and max(counts["many"]) < 200 and counts["few"] == [90] and counts["none"] == [0]
+    assert [r["id"] for r in source.read_domain(spark, str(tmp_path / "many"), 2, [1]).collect()] == [13, 34]
+
+
 def test_defaults_take_the_first_source(spark):
     base = spark.createDataFrame([(1,), (2,), (3,)], "set_id int")
     a = spark.createDataFrame([(1, 10.0)], "set_id int, v double")

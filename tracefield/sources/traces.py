@@ -21,6 +21,10 @@ DOMAIN_SCHEMA = (
     " radius_m:double, reconstruction:string, radius_status:string>>"
 )
 
+#: Discs of one domain document, and most tasks that write documents at a time.
+DOMAIN_DISCS = 20_000
+DOMAIN_TASKS = 1_000
+
 
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     """``df`` if it has ``columns``; the missing ones are named otherwise."""
@@ -93,7 +97,8 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_domain(spark: SparkSession, path: str, top: int | None = None, sets: list[int] | None = None) -> DataFrame:
-    """Discs of a domain document: the ``top`` largest of some ``sets``."""
+    """Discs of a domain document, or of all in a folder: the ``top`` largest of
+    some ``sets``."""
     discs = spark.read.schema(DOMAIN_SCHEMA).json(path, multiLine=True).select(F.explode("fractures").alias("f")).select("f.*")
     if sets:
         discs = discs.filter(F.col("set_id").isin(sets))
@@ -185,11 +190,19 @@ def face_positions(traces: DataFrame, declared: DataFrame | None = None) -> Data
     return traces.select("face_x").distinct()
 
 
-def write_domain(discs: DataFrame, path: str, meta: Column) -> None:
-    """A domain document that ``read_domain`` reads: ``meta`` and a list of
-    all discs, which has to fit one row; for more, write a table."""
+def write_domain(discs: DataFrame, path: str, meta: Column, most: int = DOMAIN_DISCS) -> None:
+    """A domain document that ``read_domain`` reads: ``meta`` and a list of all
+    discs.  More than about ``most`` discs are dealt by their id to several
+    documents, each with ``meta``, in a folder each."""
     fractures = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in ("id", "set_id", "label", "center_xyz_m", "normal_xyz", "radius_m", "reconstruction", "radius_status")])))
-    discs.agg(F.to_json(F.struct(meta.alias("meta"), fractures.alias("fractures"))).alias("value")).coalesce(1).write.text(path)
+    document = F.to_json(F.struct(meta.alias("meta"), fractures.alias("fractures"))).alias("value")
+    parts = -(-discs.count() // most)
+    if parts <= 1:
+        discs.agg(document).coalesce(1).write.text(path)
+        return
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")
+    documents = discs.withColumn("part", part).repartition(min(parts, DOMAIN_TASKS), "part").groupBy("part").agg(document)
+    documents.write.partitionBy("part").text(path)
 
 
 def write_runs(voxels: DataFrame, path: str, mode: str = "errorifexists") -> None:
