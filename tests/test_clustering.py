@@ -87,6 +87,27 @@ def test_directions_of_planted_sets(spark):
     assert found == pytest.approx(bics, abs=1e-3) and best["two"] == min(bics, key=bics.get)
 
 
+def test_equal_points_count_as_often_as_they_occur(spark):
+    angles = [0.1, 0.1, 0.1, 0.2, 1.4, 1.4, 1.5, 2.6, 2.6, 2.6, 2.6, 2.9] * 40
+    rows = [("a", k, angle) for k, angle in enumerate(angles)]
+    points = spark.createDataFrame(rows, "site string, id long, angle double").select("site", "id", clustering.doubled(F.col("angle")).alias("p"))
+    same = clustering.alike(points, ["site"])
+    assert same.count() == len(set(angles)) and same.agg(F.sum("n")).first()[0] == len(angles)
+    centers, each = clustering.lloyd(points, ["site"], 4, clustering.PLANE, 8)
+    of_same, few = clustering.lloyd(same, ["site"], 4, clustering.PLANE, 8)
+    at = lambda df: {(r["k"], r["label"]): tuple(r["p"]) for r in df.collect()}
+    assert at(centers) == at(of_same) and few.count() == 4 * len(set(angles)) and each.count() == 4 * len(angles)
+    looked_up = clustering.of_alike(points, few, ["site"])
+    assert looked_up.count() == each.count() and looked_up.exceptAll(each.select(looked_up.columns)).count() == 0
+    circle = [np.array([math.cos(2 * a), math.sin(2 * a)]) for a in angles]
+    plain = plain_lloyd(circle, 3, lambda p, q: ((p - q) ** 2).sum(), lambda m: np.mean(m, axis=0), 8)
+    assert plain == [r["label"] for r in each.filter("k = 3").orderBy("id").collect()]
+    for models in (clustering.gaussian_models, clustering.axial_models):
+        one, two = ({r["k"]: (r["n"], r["bic"]) for r in models(labels, ["site"]).collect()} for labels in (each, few))
+        assert {k: v[0] for k, v in one.items()} == {k: v[0] for k, v in two.items()} == dict.fromkeys((1, 2, 3, 4), len(angles))
+        assert [one[k][1] for k in one] == pytest.approx([two[k][1] for k in one])
+
+
 def test_axes_against_a_plain_version(spark):
     rng = np.random.default_rng(4)
     axes = np.concatenate([axes_around(rng, m, 25, 0.1) for m in ((1, 0, 0), (0, 1, 0), (0, 0.5, 1))])

@@ -19,7 +19,7 @@ BROADCAST_ROWS = 100_000
 @dataclass(frozen=True)
 class Space:
     """How points and centres ``p`` are compared and how a cluster's centre
-    follows from ``sums``.  ``center`` takes the table of sums by name and gives it
+    follows from ``sums`` over points ``p`` with their numbers ``n``.  ``center`` takes the table of sums by name and gives it
     with a column ``p``, null where there is none."""
 
     apart: Callable[[Column, Column], Column]
@@ -36,7 +36,7 @@ def _square(a: Column, b: Column) -> Column:
 
 
 #: Points of the plane by squared distance; centres are means.
-PLANE = Space(_square, ("sum(p.x) AS sx", "sum(p.y) AS sy"), _plane_center)
+PLANE = Space(_square, ("sum(n * p.x) AS sx", "sum(n * p.y) AS sy"), _plane_center)
 
 
 def _axis_center(sums: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def _axis_center(sums: DataFrame) -> DataFrame:
 #: axes of the cluster's orientation tensor.
 AXES = Space(
     lambda a, b: 1 - vec.dot(a, b) * vec.dot(a, b),
-    tuple(f"sum(p.{c[0]} * p.{c[1]}) AS {c}" for c in vec.TENSOR),
+    tuple(f"sum(n * p.{c[0]} * p.{c[1]}) AS {c}" for c in vec.TENSOR),
     _axis_center,
 )
 
@@ -70,14 +70,22 @@ def _with_centers(points: DataFrame, centers: DataFrame, keys: list[str], few: b
     return points.join(F.broadcast(lists) if few else lists, keys)
 
 
-def _nearest(space: Space) -> Column:
-    """The nearest centre to nine digits (the first of ties) as ``label, d``."""
+def _nearest(space: Space, most: int) -> Column:
+    """The nearest of up to ``most`` centres to nine digits (the first of ties)
+    as ``near, label, d``.  Written out, for Spark compiles no lambdas."""
 
     def option(c: Column) -> Column:
         d = space.apart(F.col("p"), c["p"])
-        return F.struct(F.round(d, 9).alias("near"), c["label"].alias("label"), d.alias("d"))
+        return F.when(c.isNotNull(), F.struct(F.round(d, 9).alias("near"), c["label"].alias("label"), d.alias("d")))
 
-    return F.array_min(F.transform("c", option))
+    options = [option(F.get("c", F.lit(k))) for k in range(most)]
+    return F.least(*options) if most > 1 else options[0]
+
+
+def alike(points: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, p, id, n``: equal points of a group as one with their least id
+    and their number, written once."""
+    return graph.cut_lineage(points.groupBy(*keys, "p").agg(F.min("id").alias("id"), F.count("*").alias("n")))
 
 
 def farthest_first(points: DataFrame, keys: list[str], most: int, space: Space) -> DataFrame:
@@ -88,7 +96,7 @@ def farthest_first(points: DataFrame, keys: list[str], most: int, space: Space)
     centers = graph.cut_lineage(first.select(*keys, "label", "p"))
     few = _few(centers, most)
     for label in range(1, most):
-        near = _with_centers(points, centers.withColumn("k", F.lit(0)), keys, few).withColumn("d", F.round(_nearest(space)["d"], 9))
+        near = _with_centers(points, centers.withColumn("k", F.lit(0)), keys, few).withColumn("d", F.round(_nearest(space, label)["d"], 9))
         far = near.groupBy(*keys).agg(F.max(F.struct("d", (-F.col("id")).alias("back"), "p")).alias("far"))
         found = far.select(*keys, F.lit(label).alias("label"), F.col("far.p").alias("p"))
         centers = graph.cut_lineage(centers.unionByName(found))
@@ -96,37 +104,58 @@ def farthest_first(points: DataFrame, keys: list[str], most: int, space: Space)
 
 
 def lloyd(points: DataFrame, keys: list[str], most: int, space: Space, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """K-means of ``points(keys, id, p)`` in every group for every k from 1 to
+    """K-means of ``points(keys, id, p)``, or of ``alike`` ones, in every group for every k from 1 to
     ``most``: centres ``keys, k, label, p``, and each point's ``label`` and
     distance ``d`` for each k.
 
     All groups and all k are one job a round: points meet their group's
-    centres, and only sums by cluster are shuffled, so a group may hold most
-    rows.  It stops after ``rounds``, or once no centre moves.  A cluster that
+    centres, equal points once, and only sums by cluster are shuffled, so a
+    group may hold most rows.  It stops after ``rounds``, or once no centre moves.  A cluster that
     loses all points keeps its centre.
     """
-    seeds = farthest_first(points, keys, most, space)
+    same = points if "n" in points.columns else alike(points, keys)
+    seeds = farthest_first(same, keys, most, space)
     few = _few(seeds, most)
     ks = F.explode(F.sequence(F.lit(1), F.lit(most)))
     centers = seeds.withColumn("k", ks).filter("label < k")
     for _ in range(rounds):
-        near = _with_centers(points, centers, keys, few).withColumn("label", _nearest(space)["label"])
-        sums = near.groupBy(*keys, "k", "label").agg(F.count("*").alias("n"), *map(F.expr, space.sums))
+        near = _with_centers(same, centers, keys, few).withColumn("label", _nearest(space, most)["label"])
+        sums = near.groupBy(*keys, "k", "label").agg(F.sum("n").alias("n"), *map(F.expr, space.sums))
         moved = space.center(sums).select(*keys, "k", "label", F.col("p").alias("to"))
         after = centers.join(moved, [*keys, "k", "label"], "left").withColumn("to", F.coalesce("to", "p"))
         after = graph.cut_lineage(after.withColumn("moved", space.apart(F.col("p"), F.col("to")) > 1e-18))
         centers = after.select(*keys, "k", "label", F.col("to").alias("p"))
         if not after.filter("moved").limit(1).count():
             break
-    near = _with_centers(points, centers, keys, few).withColumn("b", _nearest(space))
-    return centers, near.select(*keys, "id", "k", F.col("b.label").alias("label"), F.col("b.d").alias("d"))
+    return centers, labelled(points, centers, keys, most, space)
+
+
+def labelled(points: DataFrame, centers: DataFrame, keys: list[str], most: int, space: Space) -> DataFrame:
+    """``keys, id, k, label, d`` of ``points`` by the nearest of ``centers``, and
+    ``p`` and ``n`` of those that are ``alike``."""
+    few = centers.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    near = _with_centers(points, centers, keys, few).withColumn("b", _nearest(space, most))
+    number = ["p", "n"] if "n" in points.columns else []
+    return near.select(*keys, "id", "k", F.col("b.label").alias("label"), F.col("b.d").alias("d"), *number)
+
+
+def of_alike(points: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """``points`` with the ``k, label`` of the ``alike`` ones: equal points are
+    looked up, not measured again."""
+    return graph.join_dealt(labels.select(*keys, "p", "k", "label"), points, [*keys, "p"]).select(*keys, "id", "k", "label")
+
+
+def _number(labels: DataFrame) -> Column:
+    """How many points a row of ``labels`` stands for."""
+    return F.col("n") if "n" in labels.columns else F.lit(1).cast("long")
 
 
 def gaussian_models(labels: DataFrame, keys: list[str], parts: int = 2, per_set: int = 5) -> DataFrame:
     """``keys, k, n, rss, bic`` per group and k, of spherical normal clusters
     with one variance in ``parts`` dimensions; a group of n points is tried with
     at most n / ``per_set`` clusters, or one."""
-    found = labels.groupBy(*keys, "k").agg(F.count("*").alias("n"), F.sum("d").alias("rss"))
+    number = _number(labels)
+    found = labels.groupBy(*keys, "k").agg(F.sum(number).alias("n"), F.sum(F.col("d") * number).alias("rss"))
     found = found.filter((F.col("k") == 1) | (F.col("k") * per_set <= F.col("n")))
     n, k = F.col("n"), F.col("k")
     variance = F.greatest(F.col("rss") / (n * parts + 1e-9), F.lit(1e-9))
@@ -139,8 +168,10 @@ def axial_models(labels: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, k, n, bic`` per group and k: the logarithms of the cosines to the
     cluster's axis, weighted by its Fisher concentration (at most 100), against
     four parameters a cluster."""
-    cosine = F.sqrt(F.greatest(1 - F.col("d"), F.lit(0.0)))
-    each = labels.groupBy(*keys, "k", "label").agg(F.count("*").alias("n"), F.sum(cosine).alias("r"), F.sum(F.log(F.greatest(cosine, F.lit(1e-12)))).alias("fit"))
+    cosine, number = F.sqrt(F.greatest(1 - F.col("d"), F.lit(0.0))), _number(labels)
+    each = labels.groupBy(*keys, "k", "label").agg(
+        F.sum(number).alias("n"), F.sum(cosine * number).alias("r"), F.sum(F.log(F.greatest(cosine, F.lit(1e-12))) * number).alias("fit")
+    )
     mean = F.col("r") / F.col("n")
     kappa = F.when(mean < 1 - 1e-12, F.least(F.lit(100.0), (3 * mean - mean * mean * mean) / (1 - mean * mean))).otherwise(100.0)
     found = each.withColumn("kappa", kappa).groupBy(*keys, "k").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") >= 2, F.col("fit") * F.col("kappa")).otherwise(0.0)).alias("fit"))

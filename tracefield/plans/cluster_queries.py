@@ -51,11 +51,12 @@ models AS (SELECT *, CASE WHEN n > k THEN ln(n) * (k * 2 + k - 1) + n * 2 * (ln(
 best AS (SELECT key, k FROM models QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(bic, 9), k) = 1)"""
 
 
-def _angles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Labels and models of the directions of each face's traces."""
+def _angles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Directions of each face's traces, labels of the different ones, and
+    models."""
     points = segments(spark, d).select("face_id", F.col("trace_id").alias("id"), clustering.doubled(F.col("angle")).alias("p"))
-    labels = clustering.lloyd(points, ["face_id"], MOST, clustering.PLANE, ROUNDS)[1]
-    return labels, clustering.gaussian_models(labels, ["face_id"])
+    _, labels = clustering.lloyd(clustering.alike(points, ["face_id"]), ["face_id"], MOST, clustering.PLANE, ROUNDS)
+    return points, labels, graph.cut_lineage(clustering.gaussian_models(labels, ["face_id"]))
 
 
 @query(f"""
@@ -63,7 +64,7 @@ WITH {CIRCLE_MODELS} SELECT m.key AS face_id, m.k::INT AS k, n, round(rss, 6) AS
 """)
 def angle_set_models(spark: SparkSession, d: str) -> DataFrame:
     """How well one to four sets of directions fit each face's traces."""
-    models = _angles(spark, d)[1]
+    models = _angles(spark, d)[2]
     best = clustering.best_model(models, ["face_id"]).withColumn("chosen", F.lit(True))
     return models.join(best, ["face_id", "k"], "left").select("face_id", "k", "n", r6(F.col("rss"), "rss"), F.round("bic", 5).alias("bic"), F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
@@ -72,8 +73,9 @@ def angle_set_models(spark: SparkSession, d: str) -> DataFrame:
 def angle_sets(spark: SparkSession, d: str) -> DataFrame:
     """Each trace's set by its direction, in the number of sets that fits its
     face best."""
-    labels, models = _angles(spark, d)
-    found = labels.join(F.broadcast(clustering.best_model(models, ["face_id"])), ["face_id", "k"])
+    points, labels, models = _angles(spark, d)
+    best = clustering.best_model(models, ["face_id"])
+    found = clustering.of_alike(points, labels.join(best, ["face_id", "k"]), ["face_id"])
     return found.select(F.col("id").alias("trace_id"), "face_id", (F.col("label") + 1).alias("set_number"))
 
 
