@@ -131,3 +131,11 @@ def test_mesh_cuts_do_not_gather_the_dealt_discs(spark):
     plan = cuts._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" in plan and "Generate" not in plan.split("BroadcastExchange")[1].split("+- Exchange")[0]
     assert cuts.groupBy("disc_id").count().select("count").distinct().count() == 1 and cuts.count() >= 50
+
+
+def test_cuts_shorter_than_the_least_are_left_out(spark):
+    corners = [((0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0)), ((-1.0, 0.0, 1.0), (1.0, 0.0, 1.0), (0.0, 1.0, 1.0))]
+    triangles = spark.createDataFrame([(k, *v) for k, v in enumerate(corners)], f"mesh long, v0 {POINT}, v1 {POINT}, v2 {POINT}")
+    side = math.sqrt(0.5)
+    discs = spark.createDataFrame([(7, (2.5e-7, 2.5e-7, 0.5), (side, side, 0.0), 2.0)], f"disc_id long, c {POINT}, n {POINT}, radius double")
+    assert [r["mesh"] for r in meshes.mesh_cuts(triangles, discs).collect()] == [1]
