@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vec
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -92,5 +94,5 @@ def discs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``disc_id, set_id, radius, c, n``."""
     k = F.col("p_partkey")
     center = F.struct((k % 40).cast("double").alias("x"), ((k * 7 % 23).cast("double") - 11).alias("y"), ((k * 5 % 19).cast("double") - 9).alias("z"))
-    normal = F.struct(F.cos(k).alias("x"), (F.sin(k) * F.cos(k * 0.5)).alias("y"), (F.sin(k) * F.sin(k * 0.5)).alias("z"))
+    normal = F.struct(vec.cosine(k).alias("x"), (vec.sine(k) * vec.cosine(k * 0.5)).alias("y"), (vec.sine(k) * vec.sine(k * 0.5)).alias("z"))
     return read(spark, sf_dir, "part").select(k.alias("disc_id"), F.col("p_brand").alias("set_id"), (F.col("p_size") / 4.0).alias("radius"), center.alias("c"), normal.alias("n"))
