@@ -109,6 +109,8 @@ def test_pairs_are_made_on_all_partitions(spark, sf_dir, name):
     [
         # chords that only touch a corner, by the last digit of a sine
         ("disc_face_traces", "part", "SELECT unnest([538643, 209421, 7])::BIGINT AS p_partkey, unnest([37, 27, 9])::INT AS p_size, 'Brand#11' AS p_brand"),
+        # a quality next to the middle of two rounded ones
+        ("three_point_normals", "events", "SELECT unnest([347, 555, 5])::BIGINT AS event_id, 'a' AS event_type, 7::BIGINT AS user_id, 160.0::DOUBLE AS value"),
     ],
 )
 def test_last_digits_of_sines_and_of_rounding(spark, tmp_path, name, table, keep):

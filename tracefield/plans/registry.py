@@ -50,9 +50,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """Rounded as the SQL rounds: a number times a power of ten, to a whole
+    number, and back.  Spark's own goes by the decimal digits, which differs
+    where a number lies next to the middle of two."""
+    return F.round((F.col(x) if isinstance(x, str) else x) * 10.0**digits) / 10.0**digits
+
+
 def r6(x: Column, name: str) -> Column:
     """Rounded, so that the order of a float sum doesn't show."""
-    return (F.round(x, 6) + F.lit(0.0)).alias(name)
+    return (rounded(x, 6) + F.lit(0.0)).alias(name)
 
 
 TRACES = (
