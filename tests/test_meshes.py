@@ -139,3 +139,40 @@ def test_cuts_shorter_than_the_least_are_left_out(spark):
     side = math.sqrt(0.5)
     discs = spark.createDataFrame([(7, (2.5e-7, 2.5e-7, 0.5), (side, side, 0.0), 2.0)], f"disc_id long, c {POINT}, n {POINT}, radius double")
     assert [r["mesh"] for r in meshes.mesh_cuts(triangles, discs).collect()] == [1]
+
+
+def test_walks_in_tasks_are_those_of_the_joins(spark):
+    line = [(k, (k * 7) % 5, 0) for k in range(37)]
+    ring = [(math.cos(k), math.sin(k), 1) for k in np.linspace(0, 2 * math.pi, 24, endpoint=False)]
+    shapes = [line, [(0, 50, 0), (1, 50, 0)], [*ring, ring[0]], [(0, 0, 9), (1, 0, 9), (2, 0, 9)], [(1, 0, 9), (1, 1, 9)], [(3, 3, 3), (3, 3, 3 + 1e-9)]]
+    both = lines(spark, [(k % 3, points) for k, points in enumerate(shapes)]).unionByName(lines(spark, [(k % 2 + 5, points) for k, points in enumerate(shapes)]))
+    rows = both.select(F.col("site").cast("long").alias("site"), (F.col("site") % 2).cast("long").alias("part"), "p", "q").repartition(2, "site").sortWithinPartitions("site")
+    keys = ["site", "part"]
+    traces, points = meshes.polylines(rows, keys)
+    places = lambda df: sorted(map(repr, df.select(*keys, "place", "point").collect()))
+    ends = lambda df: sorted((*r[:4], round(r[4], 9), *map(tuple, r[5:])) for r in df.select(*keys, "n_segments", "closed", "length", "p0", "p1").collect())
+    for held in (1, 40, 10_000):
+        assert places(meshes.walks(rows, keys, "site", held=held)) == places(points)
+        assert ends(meshes.walks(rows, keys, "site", ends=[], held=held)) == ends(meshes.trace_ends(traces, points, keys))
+    with pytest.raises(Exception, match="not in the order of site"):
+        meshes.walks(rows.coalesce(1).sortWithinPartitions(F.desc("site")), keys, "site").count()
+
+
+def test_cuts_are_not_shuffled_and_parts_of_meshes_change_nothing(spark, monkeypatch):
+    rows = [(m, i, j, (3.0 * m + 0.3 * ((i * 7 + j * 5 + m) % 4), float(i), float(j))) for m in range(3) for i in range(6) for j in range(6)]
+    triangles = meshes.grid_triangles(spark.createDataFrame(rows, f"mesh long, i long, j long, p {POINT}"), ["mesh"])
+    discs = spark.createDataFrame([(k, (float(k % 7), 2.0 + k % 3, 2.5), (math.cos(k), math.sin(k), 0.0), 1.0 + k % 4) for k in range(1, 30)], f"disc_id long, c {POINT}, n {POINT}, radius double")
+
+    def found():
+        ends = meshes.with_end_types(meshes.mesh_ends(triangles, discs), meshes.boundary_segments(triangles))
+        points = meshes.mesh_points(triangles, discs)
+        plan = points._jdf.queryExecution().executedPlan().toString()
+        return sorted(repr(r) for r in points.select("mesh", "disc_id", "place", "point").collect()), sorted(repr(r) for r in ends.select("mesh", "disc_id", "n_segments", "p0", "p1", "p0_type", "p1_type", "radius").collect()), plan
+
+    points, ends, plan = found()
+    assert points and ends and plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    monkeypatch.setattr("tracefield.operators.graph.FEW", 60)
+    parts = found()
+    assert parts[:2] == (points, ends) and parts[2].count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in parts[2]
+    monkeypatch.setattr("tracefield.operators.meshes.PARTS", 1)
+    assert found()[:2] == (points, ends)
