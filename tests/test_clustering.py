@@ -180,3 +180,26 @@ def test_chord_fit_recovers_discs_and_is_the_best(spark):
             q, best, loss = plain_fit(h, a)
             assert r["loss"] <= loss + 1e-4 and abs(r["radius"] - best) < 0.02
     assert chordfit.chord_fit(traces.limit(0)).count() == 0
+
+
+def test_fragment_groups_are_those_of_all_pairs(spark):
+    import math
+
+    import numpy as np
+
+    from tracefield.operators import graph
+    from tracefield.plans import join_queries
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in map(int, rng.permutation(400)):
+        y, z, angle = float(k % 12), float(k * 7 % 9), (k * 5 % 8) * 0.35
+        size = float(rng.exponential(1.5))
+        rows.append((k, "ab"[k % 2], k % 3, y, z, y + size * math.cos(angle), z + size * math.sin(angle), angle))
+    rows += [(1000, "a", 0, 0.0, 0.0, None, None, 0.0), (1001, "a", 0, 0.0, 0.0, None, None, 0.0), (1002, "a", 0, None, 0.0, 1.0, 1.0, 0.0), (1003, None, 0, 0.0, 0.0, 1.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "trace_id long, set_id string, face_id int, y0 double, z0 double, y1 double, z1 double, angle double")
+    for gap, dense in ((0.3, 0.0), (2.0, 0.0), (0.8, 1e9)):
+        pairs = join_queries.fragments(df, ["set_id", "face_id"], gap, 0.2, 0.3)
+        plain = graph.components(df.select(df.trace_id.alias("id")), pairs.selectExpr("a.trace_id AS a", "b.trace_id AS b"))
+        got = join_queries.fragment_groups(df, ["set_id", "face_id"], gap, 0.2, 0.3, dense)
+        assert sorted(map(tuple, got.select("id", "component").collect())) == sorted(map(tuple, plain.select("id", "component").collect()))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..operators import aggs, clustering, graph
 from .association_queries import observed
-from .join_queries import FRAGMENTS, SEGMENTS, fragments, segments
-from .registry import normals, query, r6
+from .join_queries import FRAGMENTS, SEGMENTS, fragment_groups, segments
+from .registry import normals, query, r6, rounded
 
 MOST, ROUNDS = 4, 6
 
@@ -145,9 +145,7 @@ def fragment_chains(spark: SparkSession, d: str) -> DataFrame:
     on a face with ends close together, all that such pairs connect, and the
     trace from the first to the last end along their main direction."""
     rows = graph.cut_lineage(segments(spark, d))
-    pairs = fragments(rows, ["set_id", "face_id"], 2.0, 0.5, 0.3)
-    links = pairs.select(F.col("a.trace_id").alias("a"), F.col("b.trace_id").alias("b"))
-    groups = graph.cut_lineage(graph.components(rows.select(F.col("trace_id").alias("id")), links))
+    groups = graph.cut_lineage(fragment_groups(rows, ["set_id", "face_id"], 2.0, 0.5, 0.3))
     each = rows.join(groups.withColumnRenamed("id", "trace_id"), "trace_id").groupBy("component").agg(F.min("face_id").alias("face_id"), F.sum(F.hypot(F.col("y1") - F.col("y0"), F.col("z1") - F.col("z0"))).alias("total"))
     found = graph.relink(rows, groups).filter("n_fragments > 1").join(each, "component")
-    return found.select("component", "face_id", "n_fragments", F.round("length", 5).alias("length"), F.round("total", 5).alias("fragment_length"))
+    return found.select("component", "face_id", "n_fragments", rounded("length", 5).alias("length"), rounded("total", 5).alias("fragment_length"))
